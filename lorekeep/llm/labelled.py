@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .session import fold
 
 #: Rows and bytes of text that a classifier is fitted on at most.
-MAX_ROWS = 12_000
-MAX_BYTES = 96 << 20
+MAX_ROWS = 8_000
+MAX_BYTES = 32 << 20
 
 
 def sample_ids(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, max_rows: int, max_bytes: int) -> list[tuple[int, int]]:

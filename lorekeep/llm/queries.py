@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, toxicity
+from . import decontam, jaccard, langid, quality, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,33 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+URL_RULES = [
+    urlfilter.UrlRule("allow", "com", "/"),
+    urlfilter.UrlRule("block", "example.com", "/en/"),
+    urlfilter.UrlRule("allow", "www.example.com", "/en/"),
+    urlfilter.UrlRule("block", "net", "/es/"),
+    urlfilter.UrlRule("block", "net", "/fr/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -32,8 +54,69 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
+    "op8_url_filter": op8_url_filter,
     "op9_langid": op9_langid,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Shared-shingle counts of all pairs, then the smallest id reachable by links.
+OP4_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+2], ' ') END AS s
+  FROM w, range(1, greatest(len(ws) - 1, 2)) r(i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+reach(id, comp) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.a, reach.comp FROM reach JOIN l ON l.b = reach.id WHERE reach.comp < l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id)
+JOIN (SELECT id, min(comp) AS component_id FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS s
+  FROM b, range(1, greatest(len(ws) - 9, 1) + 1) r(i) WHERE len(ws) > 0
+), ks AS (SELECT DISTINCT k FROM win),
+dw AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+  FROM d, ks, range(1, len(ws) - k + 2) r(i) WHERE len(ws) >= k
+), m AS (SELECT dw.doc_id, dw.i, dw.k, win.item FROM dw JOIN win ON dw.k = win.k AND dw.s = win.s),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM m), range(0, k) q(j) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH r(rule, verdict, host, path) AS (VALUES
+  ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+  ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+), p AS (
+  SELECT page_id, row_number() OVER () AS n,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), m AS (
+  SELECT p.n, r.rule, r.verdict, row_number() OVER (PARTITION BY p.n ORDER BY length(r.rule) DESC, length(r.host) DESC) AS k
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.n = p.n AND m.k = 1
+"""
+
+ORACLE: dict[str, str] = {"op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL}
