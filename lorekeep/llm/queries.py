@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, quality, toxicity, urlfilter
+from ..sources.shared import fresh_path
+from . import ann, decontam, jaccard, langid, packing, ppm, quality, tokens, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def byte_bpe() -> str:
+    """Path of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(_table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.rows.filter("vec_id % 100 = 0").select("vec_id", "vector"), k=10)
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = tokens.write(_table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), byte_bpe(), end_id=2)
+    return tokens.read_back(spark, written)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
 
@@ -34,6 +52,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe())
+
+
 URL_RULES = [
     urlfilter.UrlRule("allow", "com", "/"),
     urlfilter.UrlRule("block", "example.com", "/en/"),
@@ -52,13 +74,28 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ann": op2_ann,
+    "op3_token_ids": op3_token_ids,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_langid": op9_langid,
+    "op10_lm_score": op10_lm_score,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,4 +156,16 @@ WITH r(rule, verdict, host, path) AS (VALUES
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.n = p.n AND m.k = 1
 """
 
-ORACLE: dict[str, str] = {"op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL}
+#: Exact distances to all other vectors, components added one after another.
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op2_ann": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL}
