@@ -160,7 +160,7 @@ class Trie:
             top = self.levels[-1]
             keys, count = by_order[order]
             row = top.context.find(keys >> np.uint64(8))
-            self.top_log = np.log10(count / (top.total[row] + top.distinct[row]))
+            self.top_log = np.log10((2 * count - 1) / (2 * top.total[row]))
         else:
             self.top_log = np.zeros(0)
 
@@ -188,9 +188,9 @@ class Trie:
             total = np.where(after, upper.rest_total[safe_c], level.total[safe_x]) if upper else level.total[safe_x]
             distinct = np.where(after, upper.rest_distinct[safe_c], level.distinct[safe_x]) if upper else level.distinct[safe_x]
             found = entry >= 0
-            out[live[found]] += np.log10(level.count[entry[found]] / (total + distinct)[found])
+            out[live[found]] += np.log10((2 * level.count[entry[found]] - 1) / (2 * total[found]))
             fall = seen & ~found & (distinct > 0)
-            out[live[fall]] += np.log10(distinct[fall] / (total + distinct)[fall])
+            out[live[fall]] += np.log10(distinct[fall] / (2 * total[fall]))
             child = np.where(seen, ctx, -1)[~found]
             live = live[~found]
         if len(live):
@@ -218,9 +218,9 @@ class AdaptivePPM:
             own = {b: n for b, n in known.items() if b not in excluded}
             total, distinct = sum(own.values()), len(own)
             if byte in own:
-                return out + math.log10(own[byte] / (total + distinct))
+                return out + math.log10((2 * own[byte] - 1) / (2 * total))
             if distinct:
-                out += math.log10(distinct / (total + distinct))
+                out += math.log10(distinct / (2 * total))
             excluded |= set(known)
         return out - math.log10(max(1, 256 - len(excluded)))
 
