@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,9 @@ def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table that stored() returned."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_path(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
