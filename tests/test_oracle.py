@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lorekeep.plans import record_queries, retrieval_queries  # noqa: F401
+from lorekeep.plans import curation_queries, record_queries, retrieval_queries  # noqa: F401
 from lorekeep.plans.registry import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
