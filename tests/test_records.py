@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions.embed import HashEmbedder
-from lorekeep.operators import evalir, facts, graph, quality, records, search
+from lorekeep.operators import components, evalir, facts, graph, quality, records, search
 from lorekeep.operators.components import connected_components
 from lorekeep.operators.vector import cosine_topk
 
@@ -80,8 +80,10 @@ def test_neighbours_filter_before_the_cap(spark):
     assert [r["neighbor"] for r in graph.neighbors(seeds, e, active, cap=1).collect()] == [4]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_against_union_find(spark, seed):
+@pytest.mark.parametrize("small", [0, 10**6])
+@pytest.mark.parametrize("seed", range(2))
+def test_components_against_union_find(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(seed)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 3), (5, 5)]
     parent = {}
