@@ -18,7 +18,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -40,7 +40,7 @@ DICT_DOCS, DICT_BYTES, DICT_SIZE = 2_000, 8 << 20, 64 << 10
 #: Bytes of text that go to one shard; inputs of fewer than MIN_SHARDS such get smaller shards.
 SHARD_BYTES, MIN_SHARDS, LEAST_SHARD = 256 << 20, 48, 8 << 20
 #: Distinct units whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 1_200_000
 LEVEL = 3
 
 _SPACE = ~textbuf.NON_SPACE
@@ -90,22 +90,23 @@ class Encoder:
         return cls._own[path]
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        """Forget all units: hashes in order, and where their ids begin in the pool and how many they are."""
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = [], []
-        self.begin_at = self.size_at = np.zeros(0, np.int64)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.known[h] = len(self.begin)
-            self.begin.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
-        self.begin_at, self.size_at = np.array(self.begin, np.int64), np.array(self.size, np.int64)
+
+    def _learn(self, place: np.ndarray, hashes: np.ndarray, texts: list[str]) -> None:
+        """Encode new units; place: where their hashes go among the known ones."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        end = self.used + int(size.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * end - self.used, np.uint32)])
+        self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+        self.keys = np.insert(self.keys, place, hashes)
+        self.begin = np.insert(self.begin, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used = end
 
     def encode(self, s: textbuf.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and how many each has."""
@@ -113,17 +114,21 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(s.n, np.int64)
         uniq, first, back = np.unique(textbuf.span_hash(s.data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        if len(self.keys) > CACHE:
             self.clear()
-        keys = uniq.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
+        at = np.searchsorted(self.keys, uniq)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == uniq[known]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = s.data.tobytes()
-            self._learn([keys[i] for i in new], [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new])
-        row = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[back]
-        size = self.size_at[row]
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            self._learn(at[new], uniq[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            at = np.searchsorted(self.keys, uniq)
+        row = at[back]
+        size = self.size[row].astype(np.int64)
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.pool[np.repeat(self.begin_at[row], size) + step], np.bincount(doc, weights=size, minlength=s.n).astype(np.int64)
+        return self.pool[np.repeat(self.begin[row], size) + step], np.bincount(doc, weights=size, minlength=s.n).astype(np.int64)
 
     def with_end(self, s: textbuf.Slice, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The same with end_id behind each document; offsets instead of counts."""
