@@ -8,8 +8,9 @@ of those prefixes, cut by length and position.  Under orders 2 and 3 each set
 has a longer prefix, of which similar sets must share a computed number of
 tokens; candidates have to pass every order before the whole sets are compared.
 
-All orders put frequent tokens last (by levels of a count sketch of fixed size)
-and order tokens of one level by a hash of their own.  Lists of a token that are
+All orders put frequent tokens last, by a count sketch of fixed size: order 1 by
+the counts themselves, orders 2 and 3 by their magnitudes; each then goes by a
+hash of its own.  Lists of a token that are
 long are not paired off: in rounds, every member is compared with one pivot of
 its list, the links found are contracted to components, and only members of
 different components are paired at the end.  Nothing is sampled or capped.
@@ -28,12 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from ..sources.shared import stored
+from ..sources.shared import drop_stored, release, stored
 from . import textbuf
 from .session import map_batches
 
-SKETCH_BITS = 22
-CHUNK_BITS = 16
+#: Counters of the sketch, and places of the bit maps, as powers of 2; counters of one row when they are summed.
+SKETCH_BITS, MARK_BITS, CHUNK_BITS = 24, 22, 16
 #: Tokens by which the prefixes of orders 2 and 3 are longer than needed; they must share as many more.
 EXTRA = 48
 #: Pairs for each posting up to which lists are paired off at once.
@@ -79,49 +80,66 @@ def shingle_sets(s: textbuf.Slice, width: int):
             yield np.zeros(0, np.uint64)
 
 
-def class_key(tokens: np.ndarray) -> bytes:
-    """16 bytes that depend on the set alone."""
+def class_key(tokens: np.ndarray) -> int:
+    """64 bits that depend on the set alone, as a signed integer."""
     a, b = textbuf.mix(tokens ^ _SEEDS[0]), textbuf.mix(tokens ^ _SEEDS[1])
-    return int(np.add.reduce(a)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(b) if len(b) else 0).to_bytes(8, "big")
+    both = np.array([np.add.reduce(a), np.bitwise_xor.reduce(b), len(tokens)], np.uint64)
+    return int(textbuf.gram_hash(both, 3).view(np.int64)[0])
 
 
-def buckets(h: np.ndarray) -> np.ndarray:
-    return (textbuf.mix(h ^ _SEEDS[2]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def buckets(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (textbuf.mix(h ^ _SEEDS[2]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def chunk_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     parts = counts.reshape(-1, 1 << CHUNK_BITS)
     used = [i for i in range(len(parts)) if parts[i].any()]
-    return used, [zlib.compress(np.minimum(parts[i], 2**32 - 1).astype(np.uint32).tobytes(), 1) for i in used]
+    return used, [zlib.compress(parts[i].astype(np.uint16).tobytes(), 1) for i in used]
 
 
-def summed_chunks(rows: DataFrame) -> np.ndarray:
-    """Add up rows (chunk, counts): 2**SKETCH_BITS counters whatever the input."""
+def summed_chunks(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Add up rows (chunk, counts) of 2**bits counters, whatever the input."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64)
         for k, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
-    out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
-    for r in rows.repartition(len(out) // 4, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    out = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    dealt = rows.repartition(16, "chunk") if bits == SKETCH_BITS else rows.coalesce(4)  # bit maps are small
+    for r in dealt.mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     return out.ravel()
 
 
+#: Steps of a level up to the most frequent that aren't told from chance; above, one for each doubling.
+FINE = 192
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for buckets about or below the mean, else the binary logarithm of the excess in deviations."""
-    mean = counts.mean()
-    excess = np.maximum(counts - mean - 4 * np.sqrt(mean), 0)
-    return np.where(excess > 0, 1 + np.log2(1 + excess / (4 * np.sqrt(mean) + 1)), 0).astype(np.uint8)
+    """Counts as 0..255 in order: fine steps around the mean, magnitudes far above it."""
+    mean = float(counts.mean(dtype=np.float64))
+    step = 12 * np.sqrt(mean) / FINE if mean > 256 else max(1.0, 12 * np.sqrt(mean) / FINE)
+    low = max(0.0, mean - 4 * np.sqrt(mean))
+    out = np.empty(len(counts), np.uint8)
+    for i in range(0, len(counts), 1 << 20):
+        fine = np.maximum(counts[i : i + (1 << 20)] - low, 0) / step
+        coarse = FINE + np.log2(np.maximum(fine / FINE, 1))
+        out[i : i + (1 << 20)] = np.where(fine < FINE, fine, np.minimum(coarse, 255))
+    return out
+
+
+def magnitudes(level: np.ndarray) -> np.ndarray:
+    """Levels of orders 2 and 3: chance level as one."""
+    return np.where(level < FINE, 0, level)
 
 
 def ranked(tokens: np.ndarray, level: np.ndarray, seed: np.uint64, k: int) -> np.ndarray:
-    """The first k tokens in the order (level, hash with seed)."""
-    key = (level[buckets(tokens)].astype(np.uint64) << np.uint64(58)) | (textbuf.mix(tokens ^ seed) >> np.uint64(6))
+    """The first k tokens in the order (level of each token, hash with seed)."""
+    key = (level.astype(np.uint64) << np.uint64(56)) | (textbuf.mix(tokens ^ seed) >> np.uint64(8))
     order = np.argpartition(key, k - 1)[:k] if k < len(key) else np.arange(len(key))
     return tokens[order[np.argsort(key[order])]]
 
@@ -130,7 +148,7 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows (doc_id, n, key) of all documents, and rows (chunk, counts) with the token counts of each task."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
             n, keys = [], []
             for s in textbuf.slices(batch.column("text")):
@@ -139,23 +157,24 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                     n.append(len(tokens))
                     keys.append(class_key(tokens) if len(tokens) else None)
                     found.append(tokens)
-                np.add(counts, np.bincount(buckets(np.concatenate(found)), minlength=len(counts)), out=counts, casting="unsafe")
+                at, more = np.unique(buckets(np.concatenate(found)).astype(np.uint32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 2**16 - 1)
             nothing = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         chunk, data = chunk_rows(counts)
         if chunk:
             nothing = pa.nulls(len(chunk))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.int64()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], names)
 
     names = ["doc_id", "n", "key", "chunk", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, chunk int, counts binary")
 
 
 def _postings(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
     """(token, key, n, pos) of the order-1 prefix of every class, perhaps more than once."""
 
     def make():
-        seen: set[bytes] = set()
+        seen: set[int] = set()
 
         def run(batch: pa.RecordBatch):
             level = level_b.value
@@ -168,40 +187,49 @@ def _postings(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
                     if len(seen) < SEEN:
                         seen.add(key)
                     p = n - rule.overlap(n) + 1
-                    toks.append(ranked(tokens, level, _SEEDS[0], p))
-                    keys += [key] * p
+                    toks.append(ranked(tokens, level[buckets(tokens)], _SEEDS[0], p))
+                    keys.append(np.full(p, key, np.int64))
                     ns.append(np.full(p, n, np.int32))
                     pos.append(np.arange(p, dtype=np.int32))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(ns)), pa.array(np.concatenate(pos))], ["token", "key", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(pos))], ["token", "key", "n", "pos"])
 
         return run
 
-    return map_batches(docs.select("text"), make, "token long, key binary, n int, pos int")
+    return map_batches(docs.select("text"), make, "token long, key long, n int, pos int")
 
 
 def _marked(ids: DataFrame) -> np.ndarray:
-    """Which of 2**SKETCH_BITS buckets hold an id."""
+    """Which of 2**MARK_BITS places hold an id."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << MARK_BITS, np.uint16)
         for batch in batches:
-            counts[buckets(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = 1
+            counts[buckets(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), MARK_BITS)] = 1
         chunk, data = chunk_rows(counts)
         if chunk:
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
 
-    return summed_chunks(ids.mapInArrow(run, "chunk int, counts binary")) > 0
+    return summed_chunks(ids.mapInArrow(run, "chunk int, counts binary"), MARK_BITS) > 0
+
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    """Their distinct values in 16 bits. Where two coincide, sizes tell how many were lost."""
+    return np.unique((tokens >> np.uint64(40)).astype(np.uint16)).view(np.int16)
+
 
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule, level_b, whole: bool) -> DataFrame:
+    """(key, n, k, s2, s3) or, whole, with tokens instead of s2 and s3, of the classes in keys (key).
 
-def _sets(docs: DataFrame, reps: DataFrame, rule: Rule, level_b) -> DataFrame:
-    """(key, n, s2, s3, tokens) of the classes in reps (key, doc_id).
+    s2 and s3 are the first k tokens of orders 2 and 3 in 16 bits each.
 
     A bit map of fixed size sorts out most documents before they are read closely;
     those that pass by chance drop out of the join.
     """
     spark = docs.sparkSession
+    reps = stored(classes.join(keys, "key").select("key", "doc_id"), "reps")
     marked_b = spark.sparkContext.broadcast(np.packbits(_marked(reps.select("doc_id"))))
+    names = ["tokens"] if whole else ["s2", "s3"]
 
     def make():
         marked = np.unpackbits(marked_b.value).astype(bool)
@@ -209,46 +237,63 @@ def _sets(docs: DataFrame, reps: DataFrame, rule: Rule, level_b) -> DataFrame:
         def run(batch: pa.RecordBatch):
             level = level_b.value
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64))]))
+            batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
             if not batch.num_rows:
                 return
-            ids, ns, keys, cols = batch.column("doc_id"), [], [], ([], [], [])
+            ns, ks, keys, cols = [], [], [], [[] for _ in names]
             for s in textbuf.slices(batch.column("text")):
                 for tokens in shingle_sets(s, rule.words):
                     n = len(tokens)
                     k = min(n, n - rule.overlap(n) + 1 + EXTRA)
                     ns.append(n)
+                    ks.append(k)
                     keys.append(class_key(tokens))
-                    for col, part in zip(cols, (ranked(tokens, level, _SEEDS[1], k), ranked(tokens, level, _SEEDS[2], k), tokens) if n else (tokens,) * 3, strict=True):
-                        col.append(part.view(np.int64))
+                    if whole:
+                        cols[0].append(tokens.view(np.int64))
+                    else:
+                        own = magnitudes(level[buckets(tokens)])
+                        for col, seed in zip(cols, _SEEDS[1:], strict=True):
+                            col.append(short(ranked(tokens, own, seed, k)) if n else tokens.astype(np.int16))
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate(c)) for c in cols]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), *lists], ["doc_id", "key", "n", "s2", "s3", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int32()), *lists], ["doc_id", "key", "n", "k", *names])
 
         return run
 
-    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key binary, n int, s2 array<long>, s3 array<long>, tokens array<long>")
+    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key long, n int, k int, " + ", ".join(f"{x} array<{'long' if whole else 'short'}>" for x in names))
     # a doc_id that repeats may have other texts, hence the key
-    return stored(rows, "sets").join(reps, ["doc_id", "key"])
+    return rows.join(reps, ["doc_id", "key"]).drop("doc_id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, level_b) -> DataFrame:
     """Those of the pairs (a, b) of class keys that are similar."""
-    pairs = stored(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    reps = stored(classes.join(involved, "key").select("key", "doc_id"), "reps")
-    sets = _sets(docs, reps, rule, level_b)
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def both(pairs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        sets = stored(_sets(docs, keys, classes, rule, level_b, whole), "sets")
+        for name in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in sets.columns if c != "key"]), name)
+        return pairs, sets
 
-    brief = pairs.join(side("a", "n", "s2", "s3"), "a").join(side("b", "n", "s2", "s3"), "b")
+    pairs = stored(pairs, "pairs")
+    brief, brief_sets = both(pairs, False)
     need = rule.pair_overlap(F.col("n_a"), F.col("n_b"))
+    spare = F.least(F.col("k_a") - F.col("n_a"), F.col("k_b") - F.col("n_b"))
     for s in ("s2", "s3"):
-        a, b = F.size(f"{s}_a") - F.col("n_a"), F.size(f"{s}_b") - F.col("n_b")
-        brief = brief.filter(F.size(F.array_intersect(f"{s}_a", f"{s}_b")) >= F.least(a, b) + need)
-    whole = brief.select("a", "b", "n_a", "n_b").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+        lost = F.least(F.col("k_a") - F.size(f"{s}_a"), F.col("k_b") - F.size(f"{s}_b"))  # tokens that coincide in 16 bits
+        brief = brief.filter(F.size(F.array_intersect(f"{s}_a", f"{s}_b")) + lost >= spare + need)
+    left = stored(brief.select("a", "b"), "candidates")
+    whole, whole_sets = both(left, True)
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return stored(whole.filter(F.lit(100) * common >= F.lit(rule.percent) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
+    links = stored(whole.filter(F.lit(100) * common >= F.lit(rule.percent) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
+    if TRACE:
+        print("TRACE", pairs.count(), left.count(), links.count(), flush=True)
+    for table in (pairs, brief_sets, left, whole_sets):
+        drop_stored(table)
+    release(docs.sparkSession)
+    return links
+
+
+TRACE = False
 
 
 @dataclass
@@ -262,7 +307,7 @@ class Join:
 def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = True) -> Join:
     """Similar pairs among the classes of docs.
 
-    With all_links false pairs within a component may be missing, as long as the
+    Without all_links, pairs within a component may be missing, as long as the
     links that are there connect the same classes; long lists of near copies then
     cost a linear number of comparisons.
 
@@ -279,42 +324,39 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     unique = _postings(docs.filter("doc_id is not null"), rule, level_b).repartition("token").dropDuplicates(["token", "key"])
     lists = stored(unique.withColumn("df", F.count("*").over(by_token)).filter("df > 1"), "lists")
     size = lists.agg(F.count("*").alias("rows"), F.sum((F.col("df") - 1) / 2).alias("pairs")).first()
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     links = spark.createDataFrame([], schema)
     if not size["rows"]:
         return Join(profiles, links)
     most = PAIRS_PER_POSTING * size["rows"]
-    comps, n_pairs = None, size["pairs"]
+    n_pairs = size["pairs"]
 
     def fit(n, m, i, j) -> Column:
-        shared = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+        # of a similar pair the row of its first common token stays: all it shares stands from there on
+        shared = F.least(n - i, m - j)
         return rule.sizes_fit(n, m) & (shared >= rule.pair_overlap(n, m))
 
-    def with_component(df: DataFrame) -> DataFrame:
-        if comps is None:
-            return df.withColumn("comp", F.col("key"))
-        return df.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-
+    members = lists.withColumn("comp", F.col("key"))
     n_round = 0
     while not all_links and n_pairs > most and n_round < MAX_PIVOT_ROUNDS:
-        pivot = F.min(F.struct(F.xxhash64("key", F.lit(n_round)).alias("h"), "key", "n", "pos", "comp")).over(by_token)
-        cand = with_component(lists).withColumn("p", pivot).filter(F.col("comp") != F.col("p.comp"))
+        # where a token stands first, little is the member's own: it is likely what the others were copied from
+        pivot = F.min(F.struct("pos", F.xxhash64("key", F.lit(n_round)).alias("h"), "key", "n", "comp")).over(by_token)
+        cand = members.withColumn("p", pivot).filter(F.col("comp") != F.col("p.comp"))
         cand = cand.filter(fit(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
         pairs = cand.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
         new = _verified(pairs, docs, classes, rule, level_b)
-        found = new.count()
-        n_round += 1
-        links = links.union(new)
-        if found:
-            comps = stored(connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("comp")), "components")
-        per_comp = with_component(lists).groupBy("token", "comp").agg(F.count("*").alias("k"))
+        links, n_round = links.union(new), n_round + 1
+        if new.isEmpty():
+            break
+        comps = connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("comp"))
+        members = stored(lists.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
+        per_comp = members.groupBy("token", "comp").agg(F.count("*").alias("k"))
         left = per_comp.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("e")).agg(F.sum("e").alias("e")).first()["e"]
-        if n_pairs - left < 0.02 * n_pairs:
-            n_pairs = left
+        slow, n_pairs = n_pairs - left < 0.05 * n_pairs, left
+        if slow:
             break
-        n_pairs = left
     if n_pairs:
-        mixed = with_component(lists).withColumn("many", F.min("comp").over(by_token) != F.max("comp").over(by_token)).filter("many").select("token", "key", "n", "pos", "comp")
+        mixed = members.withColumn("many", F.min("comp").over(by_token) != F.max("comp").over(by_token)).filter("many").select("token", "key", "n", "pos", "comp")
         x, y = mixed.alias("x"), mixed.alias("y")
         cand = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
         cand = cand.filter(fit(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))

@@ -84,7 +84,7 @@ def test_repeats_and_empty_tables(spark):
 
 def test_prefixes_lose_no_similar_pair():
     rng = np.random.default_rng(0)
-    level = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
+    level = rng.integers(0, 255, 1 << 10).astype(np.uint8)
     rule = jaccard.Rule(3, 90)
     for _ in range(200):
         n = int(rng.integers(1, 120))
@@ -94,10 +94,18 @@ def test_prefixes_lose_no_similar_pair():
         if 100 * both < 90 * (len(a) + len(b) - both):
             continue
         for seed in jaccard._SEEDS:
-            pre = [jaccard.ranked(x, level, seed, len(x) - rule.overlap(len(x)) + 1) for x in (a, b)]
+            pre = [jaccard.ranked(x, level[jaccard.buckets(x, 10)], seed, len(x) - rule.overlap(len(x)) + 1) for x in (a, b)]
             assert len(np.intersect1d(*pre))
 
 
+def test_levels_keep_the_order_of_counts():
+    for scale in (0.1, 5, 800):
+        counts = np.random.default_rng(1).poisson(scale, 4096).astype(np.uint32)
+        counts[:8] = [0, 1, 2, 50, 3000, 10**5, 10**6, 10**7]
+        order = np.argsort(counts, kind="stable")
+        assert (np.diff(jaccard.levels(counts)[order].astype(int)) >= 0).all()
+
+
 WINDOW = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
