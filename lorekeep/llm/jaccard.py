@@ -384,7 +384,11 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of docs, all columns, without those that link to a smaller doc_id's component; of repeated rows one stays."""
+    """The rows of docs, all columns, without those in the component of a smaller doc_id.
+
+    Of rows with the same doc_id and text one stays; rows with a null doc_id all stay.
+    """
     comp = components(docs, rule)
     gone = comp.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
