@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 MAX_ROWS_LANG = 3_000
 MAX_LANGS = 256
 UNDETERMINED = "und"
+#: Bytes of a slice: every character has several n-grams, each with its document.
+SLICE_BYTES = 1 << 19
 #: Evidence counts as so many independent n-grams at most, which keeps scores of long texts from saturating at once.
 EVIDENCE = 50.0
 
@@ -131,7 +133,7 @@ def train(docs: DataFrame, modulus: int = 5, held_out: int = 0, max_rows_lang: i
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             codes = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for s in textbuf.slices(batch.column("text")):
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):
                 bucket, doc, _ = grams(s)
                 lang_of = codes[s.row : s.row + s.n][doc]
                 for j in np.unique(lang_of):
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: NaiveBayes, modulus: int = 5, held_out: int
 
     def make():
         def run(batch: pa.RecordBatch):
-            parts = [model_b.value.predict(s) for s in textbuf.slices(batch.column("text"))]
+            parts = [model_b.value.predict(s) for s in textbuf.slices(batch.column("text"), SLICE_BYTES)]
             names = [x for p in parts for x in p[0]]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate([p[1] for p in parts]))], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -178,7 +180,7 @@ def keep(docs: DataFrame, model: NaiveBayes, least: float = 0.5) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch):
             ok = []
-            for s in textbuf.slices(batch.column(at)):
+            for s in textbuf.slices(batch.column(at), SLICE_BYTES):
                 names, score = model_b.value.predict(s)
                 ok += [x != UNDETERMINED and p >= least for x, p in zip(names, score, strict=True)]
             return batch.filter(pa.array(ok, pa.bool_()))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice holds, unless a single document is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15

@@ -40,7 +40,7 @@ DICT_DOCS, DICT_BYTES, DICT_SIZE = 2_000, 8 << 20, 64 << 10
 #: Bytes of text that go to one shard; inputs of fewer than MIN_SHARDS such get smaller shards.
 SHARD_BYTES, MIN_SHARDS, LEAST_SHARD = 256 << 20, 48, 8 << 20
 #: Distinct units whose ids a Python worker remembers.
-CACHE = 1_200_000
+CACHE = 600_000
 LEVEL = 3
 
 _SPACE = ~textbuf.NON_SPACE
