@@ -5,42 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_stored, stored
 from .session import fold
 
 #: Rows and bytes of text that a classifier is fitted on at most.
 MAX_ROWS = 8_000
 MAX_BYTES = 32 << 20
+#: A text of over one LONG-th of the bytes is long.
+LONG = 64
 
 
 def sample_ids(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out: int, max_rows: int, max_bytes: int) -> list[tuple[int, int]]:
-    """(doc_id, label) of labelled rows outside the held-out fold: those with the smallest hash of the id.
+    """(doc_id, label) of labelled rows of docs outside the held-out fold: those with the smallest hash of the id.
 
     A doc_id that repeats in labels counts once, with its largest label.  Rows
-    with a null id or a label other than 0 and 1 take no part.
+    with a null id or a label other than 0 and 1 take no part, nor do labels
+    without a document.  What doesn't fit in max_bytes any more is passed over.
+    Long texts, of over 1 / LONG of max_bytes, have half the bytes, and what
+    others leave; only a text of over max_bytes itself takes no part.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", modulus) != out))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-        .limit(max_rows)
     )
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    rows = (
-        sizes.join(F.broadcast(known), "doc_id")  # at most max_rows rows
-        .groupBy("doc_id", "y")
-        .agg(F.max("size").alias("size"))
-        .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-        .collect()
-    )
-    out_rows, total = [], 0
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).filter(fold("doc_id", modulus) != out)
+    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
+    both = sizes.groupBy("doc_id").agg(F.max("size").alias("size")).join(known, "doc_id").withColumn("long", F.col("size") > max_bytes // LONG)
+    both = stored(both.filter(F.col("size") <= max_bytes), "labelled")
+    short = both.filter("not long").orderBy(*order).limit(max_rows)
+    rows = short.union(both.filter("long").orderBy(*order).limit(min(LONG, max_rows))).orderBy(*order).collect()  # LONG: more can't fit
+    drop_stored(both)
+    chosen, total, total_long = set(), 0, 0
+    for r in rows:
+        if len(chosen) < max_rows and total + r["size"] <= max_bytes and (not r["long"] or total_long + r["size"] <= max_bytes // 2):
+            chosen.add(r["doc_id"])
+            total += r["size"]
+            total_long += r["size"] if r["long"] else 0
     for r in rows:
-        total += r["size"]
-        if out_rows and total > max_bytes:
-            break
-        out_rows.append((r["doc_id"], r["y"]))
-    return out_rows
+        if r["doc_id"] not in chosen and len(chosen) < max_rows and total + r["size"] <= max_bytes:
+            chosen.add(r["doc_id"])
+            total += r["size"]
+    return [(r["doc_id"], r["y"]) for r in rows if r["doc_id"] in chosen]
 
 
 def sampled_docs(docs: DataFrame, ids: list[tuple[int, int]], *columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import langid, quality, textbuf, toxicity
+from lorekeep.llm import labelled, langid, quality, textbuf, toxicity
 from lorekeep.llm.session import crc32_text
 
 LANGS = {"en": "the and of that with from this have not they", "de": "der und die das mit von nicht sie einen größe", "fr": "le et de la que avec dans pas une été"}
@@ -136,3 +136,17 @@ def test_word_hashes_do_not_depend_on_the_place():
     assert a.hash[1] == a.hash[3] and a.doc.tolist() == [0, 0, 0, 1]
     glued = textbuf.words(next(textbuf.slices(pa.array(["ab", "cd", None, ""]))), textbuf.NON_SPACE)
     assert glued.n == 2 and glued.doc.tolist() == [0, 1]
+
+
+def test_long_texts_and_labels_without_documents_leave_room_for_the_others(spark):
+    ids = list(range(400))
+    order = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").collect()]
+    free = [i for i in order if crc32_text(i) % 4 != 2]
+    sizes = {i: 10 for i in ids} | {free[0]: 5_000, free[1]: 900, free[2]: 400}
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(i, 1) for i in range(1000, 9000)], "doc_id long, quality int")
+    got = [i for i, _ in labelled.sample_ids(docs, labels, "quality", 4, 2, 50, 1_000)]
+    assert got == free[2:52]
+    all_long = [i for i, _ in labelled.sample_ids(docs.filter(F.length("text") > 10), labels, "quality", 4, 2, 50, 1_000)]
+    assert all_long == free[2:3]
+    assert [i for i, _ in labelled.sample_ids(docs.filter(F.col("doc_id") == free[1]), labels, "quality", 4, 2, 50, 1_000)] == free[1:2]
