@@ -125,7 +125,12 @@ class Nearest:
         limit = self.limit**2
         if len(ids) > 2 * self.k:
             high = np.where(own, np.inf, square - twice * np.maximum(estimate - error[:, None], -1))
-            limit = np.minimum(limit, np.partition(high, self.k - 1, axis=0)[self.k - 1])
+            by_id = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
+            if len(first) < len(ids):  # rows of one id fill one place: the least bound of each counts
+                high = np.minimum.reduceat(high[by_id], first, axis=0)
+            if len(high) >= self.k:
+                limit = np.minimum(limit, np.partition(high, self.k - 1, axis=0)[self.k - 1])
         slack = 1e-5 * (1 + square.max(initial=0))  # the estimates are in single precision
         at, to = np.nonzero((low <= limit + slack) & ~own)
         step = 1 << 17

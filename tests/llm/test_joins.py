@@ -221,6 +221,17 @@ def test_nearest_against_brute_force(spark):
     assert sum(got[q] == want[q] for q in want) >= 0.9 * len(want)
 
 
+def test_copies_of_one_id_fill_one_place(spark):
+    rng = random.Random(8)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(8)]) for i in range(60)]
+    rows += [(1, rows[0][1])] * 40 + [(2, [float(np.float32(x + 0.01)) for x in rows[0][1]])] * 30
+    index = ann.build(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    got = {}
+    for r in ann.search(index, index.rows.filter("vec_id = 0").select("vec_id", "vector"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert got[0] == _brute_nearest(rows, 5)[0]
+
+
 def test_no_vectors_and_few_vectors(spark):
     empty = ann.build(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>"))
     assert ann.search(empty, empty.rows, 3).count() == 0
