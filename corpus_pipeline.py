@@ -26,8 +26,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word shingles at Jaccard 0.8."""
-    return jaccard.keep_one(docs, jaccard.Rule(words=5, percent=80))
+    """Keeps one row, of the smallest doc_id, of each group linked by five-word shingles at Jaccard 0.8."""
+    return jaccard.keep_one(docs, jaccard.Rule(words=5, percent=80), with_null_ids=True)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,12 +383,27 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of docs, all columns, without those in the component of a smaller doc_id.
-
-    Of rows with the same doc_id and text one stays; rows with a null doc_id all stay.
+def keep_one(docs: DataFrame, rule: Rule | None = None, with_null_ids: bool = False) -> DataFrame:
+    """The rows of docs, all columns, that stand first in their component: one row of each.
+
+    A row is a doc_id with its text, so the other texts of a repeated id stay
+    or go by themselves, and near copies under one id count as copies.  First is
+    the smallest doc_id, of those the smallest 64-bit hash of id and text.  Rows
+    with a null id are grouped among themselves or, with_null_ids, with all rows,
+    where they come last.  Texts without words are in no group; of those, as of
+    all rows, equal texts of one id (or of none) stay once.
     """
-    comp = components(docs, rule)
-    gone = comp.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    row = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    join = jaccard_join(docs.select(row.alias("doc_id"), "text"), rule, all_links=False)
+    labels = connected_components(join.links).withColumnRenamed("id", "key")
+    rows = join.profiles.withColumnRenamed("doc_id", "row").distinct().join(docs.select(row.alias("row"), "doc_id").distinct(), "row")
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull())
+    least = F.min(F.struct("no_id", "doc_id", "row")).alias("f")
+    classes = rows.filter("key is not null").groupBy("key", "no_id").agg(least).join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = classes.groupBy("component", *([] if with_null_ids else ["no_id"])).agg(F.min("f").alias("f")).select("f.row")
+    stay = stored(first.union(rows.filter("key is null").select("row")), "stay").withColumnRenamed("row", _ROW)
+    return docs.withColumn(_ROW, row).dropDuplicates([_ROW]).join(stay, _ROW, "left_semi").select(*docs.columns)
+
+
+#: Column of the hash that stands for a row; no column of docs may have this name.
+_ROW = "lorekeep_row"

@@ -82,6 +82,23 @@ def test_repeats_and_empty_tables(spark):
     assert jaccard.components(docs.filter("false")).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in (0, 59)]
+    alone = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(1, " ".join(base)), (5, near[0]), (5, alone[0]), (7, alone[1]), (7, alone[1].upper()), (7, alone[1] + " more"), (None, near[1]), (None, alone[2]), (None, alone[2]), (None, alone[2] + " more")]
+    rows += [(None, alone[3]), (9, ""), (9, ""), (9, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int")
+    kept = jaccard.keep_one(docs, with_null_ids=True)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 8
+    for want in [(1, " ".join(base)), (5, alone[0]), (None, alone[3]), (9, ""), (9, None), (None, "")]:
+        assert got.count(want) == 1
+    assert sum(i == 7 for i, _ in got) == 1 and sum(i is None and (t or "").startswith("c0") for i, t in got) == 1
+    apart = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()]
+    assert len(apart) == 9 and (None, near[1]) in apart
+
+
 def test_prefixes_lose_no_similar_pair():
     rng = np.random.default_rng(0)
     level = rng.integers(0, 255, 1 << 10).astype(np.uint8)
