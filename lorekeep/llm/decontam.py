@@ -35,7 +35,7 @@ BLOCK_WORDS = 1_000_000
 class Block:
     """Benchmark items: word hashes one after another."""
 
-    items: list[str]
+    items: list[str | None]
     words: np.ndarray
     begin: np.ndarray
 
@@ -165,14 +165,13 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 
         return run
 
-    rows = map_batches(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null"), make, "item string, words array<long>")
+    rows = map_batches(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text is not null"), make, "item string, words array<long>")
     items: list[str] = []
     words: list[np.ndarray] = []
     total = 0
 
     def block() -> Block:
-        names = sorted(set(items))
-        return Block([*items], np.concatenate(words), np.concatenate([[0], np.cumsum([len(x) for x in words])])) if names else None
+        return Block([*items], np.concatenate(words), np.concatenate([[0], np.cumsum([len(x) for x in words])]))
 
     for r in rows.toLocalIterator():
         own = np.array(r["words"], np.int64).view(np.uint64)
@@ -203,8 +202,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
 
     hits are merged half-open ranges of hit words, items the sorted ids whose
     windows occur, longest the longest verbatim match in words (to MAX_DEPTH) and
-    longest_at the word it begins at, -1 without any.  Null and empty texts have
-    no words; an empty benchmark hits nothing.  Repeated rows are searched each,
+    longest_at the word it begins at, -1 without any.  Items without an id mark
+    hits, and only the id is left out of items.  Null and empty texts have no words; an empty benchmark hits nothing.  Repeated rows are searched each,
     and columns of docs may have any other names.
     """
     names = columns or ["doc_id"]
@@ -234,7 +233,7 @@ def _pass(block_b):
                     own = np.flatnonzero(np.diff(f.hit[f.begin[d] : f.begin[d + 1]].astype(np.int8), prepend=0, append=0))
                     ranges = list(zip(own[::2].tolist(), own[1::2].tolist(), strict=True))
                     out["hits"][s.row + d] = _merged([(x["a"], x["b"]) for x in out["hits"][s.row + d]], ranges)
-                    out["items"][s.row + d] = sorted({*out["items"][s.row + d], *(block.items[i] for i in f.items[d])})
+                    out["items"][s.row + d] = sorted({*out["items"][s.row + d], *(x for i in f.items[d] if (x := block.items[i]) is not None)})
             hits = pa.array([[{"a": x[0], "b": x[1]} if isinstance(x, tuple) else x for x in r] for r in out["hits"]], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
             cols = [batch.column("row"), batch.column("text"), pa.array(out["n_words"], pa.int64()), hits, pa.array(out["items"], pa.list_(pa.string())), pa.array(out["longest"], pa.int64()), pa.array(out["longest_at"], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, ["row", "text", "n_words", "hits", "items", "longest", "longest_at"])

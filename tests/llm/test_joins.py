@@ -179,6 +179,17 @@ def test_longest_match_and_empty_benchmark(spark):
     assert decontam.report(d.filter("false"), b).count() == 0
 
 
+def test_items_without_id_mark_hits(spark):
+    item = " ".join(f"a{i}" for i in range(12))
+    d = spark.createDataFrame([(1, f"x {item} y"), (2, "b c d"), (3, "q")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), (4, "b c"), (None, None)], "item_id long, text string")
+    for block_words in (1_000_000, 5):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(d, b, block_words).collect()}
+        none, four = decontam.sha256_of([]), decontam.sha256_of(["4"])
+        assert got == {1: (12, 0, none, True), 2: (2, 1, four, True), 3: (0, 0, none, False)}
+        assert [r["doc_id"] for r in decontam.clean(d, b, block_words).collect()] == [3]
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 URLS = ["http://a.example.com/en/x?y#z", "https://WWW.Example.COM/en/", "http://www.example.com/en", "http://x.net/fr/1", "http://net/es/", "http://notnet/es/", "ftp://e.com", "no host", "", None, "http://a.b.net#/es/", "x://y://z.com/", "http://example.com:80/en/", "http://.com/", "http:///en/"]
 
