@@ -5,6 +5,8 @@ the positions whose first words begin some benchmark suffix, sorted by the words
 that follow, to a depth of MAX_DEPTH words at most.  Every benchmark suffix is
 looked up in it by binary search, which gives the range of positions that a
 window of it occurs at, and the longest verbatim match of each such position.
+Where a match reaches that depth, it is followed to its end among the benchmark
+suffixes sorted by all their words.
 Documents never leave their slice, so there is no shuffle; the benchmark is
 broadcast in blocks of BLOCK_WORDS words, one pass of a block after the other.
 """
@@ -12,6 +14,7 @@ broadcast in blocks of BLOCK_WORDS words, one pass of a block after the other.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,7 @@ from .session import map_batches
 WINDOW = 10
 #: First words of a position that have to begin a benchmark suffix for it to enter the array.
 SEED_WORDS = 3
+#: Words by which the array is sorted; longer matches are followed from there.
 MAX_DEPTH = 64
 #: Words of the benchmark that are broadcast at once.
 BLOCK_WORDS = 1_000_000
@@ -50,6 +54,10 @@ class Block:
         rows = np.where(np.arange(self.depth) < left[:, None], code[np.minimum(place, len(code) - 1)], 0) if len(code) else np.zeros((0, self.depth), np.int64)
         self.suffixes = _text(rows)
         self.order = np.argsort(self.suffixes, kind="stable")
+        self.code, self.left = code.astype(">u4"), left
+        self.deep = bool(n.max(initial=0) > self.depth)
+        if self.deep:
+            self.order = self._full_order()
         # windows: WINDOW words, or the whole of a shorter item
         short = n < WINDOW
         whole = np.repeat(short, n)
@@ -73,6 +81,37 @@ class Block:
             if ok.any():
                 self.seeds[k] = np.unique(h[ok])
 
+    def _full_order(self) -> np.ndarray:
+        """Suffixes in the order of all their words, by doubling the words that ranks tell apart."""
+        rank, n, told = np.unique(self.suffixes, return_inverse=True)[1].astype(np.int64), len(self.left), self.depth
+        while told < self.left.max():
+            after = np.where(self.left > told, rank[np.minimum(np.arange(n) + told, n - 1)] + 1, 0)
+            order = np.lexsort((after, rank))
+            new = (np.diff(rank[order], prepend=-1) != 0) | (np.diff(after[order], prepend=-1) != 0)
+            before = rank.max()
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new) - 1
+            if rank.max() == before:  # no suffixes were told apart, so none will be
+                break
+            told *= 2
+        return np.argsort(rank, kind="stable")
+
+    def match(self, text: bytes) -> int:
+        """The most first words of text (codes in 4 bytes) that stand in an item."""
+        code, size = memoryview(self.code).cast("B"), len(text)
+
+        def suffix(i: int) -> bytes:
+            return bytes(code[4 * i : 4 * i + min(4 * int(self.left[i]), size)])
+
+        at = bisect_left(self.order, text, key=suffix)
+        best = 0
+        for i in self.order[max(0, at - 1) : at + 1]:
+            own = np.frombuffer(suffix(i), ">u4")
+            other = np.frombuffer(text, ">u4", len(own))
+            unlike = np.flatnonzero(own != other)
+            best = max(best, int(unlike[0]) if len(unlike) else len(own))
+        return best
+
 
 def _text(codes: np.ndarray) -> np.ndarray:
     """Rows of word codes as byte strings that sort like the rows; 0 ends a string."""
@@ -147,9 +186,33 @@ def search(s: textbuf.Slice, block: Block) -> Found:
     for i in np.lexsort((pos, -best))[::-1]:
         d = w.doc[pos[i]]
         out.longest[d], out.longest_at[d] = best[i], pos[i] - begin[d]
+    if block.deep:
+        _follow(out, block, w.doc, pos, codes, best)
     return out
 
 
+def _follow(out: Found, block: Block, doc: np.ndarray, pos: np.ndarray, codes: np.ndarray, best: np.ndarray) -> None:
+    """The longest matches of documents where some reach the depth of the array.
+
+    Such positions stand in runs, one for each verbatim match or several that
+    overlap.  No match goes beyond the words of its run, so positions that have
+    too few of them left need no search.
+    """
+    full = np.flatnonzero(best == block.depth)
+    full = full[np.argsort(pos[full])]
+    p = pos[full]
+    # a run ends where the next position is not full or belongs to another document
+    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(doc[p]) != 0)) + 1
+    for run in np.split(full, cut) if len(full) else []:
+        d = doc[pos[run[0]]]
+        words = np.concatenate([codes[run, 0], codes[run[-1], 1:]]).astype(">u4").tobytes()
+        n, i = len(words) // 4, 0
+        while n - i > out.longest[d]:
+            if (size := block.match(words[4 * i :])) > out.longest[d]:
+                out.longest[d], out.longest_at[d] = size, pos[run[i]] - out.begin[d]
+            i += 1
+
+
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """Blocks of whole items, of block_words words unless one item is longer. Items without words are left out."""
 
@@ -201,9 +264,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
     """Every row of docs (columns, else doc_id) with n_words, hits, items, longest and longest_at.
 
     hits are merged half-open ranges of hit words, items the sorted ids whose
-    windows occur, longest the longest verbatim match in words (to MAX_DEPTH) and
-    longest_at the word it begins at, -1 without any.  Items without an id mark
-    hits, and only the id is left out of items.  Null and empty texts have no words; an empty benchmark hits nothing.  Repeated rows are searched each,
+    windows occur, longest the longest verbatim match in words, of any length, and
+    longest_at the first word it begins at, -1 without any.  Matches of fewer than
+    SEED_WORDS words are not told, unless they are whole items.  Items without an
+    id mark hits and matches, and only the id is left out of items.  Null and
+    empty texts have no words; an empty benchmark hits nothing.  Repeated rows are searched each,
     and columns of docs may have any other names.
     """
     names = columns or ["doc_id"]
@@ -226,7 +291,7 @@ def _pass(block_b):
                 f = search(s, block)
                 out["n_words"][s.row : s.row + s.n] = f.n_words.tolist()
                 for d in np.flatnonzero(f.longest > 0):
-                    if f.longest[d] > out["longest"][s.row + d]:
+                    if (f.longest[d], -f.longest_at[d]) > (out["longest"][s.row + d], -out["longest_at"][s.row + d]):
                         out["longest"][s.row + d], out["longest_at"][s.row + d] = int(f.longest[d]), int(f.longest_at[d])
                     if not f.items[d]:
                         continue

@@ -190,6 +190,32 @@ def test_items_without_id_mark_hits(spark):
         assert [r["doc_id"] for r in decontam.clean(d, b, block_words).collect()] == [3]
 
 
+def _brute_longest(words, items):
+    best, at = 0, -1
+    for i in range(len(words)):
+        for t in items:
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                    n += 1
+                if n > best and n >= 3:
+                    best, at = n, i
+    return best, at
+
+
+def test_longest_matches_at_full_depth(spark):
+    rng = random.Random(11)
+    a = [f"a{rng.randrange(400)}" for _ in range(300)]
+    b = a[20:150] + [f"b{k}" for k in range(150)]
+    items = [a, b, ["z"] * 90 + ["y"] + ["z"] * 80, a[:70]]
+    docs = [a[5:75] + ["x"] + a[30:260] + ["x"], a[100:] + a, b[60:210] + ["q"] + a[:280], ["z"] * 200, ["z"] * 85 + ["y"] + ["z"] * 70, a[20:160], a[:64] + b[:65], ["q"] * 70, a[:30]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for block_words in (1_000_000, 100):
+        got = {r["doc_id"]: (r["longest_match"], r["longest_at"]) for r in decontam.report(d, t, block_words).collect()}
+        assert got == {i: _brute_longest(w, items) for i, w in enumerate(docs)}
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 URLS = ["http://a.example.com/en/x?y#z", "https://WWW.Example.COM/en/", "http://www.example.com/en", "http://x.net/fr/1", "http://net/es/", "http://notnet/es/", "ftp://e.com", "no host", "", None, "http://a.b.net#/es/", "x://y://z.com/", "http://example.com:80/en/", "http://.com/", "http:///en/"]
 
