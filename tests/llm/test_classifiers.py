@@ -150,3 +150,25 @@ def test_long_texts_and_labels_without_documents_leave_room_for_the_others(spark
     all_long = [i for i, _ in labelled.sample_ids(docs.filter(F.length("text") > 10), labels, "quality", 4, 2, 50, 1_000)]
     assert all_long == free[2:3]
     assert [i for i, _ in labelled.sample_ids(docs.filter(F.col("doc_id") == free[1]), labels, "quality", 4, 2, 50, 1_000)] == free[1:2]
+
+
+def test_a_rare_language_is_told_by_its_full_evidence():
+    s = next(textbuf.slices(pa.array(["ab " * 400, "ab"])))
+    table = np.full((2, langid.BUCKETS), -10.0, np.float32)
+    table[1] += 0.05  # the rare language is a little likelier at each n-gram
+    names, score = langid.NaiveBayes(["big", "rare"], table, np.log([0.999, 0.001])).predict(s)
+    assert names == ["rare", "big"] and 0.5 <= score[0] <= 1
+
+
+def test_more_languages_than_a_matrix_holds(spark, tables, monkeypatch):
+    docs = tables[0]
+    whole = langid.train(docs)
+    want = sorted(langid.predict(docs, whole).collect(), key=str)
+    kept = sorted(map(str, langid.keep(docs, whole).collect()))
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    model = langid.train(docs)
+    assert len(model.langs) == 1 and len(list(model.more())) == 2
+    got = sorted(langid.predict(docs, model).collect(), key=str)
+    assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["lang_pred"]) for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want])
+    assert sorted(map(str, langid.keep(docs, model).collect())) == kept
