@@ -5,15 +5,21 @@ with equal sets form a class, and only classes are compared.  Under any global
 order of the tokens two sets of Jaccard similarity t or more share a token among
 the first n - ceil(t * n) + 1 of each.  Order 1 gives candidates: shared tokens
 of those prefixes, cut by length and position.  Under orders 2 and 3 each set
-has a longer prefix, of which similar sets must share a computed number of
-tokens; candidates have to pass every order before the whole sets are compared.
+has a longer prefix, kept as a bit map of 256 places, of which similar sets must
+share a computed number of tokens; candidates have to pass every order before
+the whole sets are compared.
 
 All orders put frequent tokens last, by a count sketch of fixed size: order 1 by
 the counts themselves, orders 2 and 3 by their magnitudes; each then goes by a
-hash of its own.  Lists of a token that are
-long are not paired off: in rounds, every member is compared with one pivot of
-its list, the links found are contracted to components, and only members of
-different components are paired at the end.  Nothing is sampled or capped.
+hash of its own.
+
+The members of a token's list are never paired off.  In every round each member
+is compared with the pivots of its list: one in round 0, at most PIVOTS**r in
+round r.  A pivot has then met all it can be similar to and leaves the list, and
+a list ends when its members are known to be connected.  A list of near copies so
+costs a comparison for each member, as its first pivot is the one with the fewest
+tokens of its own, likely what the others were copied from.  Nothing is sampled
+or capped, and nothing depends on the size of the input.
 """
 
 from __future__ import annotations
@@ -26,20 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..sources.shared import drop_stored, release, stored
 from . import textbuf
-from .session import map_batches
+from .session import bounded_batches, map_batches
 
 #: Counters of the sketch, and places of the bit maps, as powers of 2; counters of one row when they are summed.
 SKETCH_BITS, MARK_BITS, CHUNK_BITS = 24, 22, 16
 #: Tokens by which the prefixes of orders 2 and 3 are longer than needed; they must share as many more.
 EXTRA = 48
-#: Pairs for each posting up to which lists are paired off at once.
-PAIRS_PER_POSTING = 6
-MAX_PIVOT_ROUNDS = 8
+#: Pivots of a list grow by this factor from round to round.
+PIVOTS = 16
+#: Places of the bit maps of orders 2 and 3, as longs.
+MAP_LONGS = 4
+#: Size classes that lists are cut by after round 0: sizes of one class differ by 2 % at most.
+SIZE_STEP = 1.02
 #: Class keys that a task remembers so as not to repeat postings of copies.
 SEEN = 200_000
 _SEEDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
@@ -60,6 +68,10 @@ class Rule:
         """Least intersection of similar sets of n and m."""
         return F.ceil(F.lit(self.percent) * (n + m) / F.lit(100.0 + self.percent) - F.lit(1e-9))
 
+    def can_link(self, n: int) -> bool:
+        """Whether a set of n can be similar to one that is not equal."""
+        return 100 * n >= self.percent * (n + 1)
+
     def sizes_fit(self, n: Column, m: Column) -> Column:
         return F.lit(100) * F.least(n, m) >= F.lit(self.percent) * F.greatest(n, m)
 
@@ -144,59 +156,103 @@ def ranked(tokens: np.ndarray, level: np.ndarray, seed: np.uint64, k: int) -> np
     return tokens[order[np.argsort(key[order])]]
 
 
-def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (doc_id, n, key) of all documents, and rows (chunk, counts) with the token counts of each task."""
+def _counted(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How many documents hold a token of each of the sketch's buckets: a level each."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
-            n, keys = [], []
             for s in textbuf.slices(batch.column("text")):
-                found = []
-                for tokens in shingle_sets(s, rule.words):
-                    n.append(len(tokens))
-                    keys.append(class_key(tokens) if len(tokens) else None)
-                    found.append(tokens)
-                at, more = np.unique(buckets(np.concatenate(found)).astype(np.uint32), return_counts=True)
+                at, more = np.unique(buckets(np.concatenate(list(shingle_sets(s, rule.words)))).astype(np.uint32), return_counts=True)
                 counts[at] = np.minimum(counts[at] + more, 2**16 - 1)
-            nothing = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         chunk, data = chunk_rows(counts)
         if chunk:
-            nothing = pa.nulls(len(chunk))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.int64()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
+
+    bounded_batches(docs.sparkSession)
+    return levels(summed_chunks(docs.select("text").mapInArrow(run, "chunk int, counts binary")))
+
+
+def bit_map(tokens: np.ndarray) -> np.ndarray:
+    """Which of 64 * MAP_LONGS places hold one of the tokens, as signed longs."""
+    place = (textbuf.mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * MAP_LONGS)
+    bits = np.zeros(64 * MAP_LONGS, np.uint8)
+    bits[place] = 1
+    return np.packbits(bits).view(np.int64)
 
-    names = ["doc_id", "n", "key", "chunk", "counts"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, chunk int, counts binary")
 
+#: A row of _rows: a document (kind 0), a class (1) or a posting (2). order: its first byte says how frequent the
+#: prefix tokens of the class are (0: most), then come the size and the position.
+MAPS = [f"m{i}" for i in range(2 * MAP_LONGS)]
+ROW_SCHEMA = "kind int, doc_id long, key long, n int, token long, order long, " + ", ".join(f"{c} long" for c in MAPS)
+_SIZE = (1 << 28) - 1
 
-def _postings(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
-    """(token, key, n, pos) of the order-1 prefix of every class, perhaps more than once."""
+
+def _rows(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
+    """Documents, classes with the bit maps of orders 2 and 3, and postings of the order-1 prefixes.
+
+    A class and its postings may come more than once. Documents without id have no postings.
+    """
 
     def make():
         seen: set[int] = set()
 
         def run(batch: pa.RecordBatch):
             level = level_b.value
-            toks, keys, ns, pos = [], [], [], []
+            doc_ns, doc_keys = [], []
+            keys, ns, maps = [], [], []
+            toks, orders, sizes = [], [], []
+            has_id = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for s in textbuf.slices(batch.column("text")):
                 for tokens in shingle_sets(s, rule.words):
-                    n = len(tokens)
-                    if not n or (key := class_key(tokens)) in seen:
+                    n, i = len(tokens), len(doc_ns)
+                    key = class_key(tokens) if n else None
+                    doc_ns.append(n)
+                    doc_keys.append(key)
+                    if not has_id[i] or not rule.can_link(n) or key in seen:
                         continue
                     if len(seen) < SEEN:
                         seen.add(key)
+                    own = level[buckets(tokens)]
                     p = n - rule.overlap(n) + 1
-                    toks.append(ranked(tokens, level[buckets(tokens)], _SEEDS[0], p))
-                    keys.append(np.full(p, key, np.int64))
-                    ns.append(np.full(p, n, np.int32))
-                    pos.append(np.arange(p, dtype=np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(pos))], ["token", "key", "n", "pos"])
+                    first = ranked(tokens, own, _SEEDS[0], p)
+                    rare = 255 - int(level[buckets(first)].mean())
+                    keys.append(key)
+                    ns.append(n)
+                    k, own = prefix_size(n, rule), magnitudes(own)
+                    maps.append(np.concatenate([bit_map(ranked(tokens, own, seed, k)) for seed in _SEEDS[1:]]))
+                    toks.append(first)
+                    orders.append((rare << 55) + (n << 27) + np.arange(p))
+                    sizes.append(p)
+            rows = [_batch(0, len(doc_ns), doc_id=batch.column("doc_id"), key=pa.array(doc_keys, pa.int64()), n=pa.array(doc_ns, pa.int32()))]
+            if keys:
+                m = np.stack(maps)
+                rows.append(_batch(1, len(keys), key=pa.array(keys, pa.int64()), n=pa.array(ns, pa.int32()), **{c: pa.array(m[:, i]) for i, c in enumerate(MAPS)}))
+                rows.append(_batch(2, sum(sizes), key=pa.array(np.repeat(np.array(keys, np.int64), sizes)), token=pa.array(np.concatenate(toks).view(np.int64)), order=pa.array(np.concatenate(orders))))
+            yield from rows
 
         return run
 
-    return map_batches(docs.select("text"), make, "token long, key long, n int, pos int")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, ROW_SCHEMA)
+
+
+def _batch(kind: int, size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    names = ["doc_id", "key", "n", "token", "order", *MAPS]
+    types = {"n": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[columns[c] if c in columns else pa.nulls(size, types.get(c, pa.int64())) for c in names]], ["kind", *names])
+
+
+def prefix_size(n: int, rule: Rule) -> int:
+    """Tokens of orders 2 and 3 that a bit map stands for."""
+    return min(n, n - rule.overlap(n) + 1 + EXTRA)
+
+
+def size_of(order: Column) -> Column:
+    return F.shiftright(order, 27).bitwiseAND(_SIZE).cast("int")
+
+
+def place_of(order: Column) -> Column:
+    return order.bitwiseAND((1 << 27) - 1).cast("int")
 
 
 def _marked(ids: DataFrame) -> np.ndarray:
@@ -213,87 +269,65 @@ def _marked(ids: DataFrame) -> np.ndarray:
     return summed_chunks(ids.mapInArrow(run, "chunk int, counts binary"), MARK_BITS) > 0
 
 
-def short(tokens: np.ndarray) -> np.ndarray:
-    """Their distinct values in 16 bits. Where two coincide, sizes tell how many were lost."""
-    return np.unique((tokens >> np.uint64(40)).astype(np.uint16)).view(np.int16)
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(key, tokens) of the classes in keys (key), stored.
 
-
-def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule, level_b, whole: bool) -> DataFrame:
-    """(key, n, k, s2, s3) or, whole, with tokens instead of s2 and s3, of the classes in keys (key).
-
-    s2 and s3 are the first k tokens of orders 2 and 3 in 16 bits each.
-
-    A bit map of fixed size sorts out most documents before they are read closely;
+    A bit map of fixed size sorts out most documents before their sets are made;
     those that pass by chance drop out of the join.
     """
-    spark = docs.sparkSession
     reps = stored(classes.join(keys, "key").select("key", "doc_id"), "reps")
-    marked_b = spark.sparkContext.broadcast(np.packbits(_marked(reps.select("doc_id"))))
-    names = ["tokens"] if whole else ["s2", "s3"]
+    marked_b = docs.sparkSession.sparkContext.broadcast(np.packbits(_marked(reps.select("doc_id"))))
 
     def make():
         marked = np.unpackbits(marked_b.value).astype(bool)
 
         def run(batch: pa.RecordBatch):
-            level = level_b.value
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
             if not batch.num_rows:
                 return
-            ns, ks, keys, cols = [], [], [], [[] for _ in names]
-            for s in textbuf.slices(batch.column("text")):
-                for tokens in shingle_sets(s, rule.words):
-                    n = len(tokens)
-                    k = min(n, n - rule.overlap(n) + 1 + EXTRA)
-                    ns.append(n)
-                    ks.append(k)
-                    keys.append(class_key(tokens))
-                    if whole:
-                        cols[0].append(tokens.view(np.int64))
-                    else:
-                        own = magnitudes(level[buckets(tokens)])
-                        for col, seed in zip(cols, _SEEDS[1:], strict=True):
-                            col.append(short(ranked(tokens, own, seed, k)) if n else tokens.astype(np.int16))
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate(c)) for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int32()), *lists], ["doc_id", "key", "n", "k", *names])
+            own = [tokens for s in textbuf.slices(batch.column("text")) for tokens in shingle_sets(s, rule.words)]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_key(x) if len(x) else 0 for x in own], pa.int64()), lists], ["doc_id", "key", "tokens"])
 
         return run
 
-    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key long, n int, k int, " + ", ".join(f"{x} array<{'long' if whole else 'short'}>" for x in names))
+    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key long, tokens array<long>")
     # a doc_id that repeats may have other texts, hence the key
-    return rows.join(reps, ["doc_id", "key"]).drop("doc_id")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, level_b) -> DataFrame:
-    """Those of the pairs (a, b) of class keys that are similar."""
-
-    def both(pairs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        sets = stored(_sets(docs, keys, classes, rule, level_b, whole), "sets")
-        for name in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in sets.columns if c != "key"]), name)
-        return pairs, sets
-
-    pairs = stored(pairs, "pairs")
-    brief, brief_sets = both(pairs, False)
-    need = rule.pair_overlap(F.col("n_a"), F.col("n_b"))
-    spare = F.least(F.col("k_a") - F.col("n_a"), F.col("k_b") - F.col("n_b"))
-    for s in ("s2", "s3"):
-        lost = F.least(F.col("k_a") - F.size(f"{s}_a"), F.col("k_b") - F.size(f"{s}_b"))  # tokens that coincide in 16 bits
-        brief = brief.filter(F.size(F.array_intersect(f"{s}_a", f"{s}_b")) + lost >= spare + need)
-    left = stored(brief.select("a", "b"), "candidates")
-    whole, whole_sets = both(left, True)
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    links = stored(whole.filter(F.lit(100) * common >= F.lit(rule.percent) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
-    if TRACE:
-        print("TRACE", pairs.count(), left.count(), links.count(), flush=True)
-    for table in (pairs, brief_sets, left, whole_sets):
-        drop_stored(table)
-    release(docs.sparkSession)
-    return links
+    out = stored(rows.join(reps, ["doc_id", "key"]).dropDuplicates(["key"]).select("key", "tokens"), "sets")
+    drop_stored(reps)
+    return out
+
 
+def _with(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of both classes."""
+    for name in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "key"]), name)
+    return pairs
 
-TRACE = False
+
+def _sifted(pairs: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that share tokens enough under orders 2 and 3."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    need = rule.pair_overlap(n_a, n_b)
+
+    def k(n: Column) -> Column:
+        return F.least(n, n - F.ceil(F.lit(rule.percent) * n / F.lit(100.0) - F.lit(1e-9)) + F.lit(1 + EXTRA))
+
+    shared = need - F.greatest(n_a - k(n_a), n_b - k(n_b))
+    most = k(n_a) + k(n_b) - F.lit(2) * F.greatest(shared, F.lit(0))
+    both = _with(pairs, maps)
+    for half in (MAPS[:MAP_LONGS], MAPS[MAP_LONGS:]):
+        unlike = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in half), F.lit(0))
+        both = both.filter(unlike <= most)
+    return both.filter(rule.sizes_fit(n_a, n_b)).select("a", "b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, by whole sets."""
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    union = F.size("tokens_a") + F.size("tokens_b") - common
+    return _with(pairs, sets).filter(F.lit(100) * common >= F.lit(rule.percent) * union).select("a", "b")
 
 
 @dataclass
@@ -304,6 +338,17 @@ class Join:
     links: DataFrame
 
 
+def _pairs(cand: DataFrame) -> DataFrame:
+    return stored(cand.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct(), "pairs")
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """lists with label: the smallest key that the class or a neighbour has. Equal labels tell connected classes."""
+    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
+    labels = ends.groupBy("key").agg(F.min("other").alias("least"))
+    return lists.join(labels, "key", "left").withColumn("label", F.least("key", "least")).drop("least")
+
+
 def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = True) -> Join:
     """Similar pairs among the classes of docs.
 
@@ -313,55 +358,87 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
 
     A document of fewer words than a shingle has its whole word sequence as only
     token; one without words, null or empty, has key null and links with none.
+    Of rows of one doc_id with different texts each counts by itself.  A text of any
+    length is handled whole, in memory of some 60 times its size.
     """
     rule = rule or Rule()
     spark = docs.sparkSession
-    rows = stored(_profiles(docs, rule), "profiles")
-    profiles = rows.filter("chunk is null").select("doc_id", "n", "key")
-    level_b = spark.sparkContext.broadcast(levels(summed_chunks(rows.filter("chunk is not null").select("chunk", "counts"))))
+    level_b = spark.sparkContext.broadcast(_counted(docs, rule))
+    rows = stored(_rows(docs, rule, level_b), "jaccard")
+    profiles = rows.filter("kind = 0").select("doc_id", "n", "key")
+    maps = stored(rows.filter("kind = 1").select("key", "n", *MAPS).dropDuplicates(["key"]), "maps")
+    postings = rows.filter("kind = 2").select("token", "key", "order")
     classes = profiles.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    by_token = Window.partitionBy("token")
-    unique = _postings(docs.filter("doc_id is not null"), rule, level_b).repartition("token").dropDuplicates(["token", "key"])
-    lists = stored(unique.withColumn("df", F.count("*").over(by_token)).filter("df > 1"), "lists")
-    size = lists.agg(F.count("*").alias("rows"), F.sum((F.col("df") - 1) / 2).alias("pairs")).first()
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    links = spark.createDataFrame([], schema)
-    if not size["rows"]:
-        return Join(profiles, links)
-    most = PAIRS_PER_POSTING * size["rows"]
-    n_pairs = size["pairs"]
 
-    def fit(n, m, i, j) -> Column:
+    def fit(a: Column, b: Column) -> Column:
         # of a similar pair the row of its first common token stays: all it shares stands from there on
-        shared = F.least(n - i, m - j)
+        n, m = size_of(a), size_of(b)
+        shared = F.least(n - place_of(a), m - place_of(b))
         return rule.sizes_fit(n, m) & (shared >= rule.pair_overlap(n, m))
 
-    members = lists.withColumn("comp", F.col("key"))
-    n_round = 0
-    while not all_links and n_pairs > most and n_round < MAX_PIVOT_ROUNDS:
-        # where a token stands first, little is the member's own: it is likely what the others were copied from
-        pivot = F.min(F.struct("pos", F.xxhash64("key", F.lit(n_round)).alias("h"), "key", "n", "comp")).over(by_token)
-        cand = members.withColumn("p", pivot).filter(F.col("comp") != F.col("p.comp"))
-        cand = cand.filter(fit(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
-        pairs = cand.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
-        new = _verified(pairs, docs, classes, rule, level_b)
-        links, n_round = links.union(new), n_round + 1
-        if new.isEmpty():
-            break
-        comps = connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("comp"))
-        members = stored(lists.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
-        per_comp = members.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        left = per_comp.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("e")).agg(F.sum("e").alias("e")).first()["e"]
-        slow, n_pairs = n_pairs - left < 0.05 * n_pairs, left
-        if slow:
-            break
-    if n_pairs:
-        mixed = members.withColumn("many", F.min("comp").over(by_token) != F.max("comp").over(by_token)).filter("many").select("token", "key", "n", "pos", "comp")
-        x, y = mixed.alias("x"), mixed.alias("y")
-        cand = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-        cand = cand.filter(fit(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
-        links = links.union(_verified(cand.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), docs, classes, rule, level_b))
-    return Join(profiles, links)
+    # round 0: one pivot for each token
+    pivots = postings.groupBy("token").agg(F.min("order").alias("p_order"), F.min_by("key", "order").alias("p"))
+    x, y = postings.alias("x"), pivots.alias("y")
+    members = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.p"))).select("x.token", "key", "order", "p", "p_order"), "members")
+    pairs = _pairs(members.filter(fit(F.col("order"), F.col("p_order"))))
+    sifted = stored(_sifted(pairs, maps, rule), "sifted")
+    sets = _sets(docs, sifted.select(F.col("a").alias("key")).union(sifted.select("b")).distinct(), classes, rule)
+    found = stored(_similar(sifted, sets, rule), "links")
+    links = found if found.take(1) else spark.createDataFrame([], schema)
+    for table in (pairs, sifted, sets):
+        drop_stored(table)
+
+    # what is left: lists of two members and more besides the pivot, cut by sizes that fit
+    many = members.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
+    lists = members.join(many, "token", "left_semi").select("token", "key", "order")
+    n, place = size_of(F.col("order")), place_of(F.col("order"))
+    t = rule.percent / 100
+    # sets up to this size can share with this one what stands from its place on
+    most = F.least(n, F.floor((n - place) * F.lit((1 + t) / t) + F.lit(1e-6)) - n)
+    least = F.ceil(n * F.lit(t) - F.lit(1e-9))
+    lists = lists.select("*", F.explode(F.when(most >= least, F.sequence(_size_class(least), _size_class(most))).otherwise(F.array())).alias("c"))
+    # of a similar pair the smaller set (or either, of two of one size) has the token in this part of its prefix
+    can_lead = (place <= n - rule.pair_overlap(n, n)) & (F.col("c") == _size_class(n))
+    lists = lists.withColumn("leads", can_lead)
+    done, sets, r = [members, maps], None, 1
+    state = stored(_live(_labelled(lists, links) if not all_links else lists.withColumn("label", F.col("key"))), "lists")
+    release(spark)
+    while state.take(1):
+        if sets is None:  # all that later rounds compare
+            sets = _sets(docs, state.select("key").distinct(), classes, rule)
+        salt = F.pmod(F.xxhash64("key", F.lit(r)), F.lit(PIVOTS**r))
+        state_s = state.withColumn("salt", salt)
+        pivots = state_s.filter("leads").groupBy("token", "c", "salt").agg(F.min("order").alias("p_order"), F.min_by("key", "order").alias("p"), F.min_by("label", "order").alias("p_label"))
+        x, y = state_s.alias("x"), pivots.alias("y")
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") == F.col("y.c"))
+        cand = x.join(y, same & (F.col("label") != F.col("p_label")) & (size_of(F.col("order")) >= size_of(F.col("p_order"))) & fit(F.col("order"), F.col("p_order")))
+        pairs = _pairs(cand.select("key", "p"))
+        sifted = stored(_sifted(pairs, maps, rule), "sifted")
+        new = stored(_similar(sifted, sets, rule), "links")
+        links = links.union(new)
+        led = pivots.select("token", "c", F.col("p").alias("key"), F.lit(True).alias("led"))
+        left = state.join(led, ["token", "c", "key"], "left").withColumn("leads", F.col("leads") & F.col("led").isNull()).drop("led", "label")
+        then, state = state, stored(_live(_labelled(left, links) if not all_links else left.withColumn("label", F.col("key"))), "lists")
+        for table in (then, pairs, sifted):
+            drop_stored(table)
+        r += 1
+        release(spark)
+    for table in [*done, state, *([sets] if sets is not None else [])]:
+        drop_stored(table)
+    kept = stored(profiles, "profiles")
+    drop_stored(rows)
+    return Join(kept, links)
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(float(np.log(SIZE_STEP))) + F.lit(1e-9)).cast("int")
+
+
+def _live(lists: DataFrame) -> DataFrame:
+    """Rows of lists where a pivot is left and labels differ."""
+    live = lists.groupBy("token", "c").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("leads").alias("any")).filter("lo < hi and any").select("token", "c")
+    return lists.join(live, ["token", "c"], "left_semi").select("token", "c", "key", "order", "leads", "label")
 
 
 def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:

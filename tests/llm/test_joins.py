@@ -55,9 +55,9 @@ def _corpus(seed, n=60, vocab=400):
     return [*rows, (1000, None), (1001, ""), (1002, "  \n"), (1003, "One"), (1004, "one"), (1005, "one two"), (1006, "ONE\ttwo")]
 
 
-@pytest.mark.parametrize(("seed", "width", "percent", "per_posting"), [(1, 3, 90, 6), (2, 5, 80, 6), (3, 3, 90, 0), (4, 5, 80, 0)])
-def test_components_against_all_pairs(spark, monkeypatch, seed, width, percent, per_posting):
-    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", per_posting)  # 0: always by pivots first
+@pytest.mark.parametrize(("seed", "width", "percent", "pivots"), [(1, 3, 90, 16), (2, 5, 80, 16), (3, 3, 90, 2), (4, 1, 60, 2), (6, 2, 70, 4)])
+def test_components_against_all_pairs(spark, monkeypatch, seed, width, percent, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rows = _corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("n", F.lit("clash"))
     want, links = _brute_components(rows, width, percent)
