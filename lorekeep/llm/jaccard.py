@@ -43,7 +43,7 @@ SKETCH_BITS, MARK_BITS, CHUNK_BITS = 24, 22, 16
 #: Tokens by which the prefixes of orders 2 and 3 are longer than needed; they must share as many more.
 EXTRA = 48
 #: Pivots of a list grow by this factor from round to round.
-PIVOTS = 16
+PIVOTS = 64
 #: Places of the bit maps of orders 2 and 3, as longs.
 MAP_LONGS = 4
 #: Size classes that lists are cut by after round 0: sizes of one class differ by 2 % at most.
@@ -103,10 +103,24 @@ def buckets(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (textbuf.mix(h ^ _SEEDS[2]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counters of 4 bytes, compressed byte by byte: the low bytes have a few values, the others are zero or few."""
+    out = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    low = out.compress(counts.astype(np.uint8).tobytes()) + out.flush()
+    rest = b"" if counts.max() < 256 else zlib.compress((counts.astype(np.uint32) >> np.uint32(8)).tobytes(), 1)
+    return len(low).to_bytes(4, "little") + low + rest
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little") + 4
+    low = np.frombuffer(zlib.decompress(data[4:n]), np.uint8).astype(np.int64)
+    return low if n == len(data) else low + (np.frombuffer(zlib.decompress(data[n:]), np.uint32).astype(np.int64) << 8)
+
+
 def chunk_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     parts = counts.reshape(-1, 1 << CHUNK_BITS)
     used = [i for i in range(len(parts)) if parts[i].any()]
-    return used, [zlib.compress(parts[i].astype(np.uint16).tobytes(), 1) for i in used]
+    return used, [packed(parts[i]) for i in used]
 
 
 def summed_chunks(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -116,14 +130,14 @@ def summed_chunks(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64)
+                total[k] = total.get(k, 0) + unpacked(c)
         for k, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(np.minimum(c, 2**32 - 1))], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     dealt = rows.repartition(16, "chunk") if bits == SKETCH_BITS else rows.coalesce(4)  # bit maps are small
     for r in dealt.mapInArrow(run, "chunk int, counts binary").toLocalIterator():
-        out[r["chunk"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+        out[r["chunk"]] = np.minimum(out[r["chunk"]] + unpacked(bytes(r["counts"])), 2**32 - 1)
     return out.ravel()
 
 
@@ -270,7 +284,7 @@ def _marked(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, tokens) of the classes in keys (key), stored.
+    """(key, tokens) of the classes in keys (key), stored; perhaps once for each task, where a row is repeated.
 
     A bit map of fixed size sorts out most documents before their sets are made;
     those that pass by chance drop out of the join.
@@ -279,22 +293,29 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> D
     marked_b = docs.sparkSession.sparkContext.broadcast(np.packbits(_marked(reps.select("doc_id"))))
 
     def make():
-        marked = np.unpackbits(marked_b.value).astype(bool)
+        marked, seen = np.unpackbits(marked_b.value).astype(bool), set()
 
         def run(batch: pa.RecordBatch):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
-            if not batch.num_rows:
-                return
-            own = [tokens for s in textbuf.slices(batch.column("text")) for tokens in shingle_sets(s, rule.words)]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([class_key(x) if len(x) else 0 for x in own], pa.int64()), lists], ["doc_id", "key", "tokens"])
+            rows, ids = [], batch.column("doc_id").to_pylist()
+            for s in textbuf.slices(batch.column("text")):
+                for i, tokens in enumerate(shingle_sets(s, rule.words), s.row):
+                    row = (ids[i], class_key(tokens) if len(tokens) else 0, tokens)
+                    if row[:2] not in seen:
+                        rows.append(row)
+                        if len(seen) < SEEN:
+                            seen.add(row[:2])
+            if rows:
+                own = [x[2] for x in rows]
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), lists], ["doc_id", "key", "tokens"])
 
         return run
 
     rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key long, tokens array<long>")
     # a doc_id that repeats may have other texts, hence the key
-    out = stored(rows.join(reps, ["doc_id", "key"]).dropDuplicates(["key"]).select("key", "tokens"), "sets")
+    out = stored(rows.join(reps, ["doc_id", "key"]).select("key", "tokens"), "sets")
     drop_stored(reps)
     return out
 
@@ -327,26 +348,28 @@ def _similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b) that are similar, by whole sets."""
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
-    return _with(pairs, sets).filter(F.lit(100) * common >= F.lit(rule.percent) * union).select("a", "b")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    return _with(pairs, sets.join(keys, "key", "left_semi")).filter(F.lit(100) * common >= F.lit(rule.percent) * union).select("a", "b").distinct()
 
 
 @dataclass
 class Join:
-    """profiles: (doc_id, n, key) of all rows; links: similar pairs (a, b) of class keys."""
+    """profiles: (doc_id, n, key) of all rows; links: similar pairs (a, b) of class keys; labels: (id, component) of linked classes."""
 
     profiles: DataFrame
     links: DataFrame
+    labels: DataFrame
 
 
 def _pairs(cand: DataFrame) -> DataFrame:
     return stored(cand.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct(), "pairs")
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """lists with label: the smallest key that the class or a neighbour has. Equal labels tell connected classes."""
-    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
-    labels = ends.groupBy("key").agg(F.min("other").alias("least"))
-    return lists.join(labels, "key", "left").withColumn("label", F.least("key", "least")).drop("least")
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with label, the component of the class as far as it is known."""
+    if labels is None:
+        return lists.withColumn("label", F.col("key"))
+    return lists.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
 
 
 def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = True) -> Join:
@@ -386,6 +409,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     sets = _sets(docs, sifted.select(F.col("a").alias("key")).union(sifted.select("b")).distinct(), classes, rule)
     found = stored(_similar(sifted, sets, rule), "links")
     links = found if found.take(1) else spark.createDataFrame([], schema)
+    labels = None if all_links else connected_components(links)
     for table in (pairs, sifted, sets):
         drop_stored(table)
 
@@ -402,7 +426,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     can_lead = (place <= n - rule.pair_overlap(n, n)) & (F.col("c") == _size_class(n))
     lists = lists.withColumn("leads", can_lead)
     done, sets, r = [members, maps], None, 1
-    state = stored(_live(_labelled(lists, links) if not all_links else lists.withColumn("label", F.col("key"))), "lists")
+    state = stored(_live(_labelled(lists, labels)), "lists")
     release(spark)
     while state.take(1):
         if sets is None:  # all that later rounds compare
@@ -417,9 +441,11 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
         sifted = stored(_sifted(pairs, maps, rule), "sifted")
         new = stored(_similar(sifted, sets, rule), "links")
         links = links.union(new)
+        if labels is not None and new.take(1):
+            labels = connected_components(new.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         led = pivots.select("token", "c", F.col("p").alias("key"), F.lit(True).alias("led"))
         left = state.join(led, ["token", "c", "key"], "left").withColumn("leads", F.col("leads") & F.col("led").isNull()).drop("led", "label")
-        then, state = state, stored(_live(_labelled(left, links) if not all_links else left.withColumn("label", F.col("key"))), "lists")
+        then, state = state, stored(_live(_labelled(left, labels)), "lists")
         for table in (then, pairs, sifted):
             drop_stored(table)
         r += 1
@@ -428,7 +454,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
         drop_stored(table)
     kept = stored(profiles, "profiles")
     drop_stored(rows)
-    return Join(kept, links)
+    return Join(kept, links, connected_components(links) if labels is None else labels)
 
 
 def _size_class(n: Column) -> Column:
@@ -450,7 +476,7 @@ def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """
     join = jaccard_join(docs, rule, all_links=False)
     classes = join.profiles.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(join.links).withColumnRenamed("id", "key")
+    labels = join.labels.withColumnRenamed("id", "key")
     labelled = stored(classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key")), "classes")
     roots = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = labelled.join(roots, "component").select("key", "component_id")
@@ -472,7 +498,7 @@ def keep_one(docs: DataFrame, rule: Rule | None = None, with_null_ids: bool = Fa
     """
     row = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
     join = jaccard_join(docs.select(row.alias("doc_id"), "text"), rule, all_links=False)
-    labels = connected_components(join.links).withColumnRenamed("id", "key")
+    labels = join.labels.withColumnRenamed("id", "key")
     rows = join.profiles.withColumnRenamed("doc_id", "row").distinct().join(docs.select(row.alias("row"), "doc_id").distinct(), "row")
     rows = rows.withColumn("no_id", F.col("doc_id").isNull())
     least = F.min(F.struct("no_id", "doc_id", "row")).alias("f")
