@@ -296,3 +296,26 @@ def test_no_vectors_and_few_vectors(spark):
 def test_slices_keep_documents_whole():
     s = list(textbuf.slices(pa.array(["a" * 10, "b" * 10, None, "c"]), 12))
     assert [(x.row, x.n, len(x.data)) for x in s] == [(0, 1, 10), (1, 3, 11)]
+
+
+def test_recall_and_share_of_exact_comparisons_at_64_components():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, q = np.arange(len(x)), np.arange(0, len(x), 400)
+    turn, center = ann.rotation(64), x.mean(0)
+    y = x - center
+    norm = np.linalg.norm(y, axis=1)
+    unit = (y / norm[:, None]) @ turn
+    code, dot = np.packbits(unit >= 0, axis=1), np.abs(unit).sum(1) / 8
+    near = ann.Nearest(ids[q], x[q], center, turn, 10, ann.EPSILON)
+    for i in range(0, len(x), 8192):
+        near.add(ids[i : i + 8192], x[i : i + 8192], code[i : i + 8192], norm[i : i + 8192], dot[i : i + 8192])
+    to, vec, _ = near.found
+    hits = 0
+    for i, own in enumerate(q):
+        d = np.linalg.norm(x - x[own], axis=1)
+        d[own] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(vec[to == i]))
+    assert hits >= 0.9 * 10 * len(q)
+    assert near.compared < 0.25 * len(x) * len(q)
