@@ -92,6 +92,7 @@ def p95(values: Column) -> Column:
     return F.element_at(v, F.greatest(F.lit(1), F.ceil(0.95 * F.size(v))).cast("int"))
 
 
+#: The thresholds of the gate are fixed values.
 @dataclass(frozen=True)
 class GateConfig:
     min_n: int = 150

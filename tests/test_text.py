@@ -62,16 +62,39 @@ def test_barrier(spark):
     assert [r[0] for r in rows] == [0.0, 0.0, 0.3875, 1.0]
 
 
-def test_section_chunks():
+def test_section_chunks(spark):
+    c, t = F.col("c"), F.lit("doc")
     body = " ".join(f"w{i}" for i in range(61))
-    assert chunk.sections(f"# One\n{body}\n## Two\nfew\n### Three\n{body}", "doc") == [("One", body), ("Three", body)]
-    assert chunk.sections("short", "doc") == [("doc", "short")]
-    assert [t for t, _ in chunk.paragraphs("\n\n".join([body] * 4), "t", 100)] == ["t (part 1)", "t (part 2)"]
-    assert chunk.undoubled("CCoonncclluussiióónn") == "Conclusión"
-    assert chunk.garbage_title("a|b|c") and chunk.garbage_title("12.") and not chunk.garbage_title("A real title")
+
+    def got(column, text):
+        return [tuple(x) for x in one(spark, column, c=text)]
+
+    assert got(chunk.sections(c, t), f"# One\n{body}\n## Two\nfew\n### Three\n{body}") == [("One", body), ("Three", body)]
+    assert got(chunk.sections(c, t), f"{body}\n#none\n#### Four\n# One\nfew") == [("doc", f"{body}\n#none\n#### Four")]
+    assert got(chunk.sections(c, t), "short") == [("doc", "short")] and got(chunk.sections(c, t), "") == [("doc", "")]
+    four = "\n\n".join([body] * 4)
+    assert [x for x, _ in got(chunk.paragraphs(c, t, 100), four)] == ["doc (part 1)", "doc (part 2)"]
+    assert got(chunk.paragraphs(c, t, 100), f"{four}\n\n\n tail ") == [("doc (part 1)", f"{body}\n\n{body}"), ("doc (part 2)", f"{body}\n\n{body}")]
+    assert one(spark, chunk.undoubled(c), c=" CCoonncclluussiióónn ") == "Conclusión" and one(spark, chunk.undoubled(c), c="little") == "little"
+    for title, bad in [("a|b|c", True), ("12.", True), ("Date: x", True), ("IX. FOO", True), ("a ─ b", True), ("A real title", False), ("Dated", False)]:
+        assert one(spark, chunk.garbage_title(c), c=title) is bad
     big = "\n\n".join([" ".join(["word"] * 300)] * 4)
-    assert [t for t, _ in chunk.refined([("Part one is here", big)], "stem", 800)] == ["stem — Part one is here (part 1)", "stem — Part one is here (part 2)"]
-    assert "".join(chunk.heading_split("# a\n" + "x" * 50 + "\n# b\n" + "y" * 200, 100)) == "# a\n" + "x" * 50 + "\n# b\n" + "y" * 200
+    parts = chunk.refined(F.array(F.struct(F.lit(" - Part  one is here:").alias("title"), c.alias("body"))), F.lit("stem"), 800)
+    assert [x for x, _ in got(parts, big)] == ["stem — Part one is here (part 1)", "stem — Part one is here (part 2)"]
+    assert got(parts, "few words") == [("Part one is here", "few words")] and got(parts, " ") == [("stem", " ")]
+    split = "# a\n" + "x" * 50 + "\n# b\n" + "y" * 200
+    pieces = one(spark, chunk.heading_split(c, 100), c=split)
+    assert "".join(pieces) == split and [len(x) for x in pieces] == [55, 100, 100, 4]
+    words = " ".join(["w"] * 1290)
+    assert [(x, len(y.split())) for x, y in got(chunk.word_chunks(c, t), words)] == [("doc (part 1)", 600), ("doc (part 2)", 600), ("doc (part 3)", 90)]
+    pages = "".join(f"--- page {i} ---\n{body} {body}\n" for i in range(1, 17))
+    assert [x for x, _ in got(chunk.page_chunks(c, t), pages)] == ["doc (pages 1-15)", "doc (pages 16-30)"]
+
+
+def test_chunked_rows(spark):
+    rows = [(1, "s", None), (2, None, "few"), (3, "s", " ".join(["w"] * 900))]
+    out = chunk.chunked(spark.createDataFrame(rows, "id long, stem string, content string")).collect()
+    assert sorted((r["id"], r["pos"], r["title"], r["words"]) for r in out) == [(2, 0, "", 1), (3, 0, "s (part 1)", 900)]
 
 
 def test_pairs_skip_other_roles(spark):
