@@ -59,7 +59,7 @@ now as what which who whom don t s
 
 def strip_ws(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
