@@ -25,12 +25,12 @@ def sample_ids(docs: DataFrame, labels: DataFrame, label: str, modulus: int, out
     others leave; only a text of over max_bytes itself takes no part.
     """
     known = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", modulus) != out))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).filter(fold("doc_id", modulus) != out)
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).filter(fold("doc_id", modulus) != out)
     order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
     both = sizes.groupBy("doc_id").agg(F.max("size").alias("size")).join(known, "doc_id").withColumn("long", F.col("size") > max_bytes // LONG)
     both = stored(both.filter(F.col("size") <= max_bytes), "labelled")
@@ -54,4 +54,4 @@ def sampled_docs(docs: DataFrame, ids: list[tuple[int, int]], *columns: str) ->
     """The rows of docs with one of the sampled ids, with their label as y."""
     spark = docs.sparkSession
     small = spark.createDataFrame(ids, "doc_id long, y int")
-    return docs.select("doc_id", *columns).join(F.broadcast(small), "doc_id")  # at most MAX_ROWS rows
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(small), "doc_id")  # at most MAX_ROWS rows

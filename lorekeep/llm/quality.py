@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Discriminant, modulus: int = 4, held_out: int
 
         return run
 
-    rows = docs.select("doc_id", (fold("doc_id", modulus) == held_out).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", modulus) == held_out).alias("held_out"), "text")
     return map_batches(rows, make, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -9,7 +9,8 @@ that pass level 2, and so on until nothing passes wrongly.  As the false
 positives come from the complete key universe of the corpus, membership of any of
 its keys is exact, without a join.  The first level is sized so that about as
 many keys pass wrongly as are listed, so the filters' size follows the list, not
-the corpus; beyond MAX_LISTED rules the same answer comes from an equi-join.
+the corpus.  One pass over the urls builds the cascades of all verdicts, a second
+one judges.
 """
 
 from __future__ import annotations
@@ -21,13 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textbuf
 from .session import map_batches
 
-#: Listed keys whose cascades are broadcast; beyond, rules are joined.
-MAX_LISTED = 4_000_000
 DEFAULT_VERDICT = "allow"
 
 
@@ -102,7 +100,10 @@ class Bloom:
 
 @dataclass
 class Cascade:
+    """exceptions: keys of the universe with the 64-bit hash of a listed one."""
+
     filters: list[Bloom]
+    exceptions: frozenset[str] = frozenset()
 
     def has(self, h: np.ndarray) -> np.ndarray:
         """Exact for the keys of the universe it was built over."""
@@ -129,44 +130,49 @@ def _column_hashes(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def build(universe: DataFrame, listed: list[str]) -> Cascade:
-    """The cascade of the listed keys over all keys of universe (key string).
+def build(universe: DataFrame, lists: list[list[str]], bound: int) -> list[Cascade]:
+    """A cascade for each list of keys over all keys of universe (key string), which has bound rows at most.
 
-    The scan that finds the false positives of level 1 is the only pass over the
-    corpus; later levels work on what passed.
+    One scan finds the keys that pass level 1 wrongly, for all lists; later levels
+    work on those.  Lists come from the driver and so do their filters; the false
+    positives are about as many as listed keys.
     """
-    if not listed:
-        return Cascade([])
     spark = universe.sparkSession
-    keys = sorted(set(listed))
-    total = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
-    rate = min(0.5, max(1e-9, len(keys) / max(1, total)))
-    first = Bloom.of(_hashes(keys), rate, 1)
-    state_b = spark.sparkContext.broadcast((first, frozenset(keys)))  # follows the list, MAX_LISTED keys at most
+    lists = [sorted(set(x)) for x in lists]
+    first = [Bloom.of(_hashes(keys), min(0.5, max(1e-9, len(keys) / max(1, bound))), 1) for keys in lists]
+    state_b = spark.sparkContext.broadcast([(f, frozenset(keys)) for f, keys in zip(first, lists, strict=True)])
 
     def make():
-        level, known = state_b.value
-
         def run(batch: pa.RecordBatch):
-            passed = batch.column(0).filter(pa.array(level.has(_column_hashes(batch.column(0)))))
-            passed = [k for k in pc.unique(passed).to_pylist() if k not in known]
-            yield pa.RecordBatch.from_arrays([pa.array(passed, pa.string())], ["key"])
+            column = batch.column(0)
+            h = _column_hashes(column)
+            for i, (level, known) in enumerate(state_b.value):
+                passed = pc.unique(column.filter(pa.array(level.has(h)))).to_pylist()
+                passed = [k for k in passed if k not in known]
+                if passed:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(passed), pa.int32()), pa.array(passed, pa.string())], ["list", "key"])
 
         return run
 
-    wrong = [r["key"] for r in map_batches(universe.select("key"), make, "key string").distinct().toLocalIterator()]
-    inside, outside = _hashes(keys), _hashes(sorted(wrong))
-    if len(np.intersect1d(inside, outside)):
-        raise RuntimeError("two keys have the same 64-bit hash")
-    filters = [first]
-    while len(outside) and len(filters) < 64:
+    wrong: list[list[str]] = [[] for _ in lists]
+    for r in map_batches(universe.select("key"), make, "list int, key string").distinct().toLocalIterator():
+        wrong[r["list"]].append(r["key"])
+    return [_cascade(f, keys, sorted(w)) for f, keys, w in zip(first, lists, wrong, strict=True)]
+
+
+def _cascade(first: Bloom, keys: list[str], wrong: list[str]) -> Cascade:
+    inside, outside = _hashes(keys), _hashes(wrong)
+    same = np.isin(outside, inside)
+    exceptions = frozenset(k for k, x in zip(wrong, same.tolist(), strict=True) if x)
+    outside, filters = outside[~same], [first]
+    while len(outside):  # a level halves what is left
         filters.append(Bloom.of(outside, 0.5, len(filters) + 1))
         inside = inside[filters[-1].has(inside)]
         if not len(inside):
             break
         filters.append(Bloom.of(inside, 0.5, len(filters) + 1))
         outside = outside[filters[-1].has(outside)]
-    return Cascade(filters)
+    return Cascade(filters, exceptions)
 
 
 def judge(pages: DataFrame, rules: list[UrlRule], default: str = DEFAULT_VERDICT) -> DataFrame:
@@ -181,15 +187,15 @@ def judge(pages: DataFrame, rules: list[UrlRule], default: str = DEFAULT_VERDICT
     for r in rules:
         first.setdefault(r.key, r)
     rules = list(first.values())
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not rules:
         return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = parts.withColumn("keys", lookup_keys(F.col("host"), F.col("path"), rules))
-    if len(rules) > MAX_LISTED:
-        return _joined(keyed, rules, default)
     universe = keyed.select(F.explode("keys").alias("key"))
     verdicts = sorted({r.verdict for r in rules})
-    cascades_b = pages.sparkSession.sparkContext.broadcast([build(universe, [r.key for r in rules if r.verdict == v]) for v in verdicts])
+    most = len({r.host.count(".") for r in rules}) * len({len(r.path) for r in rules})  # keys of a url
+    built = build(universe, [[r.key for r in rules if r.verdict == v] for v in verdicts], most * pages.count())
+    cascades_b = pages.sparkSession.sparkContext.broadcast(built)
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -198,7 +204,10 @@ def judge(pages: DataFrame, rules: list[UrlRule], default: str = DEFAULT_VERDICT
             h, n = _column_hashes(flat), batch.num_rows
             which = np.full(len(flat), -1)
             for i, c in enumerate(cascades_b.value):
-                which[c.has(h)] = i
+                hit = c.has(h)
+                if c.exceptions:
+                    hit[np.flatnonzero(hit)[[flat[int(j)].as_py() in c.exceptions for j in np.flatnonzero(hit)]]] = False
+                which[hit] = i
             hit = np.flatnonzero(which >= 0)
             rows, at = np.unique(row[hit], return_index=True)  # keys stand longest first
             rule = np.full(n, -1, np.int64)
@@ -212,12 +221,3 @@ def judge(pages: DataFrame, rules: list[UrlRule], default: str = DEFAULT_VERDICT
 
     return map_batches(keyed, make, "page_id long, host string, path string, rule string, verdict string")
 
-
-def _joined(keyed: DataFrame, rules: list[UrlRule], default: str) -> DataFrame:
-    """The same by a join, for lists too long to broadcast."""
-    spark = keyed.sparkSession
-    listed = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
-    rows = keyed.withColumn("row", F.monotonically_increasing_id())
-    hits = rows.select("row", F.posexplode("keys").alias("pos", "key")).join(listed, "key")
-    best = hits.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("pos"))).filter("k = 1").select("row", F.col("key").alias("rule"), "verdict")
-    return rows.join(best, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

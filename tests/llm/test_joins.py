@@ -228,11 +228,10 @@ def _brute_rule(url, rules):
     return host, path, best[1] + best[2] if best else None, best[0] if best else "allow"
 
 
-@pytest.mark.parametrize("most", [urlfilter.MAX_LISTED, 0])
-def test_url_rules_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(urlfilter, "MAX_LISTED", most)
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_url_rules_against_brute_force(spark, kind):
     rows = [(i, u, "html") for i, u in enumerate(URLS * 2)]
-    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, keys string"), [urlfilter.UrlRule(*r) for r in RULES]).collect()
+    got = urlfilter.judge(spark.createDataFrame(rows, f"page_id {kind}, url string, keys string"), [urlfilter.UrlRule(*r) for r in RULES]).collect()
     assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == [(i, *_brute_rule(u, RULES)) for i, u, _ in rows]
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), [urlfilter.UrlRule(*r) for r in RULES]).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, h string"), []).collect()} == {"allow"}
@@ -242,8 +241,15 @@ def test_cascade_is_exact_for_its_universe(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = keys[::7] + ["not in the corpus"]
     universe = spark.createDataFrame([(k,) for k in keys * 2], "key string")
-    c = urlfilter.build(universe, listed)
-    assert c.has(urlfilter._hashes(keys)).tolist() == [k in set(listed) for k in keys] and len(c.filters) > 1
+    for c, own in zip(urlfilter.build(universe, [listed, keys[1::9]], 6000), (listed, keys[1::9]), strict=True):
+        assert c.has(urlfilter._hashes(keys)).tolist() == [k in set(own) for k in keys] and len(c.filters) > 1
+
+
+def test_keys_with_the_hash_of_a_listed_one_are_told_apart(monkeypatch):
+    real = urlfilter._hashes
+    monkeypatch.setattr(urlfilter, "_hashes", lambda keys: np.where([k == "twin" for k in keys], real(["listed"]), real(keys)))
+    c = urlfilter._cascade(urlfilter.Bloom.of(real(["listed"]), 0.5, 1), ["listed"], ["other", "twin"])
+    assert c.exceptions == {"twin"} and c.has(real(["listed"])).all()
 
 
 def _brute_nearest(rows, k):
