@@ -284,10 +284,10 @@ def _marked(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, tokens) of the classes in keys (key), stored; perhaps once for each task, where a row is repeated.
+    """(key, tokens), stored, of the classes in keys (key); perhaps of some others, and of one class more than once.
 
-    A bit map of fixed size sorts out most documents before their sets are made;
-    those that pass by chance drop out of the join.
+    A bit map of fixed size sorts out most documents before their sets are made.
+    What passes by chance drops out where sets meet pairs.
     """
     reps = stored(classes.join(keys, "key").select("key", "doc_id"), "reps")
     marked_b = docs.sparkSession.sparkContext.broadcast(np.packbits(_marked(reps.select("doc_id"))))
@@ -298,24 +298,22 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> D
         def run(batch: pa.RecordBatch):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
-            rows, ids = [], batch.column("doc_id").to_pylist()
+            rows = []
             for s in textbuf.slices(batch.column("text")):
-                for i, tokens in enumerate(shingle_sets(s, rule.words), s.row):
-                    row = (ids[i], class_key(tokens) if len(tokens) else 0, tokens)
-                    if row[:2] not in seen:
-                        rows.append(row)
+                for tokens in shingle_sets(s, rule.words):
+                    if len(tokens) and (key := class_key(tokens)) not in seen:
+                        rows.append((key, tokens))
                         if len(seen) < SEEN:
-                            seen.add(row[:2])
+                            seen.add(key)
             if rows:
-                own = [x[2] for x in rows]
+                own = [x[1] for x in rows]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), lists], ["doc_id", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), lists], ["key", "tokens"])
 
         return run
 
-    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, key long, tokens array<long>")
-    # a doc_id that repeats may have other texts, hence the key
-    out = stored(rows.join(reps, ["doc_id", "key"]).select("key", "tokens"), "sets")
+    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "key long, tokens array<long>")
+    out = stored(rows.select("key", "tokens"), "sets")
     drop_stored(reps)
     return out
 
@@ -388,7 +386,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     spark = docs.sparkSession
     level_b = spark.sparkContext.broadcast(_counted(docs, rule))
     rows = stored(_rows(docs, rule, level_b), "jaccard")
-    profiles = rows.filter("kind = 0").select("doc_id", "n", "key")
+    profiles = stored(rows.filter("kind = 0").select("doc_id", "n", "key"), "profiles")
     maps = stored(rows.filter("kind = 1").select("key", "n", *MAPS).dropDuplicates(["key"]), "maps")
     postings = rows.filter("kind = 2").select("token", "key", "order")
     classes = profiles.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -404,6 +402,8 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     pivots = postings.groupBy("token").agg(F.min("order").alias("p_order"), F.min_by("key", "order").alias("p"))
     x, y = postings.alias("x"), pivots.alias("y")
     members = stored(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") != F.col("y.p"))).select("x.token", "key", "order", "p", "p_order"), "members")
+    drop_stored(rows)
+    release(spark)
     pairs = _pairs(members.filter(fit(F.col("order"), F.col("p_order"))))
     sifted = stored(_sifted(pairs, maps, rule), "sifted")
     sets = _sets(docs, sifted.select(F.col("a").alias("key")).union(sifted.select("b")).distinct(), classes, rule)
@@ -452,9 +452,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
         release(spark)
     for table in [*done, state, *([sets] if sets is not None else [])]:
         drop_stored(table)
-    kept = stored(profiles, "profiles")
-    drop_stored(rows)
-    return Join(kept, links, connected_components(links) if labels is None else labels)
+    return Join(profiles, links, connected_components(links) if labels is None else labels)
 
 
 def _size_class(n: Column) -> Column:
