@@ -46,6 +46,8 @@ EXTRA = 48
 PIVOTS = 64
 #: Places of the bit maps of orders 2 and 3, as longs.
 MAP_LONGS = 4
+#: Longs of the bit maps of whole sets that are compared before the sets.
+SET_LONGS = 64
 #: Size classes that lists are cut by after round 0: sizes of one class differ by 2 % at most.
 SIZE_STEP = 1.02
 #: Class keys that a task remembers so as not to repeat postings of copies.
@@ -187,10 +189,10 @@ def _counted(docs: DataFrame, rule: Rule) -> np.ndarray:
     return levels(summed_chunks(docs.select("text").mapInArrow(run, "chunk int, counts binary")))
 
 
-def bit_map(tokens: np.ndarray) -> np.ndarray:
-    """Which of 64 * MAP_LONGS places hold one of the tokens, as signed longs."""
-    place = (textbuf.mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * MAP_LONGS)
-    bits = np.zeros(64 * MAP_LONGS, np.uint8)
+def bit_map(tokens: np.ndarray, longs: int = MAP_LONGS) -> np.ndarray:
+    """Which of 64 * longs places hold one of the tokens, as signed longs."""
+    place = (textbuf.mix(tokens) >> np.uint64(40)).astype(np.int64) % (64 * longs)
+    bits = np.zeros(64 * longs, np.uint8)
     bits[place] = 1
     return np.packbits(bits).view(np.int64)
 
@@ -284,7 +286,7 @@ def _marked(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, tokens), stored, of the classes in keys (key); perhaps of some others, and of one class more than once.
+    """(key, n, map, tokens), stored, of the classes in keys (key); perhaps of some others, and of one class more than once.
 
     A bit map of fixed size sorts out most documents before their sets are made.
     What passes by chance drops out where sets meet pairs.
@@ -308,12 +310,13 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> D
             if rows:
                 own = [x[1] for x in rows]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), lists], ["key", "tokens"])
+                maps = pa.ListArray.from_arrays(np.arange(0, SET_LONGS * len(own) + 1, SET_LONGS, dtype=np.int32), np.concatenate([bit_map(x, SET_LONGS) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([len(x) for x in own], pa.int32()), maps, lists], ["key", "n", "map", "tokens"])
 
         return run
 
-    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "key long, tokens array<long>")
-    out = stored(rows.select("key", "tokens"), "sets")
+    rows = map_batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "key long, n int, map array<long>, tokens array<long>")
+    out = stored(rows, "sets")
     drop_stored(reps)
     return out
 
@@ -343,11 +346,15 @@ def _sifted(pairs: DataFrame, maps: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, by whole sets."""
+    """Those of the pairs (a, b) that are similar, by whole sets. Maps of the sets tell most others before sets are moved."""
+    unlike = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.col("n_a") + F.col("n_b") - F.lit(2) * rule.pair_overlap(F.col("n_a"), F.col("n_b"))
+    likely = stored(_with(pairs, sets.select("key", "n", "map")).filter(unlike <= most).select("a", "b").distinct(), "likely")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - common
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    return _with(pairs, sets.join(keys, "key", "left_semi")).filter(F.lit(100) * common >= F.lit(rule.percent) * union).select("a", "b").distinct()
+    union = F.col("n_a") + F.col("n_b") - common
+    keys = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
+    whole = _with(likely, sets.select("key", "n", "tokens").join(keys, "key", "left_semi"))
+    return whole.filter(F.lit(100) * common >= F.lit(rule.percent) * union).select("a", "b").distinct()
 
 
 @dataclass
