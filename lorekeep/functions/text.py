@@ -46,6 +46,8 @@ SKIP_COMMANDS = [r"^(ls|cat|head|tail|grep|find|wc|echo|pwd|cd|which|type|file)\
 SKIP_FILES = [r"package-lock\.json$", r"\.d\.ts$", r"\.(log|tmp|bak)$", r"\.pyc$", r"node_modules/", r"__pycache__/", r"\.DS_Store$"]
 TEST_PASS = r"(?i)\b(passed|(\d+)\s+passed|tests?\s+ok|all\s+green)\b"
 ACTION_CONFIDENCE = {"error_fix": 0.9, "test_pass": 0.85, "session_error_fix": 0.85, "session_decision": 0.7, "write_source": 0.5, "edit_group": 0.5, "agent": 0.6}
+FTS_SPECIAL = "\"'()[]{}^*?!~"
+FTS_CHARS = 4096
 STOPWORDS = """
 a an the and or but if then than that this these those is are was were be been
 being am do does did doing have has had having i me my we our you your he she
@@ -119,6 +121,16 @@ def sanitize_query(c: Column) -> Column:
     return F.filter(tokens, lambda t: F.octet_length(t) >= 2)
 
 
+def fts_document(title: Column, content: Column) -> Column:
+    """What the offline index holds of a record: title and content, 4096 characters."""
+    return F.substring(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))), 1, FTS_CHARS)
+
+
+def fts_query(c: Column) -> Column:
+    """A query with the special characters of the index language as blanks; hyphens stay."""
+    return F.translate(c, FTS_SPECIAL, " " * len(FTS_SPECIAL))
+
+
 def classify_intent(query: Column) -> Column:
     q = F.lower(query)
     out = F.when(contains_any(q, INTENTS[0][1]), INTENTS[0][0])

@@ -9,12 +9,15 @@ from pyspark.sql.window import Window
 from ..functions.text import sanitize_query
 
 K1, B = 1.2, 0.75
+#: Distinct query terms up to which they are broadcast, some 50 MB; more are joined by a shuffle.
+MAX_TERMS = 1_000_000
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, len) of docs (id, content)."""
-    words = docs.select("id", sanitize_query(F.col("content")).alias("ws"))
-    return words.select("id", F.size("ws").alias("len"), F.explode("ws").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id, len, tf) of docs (id, content) for the given terms (term), distinct ones: other words end before the shuffle."""
+    few = terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    words = docs.select("id", sanitize_query(F.col("content")).alias("ws")).select("id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
+    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int, k1: float = K1, b: float = B) -> DataFrame:
@@ -26,7 +29,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, n: int, k1: float = K1, b: fl
     q = queries.select("query", F.array_distinct(sanitize_query(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
     terms = q.select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     stats = docs.select(F.size(sanitize_query(F.col("content"))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = postings(docs, terms.select("term").distinct())
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     hits = terms.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

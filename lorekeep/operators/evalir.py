@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import positions
 
 def gold_ranks(scores: DataFrame, gold: DataFrame, partition: list[str] | None = None) -> DataFrame:
     """(query, gold_rank, n_tied) of scores (query, id, s) and gold (query, gold).
@@ -58,25 +59,25 @@ def mcnemar_exact(b: int, c: int) -> float:
     return 1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
 
 
-def mcnemar_p(b: Column, c: Column, most: int = 1000) -> Column:
-    """The same in SQL by log-factorials, for up to most discordant pairs."""
-    logs = [0.0]
-    for i in range(1, most + 1):
-        logs.append(logs[-1] + math.log(i))
-    f = F.array(*[F.lit(x) for x in logs])
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """The same in SQL for any counts: each binomial term from the one before, as logarithms."""
     n = b + c
-    at = lambda i: F.element_at(f, (i + 1).cast("int"))
-    term = lambda i: F.exp(at(n) - at(i) - at(n - i) - n * math.log(2))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(b, c)), F.lit(0.0), lambda t, i: t + term(i))
+    start = F.struct((n * F.lit(-math.log(2))).alias("log"), F.lit(0.0).alias("tail"))
+
+    def add(s: Column, i: Column) -> Column:
+        return F.struct((s["log"] + F.log((n - i) / (i + 1))).alias("log"), (s["tail"] + F.exp(s["log"])).alias("tail"))
+
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(b, c).cast("long")), start, add)["tail"]
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def bootstrap_ci(diffs: DataFrame, iters: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row (lo, hi): percentile interval of the mean of diffs (i, d), i from 0 without gaps.
+    """One row (lo, hi): percentile interval of the mean of diffs (i, d), i being distinct ids.
 
     Each iteration draws as many rows as there are by a hash of (seed, iteration,
     draw); draws are aggregated by iteration, so nothing is collected.
     """
+    diffs = positions(diffs.select("i", "d"), [], F.pmod(F.xxhash64("i"), F.lit(1024)), ["i"], "p").select((F.col("p") - 1).alias("i"), "d")
     n = diffs.count()
     spark = diffs.sparkSession
     if not n or iters <= 0:
@@ -150,7 +151,31 @@ def compare_reports(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, by: str, fraction: float, key: str = "id", seed: int = 42) -> DataFrame:
-    """At least one and about fraction of each stratum: those with the smallest hashes of (key, seed)."""
-    n = F.count("*").over(Window.partitionBy(by))
-    r = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.withColumn("_n", n).withColumn("_r", r).filter(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * fraction))).drop("_n", "_r")
+    """At least one and about fraction of each stratum: those with the smallest MD5 of 'key:seed'. Places come from prefixes of the hash, so a stratum is not sorted in one task."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    n = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    placed = positions(rows, [by], F.substring(h, 1, 3), [h, key], "_r").join(n, F.col(by).eqNullSafe(F.col("_by")))
+    return placed.filter(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * F.lit(fraction)))).select(*rows.columns)
+
+
+def offline_p1(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row (p1): share of all of gold (query, gold) that rank first in scores (query, id, s); golds without a score miss."""
+    first = gold_ranks(scores, gold).select("query", (F.col("gold_rank") == 1).alias("hit"))
+    return gold.join(first, "query", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(False)).cast("double")), 4).alias("p1"))
+
+
+def live_path(results: DataFrame, gold: DataFrame, corpus: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row: P@1 and MRR of results (query, id, rank) against gold (query, gold), with the gap to baseline (p1).
+
+    Golds that corpus (id) lacks are left out and counted as n_skipped_dangling;
+    when none is left the status is skipped and the figures are null.
+    """
+    known = gold.join(corpus.select(F.col("id").alias("gold"), F.lit(True).alias("_has")).distinct(), "gold", "left")
+    ranks = results.select("query", F.col("id").alias("gold"), "rank").groupBy("query", "gold").agg(F.min("rank").alias("rank"))
+    valid = F.col("_has").isNotNull()
+    p1 = F.avg(F.when(valid, F.coalesce(F.col("rank") == 1, F.lit(False)).cast("double")))
+    one = known.join(ranks, ["query", "gold"], "left").agg(
+        F.count(F.when(valid, 1)).alias("n_queries"), p1.alias("_p1"), F.round(F.avg(F.when(valid, F.coalesce(1 / F.col("rank"), F.lit(0.0)))), 4).alias("mrr"), F.count(F.when(~valid, 1)).alias("n_skipped_dangling"),
+    )
+    status = F.when(F.col("n_queries") > 0, "ok").otherwise("skipped").alias("status")
+    return one.crossJoin(F.broadcast(baseline)).select(status, "n_queries", F.round("_p1", 4).alias("precision_at_1"), "mrr", F.round(F.col("_p1") - F.col("p1"), 4).alias("gap_vs_offline_rrf"), "n_skipped_dangling")  # one row each

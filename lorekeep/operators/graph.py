@@ -62,6 +62,18 @@ def ego_graph(seed: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(own, "entity", "left_semi").select(F.col("memory").alias("src"), F.col("entity").alias("dst"))
 
 
+def entity_filter(edges: DataFrame, entities: DataFrame, filters: DataFrame) -> DataFrame:
+    """(filter, entity, memory): what stays lit for each of filters (filter), a name or an id of entities (entity, name).
+
+    Of several entities that a filter names the smallest counts; one that names
+    none, or an entity without records, has no rows, and 'all' is left to the
+    caller, as it filters nothing.
+    """
+    keys = entities.select("entity", F.explode(F.array_distinct(F.array("name", F.col("entity").cast("string")))).alias("filter"))
+    one = keys.join(filters.select("filter").distinct(), "filter", "left_semi").groupBy("filter").agg(F.min("entity").alias("entity"))
+    return one.join(edges.select("entity", "memory").distinct(), "entity").select("filter", "entity", "memory")
+
+
 def bipartite_nodes(edges: DataFrame) -> DataFrame:
     """(node, kind, degree) of both sides."""
     m = edges.groupBy(F.col("memory").alias("id")).agg(F.count("*").alias("degree")).select(F.concat(F.lit("m:"), F.col("id")).alias("node"), F.lit("memory").alias("kind"), "degree")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import derive_title, micros, strip_private, strip_ws
+from .ranks import positions
 
 
 def multi_get(memories: DataFrame, ids: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def stats(memories: DataFrame, feedback: DataFrame) -> DataFrame:
 def timeline(memories: DataFrame, anchors: DataFrame, before: int = 3, after: int = 3, key: str | None = None) -> DataFrame:
     """(anchor, id, offset): rows around each anchor in time, ties with the anchor left out.
 
-    Within key, the session say: positions come from one window sort, and an
-    anchor meets its neighbours by an equi-join on (key, position). Without key
-    the whole table is one timeline, sorted by a range partitioning.
+    Within key, the session say, or without one over the whole table: times are
+    numbered day by day, and an anchor meets its neighbours by an equi-join on
+    (key, position).
     """
     part = F.col(key) if key else F.lit(0)
     t = memories.select("id", "ts", part.alias("k"))
-    dense = t.select("k", "ts").distinct().withColumn("d", F.row_number().over(Window.partitionBy("k").orderBy("ts")))
+    dense = positions(t.select("k", "ts").distinct(), ["k"], F.to_date("ts"), ["ts"], "d")
     a = t.join(anchors.select(F.col("anchor").alias("id")), "id", "left_semi").select(F.col("id").alias("anchor"), "k", F.col("ts").alias("at"))
     # only so many distinct times either side can matter
     spans = a.join(dense.withColumnRenamed("ts", "at"), ["k", "at"]).select("anchor", "k", "at", F.explode(F.sequence(F.col("d") - before, F.col("d") + after)).alias("d"))
@@ -125,6 +126,29 @@ def rollback_batch(memories: DataFrame, curation: DataFrame, batches: DataFrame,
     return left, marked
 
 
+def log_curation(log: DataFrame, decisions: DataFrame, ts: Column) -> DataFrame:
+    """log and the decisions (fact_id, decision, sim, reason, model, batch_id), each with an id of its own and the time ts."""
+    new = decisions.withColumn("id", F.expr("uuid()")).withColumn("ts", ts)
+    return log.unionByName(new.select(*log.columns))
+
+
+def start_batches(batches: DataFrame, new: DataFrame, ts: Column) -> DataFrame:
+    """batches and those of new (batch_id, project, p1_before) that are not there yet, as started at ts."""
+    fresh = new.dropDuplicates(["batch_id"]).join(batches.select("batch_id"), "batch_id", "left_anti")
+    return batches.unionByName(fresh.withColumn("started_at", ts).withColumn("rolled_back", F.lit(0)), allowMissingColumns=True)
+
+
+def finish_batches(batches: DataFrame, results: DataFrame, ts: Column) -> DataFrame:
+    """batches with the outcome of results (batch_id, p1_after, facts_inserted, facts_superseded, rolled_back), one row a batch, at ts; results of unknown batches go."""
+    sets = ["p1_after", "facts_inserted", "facts_superseded", "rolled_back"]
+    r = results.select(F.col("batch_id").alias("_batch"), *[F.col(c).alias(f"_{c}") for c in sets])
+    done = F.col("_batch").isNotNull()
+    out = batches.join(r, F.col("batch_id") == F.col("_batch"), "left").withColumn("finished_at", F.when(done, ts).otherwise(F.col("finished_at")))
+    for c in sets:
+        out = out.withColumn(c, F.when(done, F.col(f"_{c}")).otherwise(F.col(c)))
+    return out.select(*batches.columns)
+
+
 def prepared(incoming: DataFrame) -> DataFrame:
     """Rows to save: private spans cut, titles derived, and an error for rows without content or with an unknown project."""
     clean = strip_private(F.coalesce("content", F.lit("")))

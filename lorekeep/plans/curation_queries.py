@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, titles
-from ..operators import evalir, records
+from ..operators import evalir, graph, records
 from ..operators.bm25 import bm25_topk
 from ..operators.vector import cosine_distance, cosine_topk, fit_dim, unit
 from ..sources.tables import FEEDBACK_SQL, MEMORIES_SQL, edges, feedback, memories, table, vectors
@@ -72,6 +72,35 @@ def fact_bm25(spark, d):
     return bm25_topk(_queries(spark, d).select("query", "text"), facts, 10).select("query", "id")
 
 
+@query(f"{M} SELECT id, md5(substr(title || ' ' || coalesce(content, ''), 1, 4096)) AS doc, translate(title, '\"''()[]{{}}^*?!~', repeat(' ', 13)) AS q FROM memories")
+def offline_fts_documents(spark, d):
+    c = F.col
+    return memories(spark, d).select("id", F.md5(text.fts_document(c("title"), c("content"))).alias("doc"), text.fts_query(c("title")).alias("q"))
+
+
+@query("""WITH b AS (SELECT n_nationkey AS batch_id, r_name AS project, n_nationkey / 100.0::DOUBLE AS p1_before FROM nation JOIN region ON r_regionkey = n_regionkey),
+r AS (SELECT c_nationkey AS batch_id, count(*) AS facts_inserted, count(*) FILTER (WHERE c_acctbal < 0) AS facts_superseded, (count(*) % 2)::INTEGER AS rolled_back FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1)
+SELECT batch_id, project, p1_before, CASE WHEN facts_inserted IS NOT NULL THEN 0.5::DOUBLE END AS p1_after, facts_inserted, facts_superseded, coalesce(rolled_back, 0) AS rolled_back, facts_inserted IS NOT NULL AS finished FROM b LEFT JOIN r USING (batch_id)""")
+def batch_log(spark, d):
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    schema = "batch_id long, project string, started_at timestamp_ntz, finished_at timestamp_ntz, p1_before double, p1_after double, facts_inserted long, facts_superseded long, rolled_back int"
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    new = n.select(F.col("n_nationkey").cast("long").alias("batch_id"), F.col("r_name").alias("project"), (F.col("n_nationkey") / 100.0).alias("p1_before"))
+    started = records.start_batches(spark.createDataFrame([], schema), new, now)
+    own = table(spark, d, "customer").filter("c_nationkey % 5 <> 0").groupBy(F.col("c_nationkey").cast("long").alias("batch_id"))
+    results = own.agg(F.lit(0.5).alias("p1_after"), F.count("*").alias("facts_inserted"), F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("facts_superseded"), (F.count("*") % 2).cast("int").alias("rolled_back"))
+    return records.finish_batches(started, results, now).withColumn("finished", F.col("finished_at").isNotNull()).drop("started_at", "finished_at")
+
+
+@query("""WITH w AS (SELECT n_nationkey AS batch, n_name AS want FROM nation), p AS (SELECT p_partkey AS entity, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS want FROM part),
+e AS (SELECT DISTINCT l_orderkey AS memory, l_partkey AS entity FROM lineitem), f AS (SELECT DISTINCT want FROM p), one AS (SELECT want, min(p_partkey) AS entity FROM f JOIN part ON p_brand = want OR CAST(p_partkey AS VARCHAR) = want GROUP BY 1)
+SELECT want AS filter, entity, memory FROM one JOIN e USING (entity)""".replace("w AS (SELECT n_nationkey AS batch, n_name AS want FROM nation), ", ""))
+def entity_filter(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("name"))
+    wanted = p.select(F.when(F.col("entity") % 2 == 0, F.col("entity").cast("string")).otherwise(F.col("name")).alias("filter"))
+    return graph.entity_filter(edges(spark, d), p, wanted)
+
+
 @query(f"{M}, {Q} SELECT query, id, rank FROM (SELECT query, v.id, row_number() OVER (PARTITION BY query ORDER BY {DOT.format(a='q.vec', b='v.vec')} DESC, v.id) AS rank FROM q JOIN v ON q.vec IS NOT NULL JOIN memories m ON m.id = v.id AND m.type = 'decision') WHERE rank <= 5")
 def prefiltered_topk(spark, d):
     own = vectors(spark, d).join(memories(spark, d).filter("type = 'decision'").select("id"), "id")

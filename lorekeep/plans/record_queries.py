@@ -366,7 +366,7 @@ def prometheus_lines(spark, d):
     return prometheus(memories(spark, d).groupBy(F.col("type").alias("label")).agg(F.count("*").alias("value")).withColumn("metric", F.lit("memories")))
 
 
-@query()
+@query(f"{M} SELECT id, type FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY md5(id || ':42'), id) AS r, count(*) OVER (PARTITION BY type) AS n FROM memories) WHERE r <= greatest(1, round(n * 0.1::DOUBLE))")
 def stratified_sample(spark, d):
     from ..operators.evalir import stratified_sample as sample
 

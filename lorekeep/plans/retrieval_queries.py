@@ -284,9 +284,10 @@ def paired_ab(spark, d):
     return _paired(spark, d)
 
 
-@query("WITH t AS (SELECT l_linenumber AS b, count(*) % 40 AS c FROM lineitem GROUP BY 1 UNION ALL SELECT 0, 0) SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS p FROM t")
+@query("WITH t AS (SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS b, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY l_linenumber UNION ALL SELECT 0, 0) SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS p FROM t")
 def mcnemar_table(spark, d):
-    t = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("b")).agg((F.count("*") % 40).alias("c")).union(spark.createDataFrame([(0, 0)], "b long, c long"))
+    t = table(spark, d, "lineitem").groupBy("l_linenumber").agg(*[F.count(F.when(F.col("l_returnflag") == v, 1)).alias(c) for v, c in (("A", "b"), ("R", "c"))])
+    t = t.select("b", "c").union(spark.createDataFrame([(0, 0)], "b long, c long"))
     return t.select("b", "c", F.round(evalir.mcnemar_p(F.col("b"), F.col("c")), 6).alias("p"))
 
 
@@ -340,10 +341,32 @@ def fragility(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    from pyspark.sql.window import Window
-
     sup = quality.support(vectors(spark, d))
-    return evalir.bootstrap_ci(sup.select((F.row_number().over(Window.orderBy("id")) - 1).alias("i"), (F.col("support") - 0.25).alias("d")), iters=500)
+    return evalir.bootstrap_ci(sup.select(F.col("id").alias("i"), (F.col("support") - 0.25).alias("d")))
+
+
+@query(f"""WITH {Q}, g AS (SELECT query, CASE WHEN query % 7 = 0 THEN -1 ELSE id END AS gold FROM bm WHERE rank = 1), c AS (SELECT * FROM cosine WHERE rank <= 200), b AS (SELECT * FROM bm WHERE rank <= 200),
+f AS (SELECT coalesce(c.query, b.query) AS query, coalesce(c.id, b.id) AS id, round(1 / (60 + coalesce(c.rank, n_docs + 1))::DOUBLE + 1 / (60 + coalesce(b.rank, n_docs + 1))::DOUBLE, 9) AS s FROM c FULL JOIN b ON b.query = c.query AND b.id = c.id, st),
+r AS (SELECT f.query, sum((f.s > x.s)::INT) + 1 AS gr FROM f JOIN g USING (query) JOIN f x ON x.query = f.query AND x.id = g.gold GROUP BY 1), base AS (SELECT round(count(*) FILTER (WHERE gr = 1) / (SELECT count(*) FROM g), 4) AS p FROM r),
+live AS (SELECT g.query, c.rank FROM g LEFT JOIN c ON c.query = g.query AND c.id = g.gold AND c.rank <= 10 WHERE gold IN (SELECT doc_id FROM documents))
+SELECT 'ok' AS status, count(*) AS n_queries, round(avg((coalesce(rank, 0) = 1)::INT), 4) AS precision_at_1, round(avg(coalesce(1 / rank, 0)), 4) AS mrr, round(avg((coalesce(rank, 0) = 1)::INT) - any_value(p), 4) AS gap_vs_offline_rrf, (SELECT count(*) FROM g WHERE gold NOT IN (SELECT doc_id FROM documents)) AS n_skipped_dangling FROM live, base""")
+def live_path_eval(spark, d):
+    n, bm, cos = table(spark, d, "documents").count(), _bm(spark, d, 200), _cos(spark, d, 200)
+    gold = bm.filter("rank = 1").select("query", F.when(F.col("query") % 7 == 0, -1).otherwise(F.col("id")).alias("gold"))
+    base = evalir.offline_p1(search.rrf_fusion(cos, bm, F.lit(n)).withColumnRenamed("rrf", "s"), gold)
+    return evalir.live_path(cos.filter("rank <= 10"), gold, memories(spark, d).select("id"), base)
+
+
+@query("""WITH s AS (SELECT CASE user_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN '' END AS source, CASE WHEN user_id % 2 = 0 THEN 'hook' END AS memory_source, ts FROM events WHERE event_type = 'error'),
+m AS (SELECT count(*) AS queue_size, greatest(0, floor((epoch_us(TIMESTAMP '2024-02-25 00:00:00') - epoch_us(min(ts))) / 1000000.0::DOUBLE))::BIGINT AS oldest_age_sec FROM s)
+SELECT coalesce(nullif(source, ''), memory_source, 'unknown') AS source, count(*) AS n, any_value(queue_size) AS queue_size, any_value(oldest_age_sec) AS oldest_age_sec FROM s, m GROUP BY 1""")
+def spool_gauges(spark, d):
+    u = F.col("user_id")
+    spool = table(spark, d, "events").filter("event_type = 'error'").select(
+        F.when(u % 3 == 0, "api").when(u % 3 == 1, "").alias("source"), F.when(u % 2 == 0, "hook").alias("memory_source"), F.col("ts").cast("timestamp_ntz").alias("queued_at"),
+    )
+    now = F.lit("2024-02-25 00:00:00").cast("timestamp_ntz")
+    return flows.spool_sources(spool).crossJoin(F.broadcast(flows.spool_metrics(spool, now)))  # one row
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, 0 AS i, trim(p_name) AS content, CASE WHEN p_size = 0 THEN 0.5 ELSE least(1.0::DOUBLE, p_size / 10.0::DOUBLE) END AS salience, CASE WHEN lower(p_type) IN ('decision', 'solution', 'preference', 'fact', 'pattern', 'error_lesson') THEN lower(p_type) ELSE 'decision' END AS fact_type, p_brand AS entities FROM part
@@ -400,7 +423,8 @@ def error_fix_state(spark, d):
     return flows.action_events(_actions(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'c' || user_id AS client, ts, event_id AS id FROM events), s(client, begins) AS (SELECT client, min(ts) FROM e GROUP BY client UNION ALL SELECT s.client, min(e.ts) FROM s JOIN e ON e.client = s.client AND e.ts >= s.begins + INTERVAL 1 DAY GROUP BY s.client, s.begins),
+w AS (SELECT e.client, e.ts, e.id, max(s.begins) AS begins FROM e JOIN s ON s.client = e.client AND s.begins <= e.ts GROUP BY 1, 2, 3) SELECT client, ts, id, row_number() OVER (PARTITION BY client, begins ORDER BY ts, id) <= 2 AS allowed FROM w""")
 def rate_limit_window(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id")).alias("client"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("id"))
     return flows.rate_limited(e, limit=2, window_s=86_400)

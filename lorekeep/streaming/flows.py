@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from ..functions.text import ACTION_CONFIDENCE, is_error, is_test_pass, micros, skip_command, skip_file
 
@@ -22,8 +21,24 @@ def fan_out(saves: DataFrame) -> DataFrame:
 
 
 def unique_feedback(stream: DataFrame, key: str = "key", ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Events once for each key within the watermark; events without a key all pass in the batch form only."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+    """Events once for each key, within the watermark where they stream; events without a key all pass."""
+    if stream.isStreaming:
+        stream = stream.withWatermark(ts, delay)
+    keyed, others = stream.filter(F.col(key).isNotNull()), stream.filter(F.col(key).isNull())
+    once = keyed.dropDuplicatesWithinWatermark([key]) if stream.isStreaming else keyed.dropDuplicates([key])
+    return once.unionByName(others)
+
+
+def spool_metrics(spool: DataFrame, now: Column) -> DataFrame:
+    """One row (queue_size, oldest_age_sec) of spooled rows (queued_at); an empty spool and times to come have age 0."""
+    age = F.floor((micros(now) - micros(F.min("queued_at"))) / 1_000_000)
+    return spool.agg(F.count("*").alias("queue_size"), F.coalesce(F.greatest(F.lit(0), age), F.lit(0)).cast("long").alias("oldest_age_sec"))
+
+
+def spool_sources(spool: DataFrame) -> DataFrame:
+    """(source, n): source, else memory_source, else unknown; empty names count as none."""
+    name = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.when(F.col("memory_source") != "", F.col("memory_source")), F.lit("unknown"))
+    return spool.groupBy(name.alias("source")).agg(F.count("*").alias("n"))
 
 
 def spool_pass(spool: DataFrame, sent_keys: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -41,9 +56,10 @@ def spool_key(payload: Column) -> Column:
 
 def job_step(jobs: DataFrame, outcome: DataFrame, batch: int = 10) -> DataFrame:
     """Jobs after one tick: the first pending ones run by outcome (id, ok); failures count and the fifth ends a job."""
-    turn = F.row_number().over(Window.partitionBy("status").orderBy("created_at", "id"))
-    rows = jobs.withColumn("_turn", turn).join(outcome, "id", "left")
-    runs = (F.col("status") == "pending") & (F.col("_turn") <= batch) & F.col("ok").isNotNull()
+    first = jobs.filter("status = 'pending'").orderBy("created_at", "id").limit(batch).select("id")
+    ran = outcome.join(F.broadcast(first), "id", "left_semi")  # batch rows
+    rows = jobs.join(F.broadcast(ran), "id", "left")
+    runs = (F.col("status") == "pending") & F.col("ok").isNotNull()
     attempts = F.when(runs & ~F.col("ok"), F.col("attempts") + 1).otherwise(F.col("attempts"))
     status = F.when(runs & F.col("ok"), "done").when(runs & (attempts >= MAX_FAILURES), "failed").otherwise(F.col("status"))
     return rows.select("id", "created_at", status.alias("status"), attempts.alias("attempts"))

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.embed import HashEmbedder
 from lorekeep.operators import evalir, facts, graph, quality, records, search
 from lorekeep.operators.components import connected_components
+from lorekeep.operators.ranks import positions
 from lorekeep.operators.vector import cosine_topk
 
 TS = [datetime(2024, 1, i + 1) for i in range(9)]
@@ -101,7 +102,7 @@ def test_components_against_union_find(spark, seed):
 
 def test_mcnemar_and_gate(spark):
     assert evalir.mcnemar_exact(0, 0) == 1.0 and evalir.mcnemar_exact(10, 0) == pytest.approx(2 / 1024)
-    t = spark.createDataFrame([(3, 9), (0, 0), (20, 7)], "b long, c long")
+    t = spark.createDataFrame([(3, 9), (0, 0), (20, 7), (900, 1010), (4000, 4001)], "b long, c long")
     for r in t.select("b", "c", evalir.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect():
         assert r["p"] == pytest.approx(evalir.mcnemar_exact(r["b"], r["c"]), abs=1e-9)
     good = dict(n_queries=200, baseline_hit10=0.6, n_reachable=40, gains=25, losses=3, delta_hit1=0, delta_hit3=0.01, delta_hit10=0.1, delta_mrr=0.01, ci_hit10_low=0.02, ci_mrr_low=0.0, filter_violations=0, latency_ratio=1.1)
@@ -125,6 +126,45 @@ def test_bootstrap_covers_the_mean(spark):
     assert r["lo"] < 0.2 < r["hi"]
 
 
+def test_positions_are_those_of_one_sort(spark):
+    rows = [(random.Random(i).choice(["a", "b", None]), i, i % 13 if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id long, v long")
+    got = {r["id"]: r["p"] for r in positions(df, ["g"], F.floor(F.col("v") / 4), ["v", "id"], "p").collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        assert [got[r[1]] for r in own] == list(range(1, len(own) + 1))
+    assert positions(df.filter("id < 0"), [], F.col("v"), ["id"], "p").count() == 0
+
+
+def test_timeline_of_the_whole_table(spark):
+    m = spark.createDataFrame([(i, TS[0] + timedelta(hours=5 * i)) for i in range(12)], "id long, ts timestamp_ntz")
+    got = records.timeline(m, spark.createDataFrame([(6,)], "anchor long"), 2, 1).orderBy("offset").collect()
+    assert [(r["id"], r["offset"]) for r in got] == [(4, -2), (5, -1), (6, 0), (7, 1)]
+
+
+def test_batches_start_once_and_finish(spark):
+    schema = "batch_id string, project string, started_at timestamp_ntz, finished_at timestamp_ntz, p1_before double, p1_after double, facts_inserted long, facts_superseded long, rolled_back int"
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    new = spark.createDataFrame([("b", "p", 0.5), ("b", "p", 0.5), ("c", "p", None)], "batch_id string, project string, p1_before double")
+    started = records.start_batches(spark.createDataFrame([], schema), new, now)
+    again = records.start_batches(started, new, now)
+    done = records.finish_batches(again, spark.createDataFrame([("b", 0.6, 3, 1, 0), ("x", 0.1, 0, 0, 1)], "batch_id string, p1_after double, facts_inserted long, facts_superseded long, rolled_back int"), now)
+    assert sorted((r["batch_id"], r["facts_inserted"], r["finished_at"] is not None) for r in done.collect()) == [("b", 3, True), ("c", None, False)]
+    log = spark.createDataFrame([], "id string, ts timestamp_ntz, fact_id string, decision string, sim double, reason string, model string, batch_id string")
+    rows = records.log_curation(log, spark.createDataFrame([("f", "ADD", None, "new", None, "b"), ("f", "ADD", None, "new", None, "b")], "fact_id string, decision string, sim double, reason string, model string, batch_id string"), now).collect()
+    assert len({r["id"] for r in rows}) == 2
+
+
+def test_live_path_leaves_dangling_golds_out(spark):
+    results = spark.createDataFrame([(1, 10, 1), (2, 5, 1), (2, 20, 2), (3, 99, 1)], "query long, id long, rank int")
+    gold = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40)], "query long, gold long")
+    corpus, base = spark.createDataFrame([(10,), (20,), (40,)], "id long"), spark.createDataFrame([(0.25,)], "p1 double")
+    r = evalir.live_path(results, gold, corpus, base).first()
+    assert tuple(r) == ("ok", 3, 0.3333, 0.5, 0.0833, 1)
+    none = evalir.live_path(results, gold, corpus.filter("id < 0"), base).first()
+    assert (none["status"], none["n_queries"], none["precision_at_1"], none["n_skipped_dangling"]) == ("skipped", 0, None, 4)
+
+
 def test_facts_parse_and_curate(spark):
     raw = spark.createDataFrame([(1, '```json\n{"facts":[{"content":"a","salience":2},{"content":" "},{"content":"b","salience":0.7,"fact_type":"odd"}]}\n```'), (2, "no json"), (3, "[1]")], "id long, text string")
     assert [(r["id"], r["content"], r["salience"], r["fact_type"]) for r in facts.parse_facts(raw).orderBy("pos").collect()] == [(1, "a", 1.0, "decision"), (1, "b", 0.7, "decision")]

@@ -41,6 +41,17 @@ def test_streamed_feedback_comes_once(spark, tmp_path):
     assert sorted(r["key"] for r in spark.table("fb").collect()) == ["k0", "k1", "k2"]
 
 
+def test_feedback_without_a_key_passes(spark):
+    rows = [(1, datetime(2024, 1, 1), "a"), (2, datetime(2024, 1, 1), "a"), (3, datetime(2024, 1, 1), None), (4, datetime(2024, 1, 1), None)]
+    got = flows.unique_feedback(spark.createDataFrame(rows, "event_id long, ts timestamp, key string")).collect()
+    assert sorted(r["key"] or "" for r in got) == ["", "", "a"]
+
+
+def test_spool_gauges_of_an_empty_spool(spark):
+    empty = spark.createDataFrame([], "source string, memory_source string, queued_at timestamp")
+    assert tuple(flows.spool_metrics(empty, F.lit(datetime(2024, 1, 1))).first()) == (0, 0) and flows.spool_sources(empty).count() == 0
+
+
 def test_jobs_fail_the_fifth_time(spark):
     t = datetime(2024, 1, 1)
     jobs = spark.createDataFrame([(1, t, "pending", 3), (2, t, "pending", 4), (3, t, "pending", 0), (4, t, "done", 0)], "id long, created_at timestamp_ntz, status string, attempts int")
