@@ -215,13 +215,13 @@ def _rows(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
 
         def run(batch: pa.RecordBatch):
             level = level_b.value
-            doc_ns, doc_keys = [], []
-            keys, ns, maps = [], [], []
-            toks, orders, sizes = [], [], []
-            has_id = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            for s in textbuf.slices(batch.column("text")):
+            has_id, done = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), 0
+            for s in textbuf.slices(batch.column("text")):  # a slice's rows leave before the next one's are made
+                doc_ns, doc_keys = [], []
+                keys, ns, maps = [], [], []
+                toks, orders, sizes = [], [], []
                 for tokens in shingle_sets(s, rule.words):
-                    n, i = len(tokens), len(doc_ns)
+                    n, i = len(tokens), done + len(doc_ns)
                     key = class_key(tokens) if n else None
                     doc_ns.append(n)
                     doc_keys.append(key)
@@ -240,12 +240,12 @@ def _rows(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
                     toks.append(first)
                     orders.append((rare << 55) + (n << 27) + np.arange(p))
                     sizes.append(p)
-            rows = [_batch(0, len(doc_ns), doc_id=batch.column("doc_id"), key=pa.array(doc_keys, pa.int64()), n=pa.array(doc_ns, pa.int32()))]
-            if keys:
-                m = np.stack(maps)
-                rows.append(_batch(1, len(keys), key=pa.array(keys, pa.int64()), n=pa.array(ns, pa.int32()), **{c: pa.array(m[:, i]) for i, c in enumerate(MAPS)}))
-                rows.append(_batch(2, sum(sizes), key=pa.array(np.repeat(np.array(keys, np.int64), sizes)), token=pa.array(np.concatenate(toks).view(np.int64)), order=pa.array(np.concatenate(orders))))
-            yield from rows
+                yield _batch(0, len(doc_ns), doc_id=batch.column("doc_id").slice(done, len(doc_ns)), key=pa.array(doc_keys, pa.int64()), n=pa.array(doc_ns, pa.int32()))
+                done += len(doc_ns)
+                if keys:
+                    m = np.stack(maps)
+                    yield _batch(1, len(keys), key=pa.array(keys, pa.int64()), n=pa.array(ns, pa.int32()), **{c: pa.array(m[:, i]) for i, c in enumerate(MAPS)})
+                    yield _batch(2, sum(sizes), key=pa.array(np.repeat(np.array(keys, np.int64), sizes)), token=pa.array(np.concatenate(toks).view(np.int64)), order=pa.array(np.concatenate(orders)))
 
         return run
 
@@ -300,18 +300,18 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> D
         def run(batch: pa.RecordBatch):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
-            rows = []
             for s in textbuf.slices(batch.column("text")):
+                rows = []
                 for tokens in shingle_sets(s, rule.words):
                     if len(tokens) and (key := class_key(tokens)) not in seen:
                         rows.append((key, tokens))
                         if len(seen) < SEEN:
                             seen.add(key)
-            if rows:
-                own = [x[1] for x in rows]
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
-                maps = pa.ListArray.from_arrays(np.arange(0, SET_LONGS * len(own) + 1, SET_LONGS, dtype=np.int32), np.concatenate([bit_map(x, SET_LONGS) for x in own]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([len(x) for x in own], pa.int32()), maps, lists], ["key", "n", "map", "tokens"])
+                if rows:
+                    own = [x[1] for x in rows]
+                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32), np.concatenate(own).view(np.int64))
+                    maps = pa.ListArray.from_arrays(np.arange(0, SET_LONGS * len(own) + 1, SET_LONGS, dtype=np.int32), np.concatenate([bit_map(x, SET_LONGS) for x in own]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([len(x) for x in own], pa.int32()), maps, lists], ["key", "n", "map", "tokens"])
 
         return run
 

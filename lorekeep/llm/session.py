@@ -39,6 +39,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                     yield out
                 else:
                     yield from out
+                pa.default_memory_pool().release_unused()  # workers live on between stages
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
