@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Models are fitted on the way, which SQL can't express; the stages are tested against brute force.
+#: Models are fitted on the way, which SQL can't express; the operators of the stages are tested in tests/llm.
 ORACLE_SQL = None
 
 
