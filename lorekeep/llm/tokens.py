@@ -14,6 +14,7 @@ of bytes.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -42,6 +43,8 @@ SHARD_BYTES, MIN_SHARDS, LEAST_SHARD = 256 << 20, 48, 8 << 20
 #: Distinct units whose ids a Python worker remembers.
 CACHE = 600_000
 LEVEL = 3
+#: Units that the tokenizer gets at once, and bytes of a slice: what both leave in memory follows them.
+LEARN, SLICE_BYTES = 4_096, 1 << 19
 
 _SPACE = ~textbuf.NON_SPACE
 _ASCII_LETTER = np.zeros(256, bool)
@@ -78,6 +81,7 @@ class Encoder:
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and every thread a heap of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,16 +101,19 @@ class Encoder:
 
     def _learn(self, place: np.ndarray, hashes: np.ndarray, texts: list[str]) -> None:
         """Encode new units; place: where their hashes go among the known ones."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        end = self.used + int(size.sum())
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * end - self.used, np.uint32)])
-        self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+        sizes, first = [], self.used
+        for i in range(0, len(texts), LEARN):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + LEARN], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            end = self.used + int(sizes[-1].sum())
+            if end > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * end - self.used, np.uint32)])
+            self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+            self.used = end
+        size = np.concatenate(sizes)
         self.keys = np.insert(self.keys, place, hashes)
-        self.begin = np.insert(self.begin, place, self.used + np.cumsum(size) - size)
+        self.begin = np.insert(self.begin, place, first + np.cumsum(size) - size)
         self.size = np.insert(self.size, place, size)
-        self.used = end
 
     def encode(self, s: textbuf.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and how many each has."""
@@ -164,7 +171,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, width:
     def make():
         def run(batch: pa.RecordBatch):
             out = []
-            for s in textbuf.slices(batch.column("text")):
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):
                 ids, offsets = Encoder.of(tokenizer).with_end(s, end_id)
                 raw = ids.astype(f"<u{width}")
                 out += [raw[a:b].tobytes() for a, b in pairwise(offsets)]
@@ -227,7 +234,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) ->
         def run(batch: pa.RecordBatch):
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             frames, counts = [], []
-            for s in textbuf.slices(batch.column("text")):
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):
                 tokens, offsets = Encoder.of(tokenizer).with_end(s, end_id)
                 raw = tokens.astype(f"<u{width}")
                 frames += [press.compress(raw[a:b].tobytes()) for a, b in pairwise(offsets)]
@@ -342,7 +349,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None = 2, column
 
     def make():
         def run(batch: pa.RecordBatch):
-            counts = [np.diff(Encoder.of(tokenizer).with_end(s, end_id)[1]) for s in textbuf.slices(batch.column("text"))]
+            counts = [np.diff(Encoder.of(tokenizer).with_end(s, end_id)[1]) for s in textbuf.slices(batch.column("text"), SLICE_BYTES)]
             return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(counts))], ["row", "n_tokens"])
 
         return run
