@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
-from . import ann, decontam, jaccard, langid, packing, ppm, quality, tokens, toxicity, urlfilter
+from . import ann, decontam, jaccard, langid, merkle, packing, ppm, quality, spelling, tokens, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), tampered={"text": merkle.lowered_where(3)})
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +105,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_langid": op9_langid,
     "op10_lm_score": op10_lm_score,
+    "op12_spelling": op12_spelling,
+    "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
 
@@ -168,4 +180,65 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op2_ann": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL}
+#: CRC-32 of a list of byte values.
+_CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {bytes}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"
+_A, _Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+#: Byte values of a string, two hexadecimal digits each.
+_BYTES = "list_transform(range(1, length({h}), 2), lambda i: ((instr('0123456789ABCDEF', {h}[i:i]) - 1) * 16 + instr('0123456789ABCDEF', {h}[i + 1:i + 1]) - 1)::UBIGINT)"
+
+#: Pairs that differ by a replaced character share the rest at that place; others hold one another less a character.
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), {_A}, {_Z}) AS run FROM documents WHERE text IS NOT NULL
+), d AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+h AS (SELECT *, hex(encode(doc_id || ':' || run)) AS hx FROM d),
+k AS (SELECT run, n, {_CRC.format(bytes=_BYTES.format(h="hx"))} AS crc FROM h),
+c AS (SELECT n, CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::BIGINT) || substr(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word FROM k),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM v)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM v)
+), s AS (SELECT near.word, near, v.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, encode(near)) AS k FROM near JOIN v ON v.word = near),
+f AS (SELECT v.word, v.n, coalesce(s.n_near, 0) AS n_near, CASE WHEN s.n >= 2 * v.n THEN s.near END AS form, CASE WHEN s.n >= 2 * v.n THEN s.n END AS form_n FROM v LEFT JOIN s ON s.word = v.word AND s.k = 1),
+way(word, last) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near::BIGINT AS n_near, f.form, f.form_n::BIGINT AS form_n, way.last AS root FROM f JOIN way ON way.word = f.word JOIN f e ON e.word = way.last AND e.form IS NULL
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: Levels of all trees at once (tree: language, or the one over the subroots), then every leaf's way up.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)")} % 3 = 0 THEN {_leaf(f"translate(text, {_A}, {_Z})")} ELSE {_leaf("text")} END AS changed
+  FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low(g, level, pos, h, n) AS (
+  SELECT g, 0, pos, leaf, count(*) OVER (PARTITION BY g) FROM p
+  UNION ALL SELECT g, max(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY g, pos // 8
+), sub AS (SELECT g, h, level, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+up(level, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM sub UNION ALL SELECT max(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM up WHERE n > 1 GROUP BY pos // 8
+), node AS (
+  SELECT g, level, pos, h, n FROM low UNION ALL SELECT 'up', level, pos, h, n FROM up
+), side AS (
+  SELECT a.g, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM node a JOIN node b ON b.g = a.g AND b.level = a.level AND b.pos // 8 = a.pos // 8 WHERE a.n > 1 GROUP BY 1, 2, 3
+), way(r, g, level, pos, f, proof) AS (
+  SELECT r, g, 0, pos, changed, '' FROM p
+  UNION ALL SELECT way.r, way.g, way.level + 1, way.pos // 8, sha256(side.l || f || side.r), proof || side.l || side.r FROM way JOIN side ON side.g = way.g AND side.level = way.level AND side.pos = way.pos
+), upway(r, level, pos, f, proof) AS (
+  SELECT way.r, 0, sub.pos, f, proof FROM way JOIN sub ON sub.g = way.g AND sub.level = way.level
+  UNION ALL SELECT u.r, u.level + 1, u.pos // 8, sha256(side.l || f || side.r), proof || side.l || side.r FROM upway u JOIN side ON side.g = 'up' AND side.level = u.level AND side.pos = u.pos
+), top AS (SELECT h AS root, level FROM up WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM p JOIN sub USING (g) JOIN top ON true JOIN upway ON upway.r = p.r AND upway.level = top.level
+"""
+
+ORACLE: dict[str, str] = {"op2_ann": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL, "op12_spelling": OP12_SQL, "op13_merkle": OP13_SQL}
