@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
-from . import ann, decontam, jaccard, langid, merkle, packing, ppm, quality, spelling, tokens, toxicity, urlfilter
+from . import ann, decontam, jaccard, langid, merkle, packing, ppm, quality, spelling, superkmer, tokens, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = superkmer.report(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_langid": op9_langid,
     "op10_lm_score": op10_lm_score,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
     "pipeline": pipeline,
@@ -180,6 +186,18 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: The least id of every window, and the words that windows of a smaller id cover.
+OP11_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM w, range(1, len(ws) - 11) t(i) WHERE len(ws) >= 13 AND doc_id IS NOT NULL),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+off AS (SELECT DISTINCT r, i + j AS p FROM win JOIN least USING (s), range(0, 13) q(j) WHERE m < doc_id),
+gone AS (SELECT r, list(p) AS ps FROM off GROUP BY r),
+kept AS (SELECT w.r, list_filter(ws, lambda x, i: NOT list_contains(ps, i)) AS ks FROM w JOIN gone USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(coalesce(ks, ws)))::BIGINT AS n_removed, sha256(array_to_string(coalesce(ks, ws), ' ')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
 #: CRC-32 of a list of byte values.
 _CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {bytes}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"
 _A, _Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -241,4 +259,4 @@ SELECT doc_id, leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, f AS
 FROM p JOIN sub USING (g) JOIN top ON true JOIN upway ON upway.r = p.r AND upway.level = top.level
 """
 
-ORACLE: dict[str, str] = {"op2_ann": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL, "op12_spelling": OP12_SQL, "op13_merkle": OP13_SQL}
+ORACLE: dict[str, str] = {"op2_ann": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_spelling": OP12_SQL, "op13_merkle": OP13_SQL}
