@@ -49,8 +49,8 @@ def group_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
-    """rows with the place, from 0, of each among those of its group, as a stored table of sorted runs.
+def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with place, from 0 among those of their group, and n, the group's size; from a stored table of sorted runs.
 
     Runs are range partitions, whose rows are counted by group; the counts of
     earlier runs give where a run begins.  Rows that are equal in all of order
@@ -60,10 +60,11 @@ def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame
     spread = rows.withColumn(tie, F.monotonically_increasing_id())
     runs = spread.repartitionByRange(by, *order, tie).sortWithinPartitions(by, *order, tie).drop(tie)
     runs = stored(runs.withColumns({at: F.monotonically_increasing_id(), run: F.spark_partition_id()}), "merkle-runs")
-    sizes = runs.groupBy(by, run).agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(by).orderBy(run).rowsBetween(Window.unboundedPreceding, -1))  # a row a run
-    starts = sizes.select(by, run, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    return runs.join(starts, [by, run]).withColumn(name, F.col(at) + F.col("shift")).drop(at, run, "shift")
+    sizes = runs.groupBy(by, run).agg(F.min(at).alias("first"), F.count("*").alias("rows"))
+    group = Window.partitionBy(by)  # a row a run
+    before = F.sum("rows").over(group.orderBy(run).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(by, run, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("rows").over(group).alias("n"))
+    return runs.join(starts, [by, run]).withColumn("place", F.col(at) + F.col("shift")).drop(at, run, "shift")
 
 
 @dataclass
@@ -87,11 +88,10 @@ class Store:
 
 
 def build(leaves: DataFrame, what: str) -> Store:
-    """The store of leaves (key, place, hash), places from 0 without gaps in each key."""
+    """The store of leaves (key, place, n, hash) as numbered() places them."""
     spark = leaves.sparkSession
     path = fresh_path(spark, what)
-    n = leaves.groupBy("key").agg(F.count("*").alias("n"))
-    first = leaves.join(n, "key").select("key", "place", "n", "hash", F.lit(None).cast("array<string>").alias("below"))
+    first = leaves.select("key", "place", "n", "hash", F.lit(None).cast("array<string>").alias("below"))
     first.sortWithinPartitions("key", "place").write.parquet(f"{path}/level=0")
     store = Store(path, 1, spark)
     while True:
@@ -105,22 +105,30 @@ def build(leaves: DataFrame, what: str) -> Store:
         store.levels += 1
 
 
-def ways(store: Store, tops: DataFrame) -> DataFrame:
-    """(key, place, way, ...) of every leaf; tops: (key, way, ...), the way of each group's last node and what else its leaves get."""
+def with_ways(leaves: DataFrame, store: Store, tops: DataFrame) -> DataFrame:
+    """leaves (key, place, ...) with their ways; tops: (key, way, ...), the way of each group's last node and what else its leaves get.
+
+    Ways move with the parents of leaves, not with the leaves, of which there are FAN times as many.
+    """
     more = [c for c in tops.columns if c not in ("key", "way")]
     ends = stored(tops.join(store.tops().select("key", "level"), "key"), "merkle-tops")
+
+    def step(i: Column) -> Column:
+        beside = F.struct(F.array_join(F.slice("below", 1, i), "").alias("left"), F.array_join(F.slice("below", i + 2, FAN), "").alias("right"))
+        return F.when(F.col("below").isNull(), F.col("way")).otherwise(F.concat(F.array(beside), F.col("way")).cast(WAY))
+
+    here = ends.filter(F.col("level") == 0).select("key", F.lit(0).cast("long").alias("parent"), F.lit(None).cast("array<string>").alias("below"), "way", *more)  # leaves without a parent
     down = None
-    for k in range(store.levels - 1, -1, -1):
+    for k in range(store.levels - 1, 0, -1):
         begin = ends.filter(F.col("level") == k).select("key", F.lit(0).cast("long").alias("place"), "way", *more)
-        here = begin if down is None else down.union(begin)
-        if k == 0:
-            return here
-        if down is not None:
-            here = stored(here, "merkle-ways")
-        met = here.join(store.level(k).select("key", "place", "below").hint("merge"), ["key", "place"])
+        level = begin if down is None else stored(down.union(begin), "merkle-ways")
+        met = level.join(store.level(k).select("key", "place", "below").hint("merge"), ["key", "place"])
+        if k == 1:
+            here = here.union(met.select("key", F.col("place").alias("parent"), "below", "way", *more))
         each = met.select("key", "place", "way", "below", *more, F.posexplode("below").alias("i", "own"))
-        step = F.struct(F.array_join(F.slice("below", 1, F.col("i")), "").alias("left"), F.array_join(F.slice("below", F.col("i") + 2, FAN), "").alias("right"))
-        down = each.select("key", (F.col("place") * FAN + F.col("i")).alias("place"), F.concat(F.array(step), F.col("way")).cast(WAY).alias("way"), *more)
+        down = each.select("key", (F.col("place") * FAN + F.col("i")).alias("place"), step(F.col("i")).alias("way"), *more)
+    below = leaves.withColumn("parent", F.floor(F.col("place") / FAN)).join(here.hint("merge"), ["key", "parent"])
+    return below.withColumn("way", step((F.col("place") % FAN).cast("int"))).drop("below", "parent")
 
 
 def fold(leaf: Column, way: Column) -> Column:
@@ -142,15 +150,15 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group: str = "lang", field
     values = [F.col(f) for f in fields]
     changed = [tampered.get(f, F.col(f)) for f in fields]
     rows = docs.select(F.col(id_col).alias("id"), group_key(F.col(group)).alias("key"), leaf_hash(values).alias("hash"), leaf_hash(changed).alias("changed"))
-    leaves = stored(numbered(rows, "key", ["id", "hash"], "place"), "merkle-leaves")
-    store = build(leaves.select("key", "place", "hash"), "merkle-nodes")
+    leaves = stored(numbered(rows, "key", ["id", "hash"]), "merkle-leaves")
+    store = build(leaves, "merkle-nodes")
     subroots = store.tops().select(F.lit("").alias("key"), F.col("key").alias("group"), "hash")
-    placed = stored(numbered(subroots, "key", ["group"], "place"), "merkle-subroots")
-    upper = build(placed.select("key", "place", "hash"), "merkle-upper")
+    placed = stored(numbered(subroots, "key", ["group"]), "merkle-subroots")
+    upper = build(placed, "merkle-upper")
     root = upper.tops().select("key", F.array().cast(WAY).alias("way"), F.col("hash").alias("root"))
-    over = ways(upper, root).join(placed.select("place", "group", F.col("hash").alias("subroot")), "place")
-    down = ways(store, over.select(F.col("group").alias("key"), "way", "subroot", "root"))
-    out = leaves.join(down.hint("merge"), ["key", "place"]).withColumn("folded_root", fold(F.col("changed"), F.col("way")))
+    over = with_ways(placed.select("key", "place", "group", F.col("hash").alias("subroot")), upper, root)
+    out = with_ways(leaves.select("key", "place", "id", "hash", "changed"), store, over.select(F.col("group").alias("key"), "way", "subroot", "root"))
+    out = out.withColumn("folded_root", fold(F.col("changed"), F.col("way")))
     return out.select("id", F.col("hash").alias("leaf"), "subroot", "root", "way", proof_hash(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
