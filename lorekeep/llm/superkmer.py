@@ -50,7 +50,7 @@ class Rule:
     """Windows of so many words, whose minimisers are grams of so many; and the sizes that work is cut to."""
 
     window: int = 13
-    gram: int = 3
+    gram: int = 2
     #: Windows that a packed string holds at most.
     run: int = 32
     bins: int = 1 << 16
@@ -69,7 +69,7 @@ class Deal:
 def pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
     head = np.array([len(body), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return head + pa.compress(body, codec="zstd", asbytes=True)
+    return head + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
