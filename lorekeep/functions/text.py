@@ -116,11 +116,21 @@ def clean_entities(names: Column, cap: int = 12) -> Column:
 
 
 def sanitize_query(c: Column) -> Column:
-    """Search tokens: letters and digits; everything else separates; one-byte tokens go."""
-    tokens = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
+    """Search tokens: letters, digits, - and ' stay, everything else separates; one-byte tokens go."""
+    tokens = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}'-]+", " "), " ")
     return F.filter(tokens, lambda t: F.octet_length(t) >= 2)
 
 
+def index_words(c: Column) -> Column:
+    """Words as the index cuts them: ASCII letters and digits and every non-ASCII character; case as it is."""
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+
+
+def ascii_lower(word: Column) -> Column:
+    """A-Z in lower case, and no other character changed."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def fts_document(title: Column, content: Column) -> Column:
     """What the offline index holds of a record: title and content, 4096 characters."""
     return F.substring(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit(""))), 1, FTS_CHARS)

@@ -1,37 +1,70 @@
-"""BM25 over a postings table (Robertson-Zaragoza, k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)))."""
+"""BM25 over a postings table of stems (Robertson-Zaragoza, k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)))."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from ..functions.text import sanitize_query
+from ..functions.stem import porter
+from ..functions.text import ascii_lower, index_words, sanitize_query
+from ..sources.shared import stored
 
 K1, B = 1.2, 0.75
-#: Distinct query terms up to which they are broadcast, some 50 MB; more are joined by a shuffle.
+#: Words of query terms up to which they are broadcast, some 50 MB; more are joined by a shuffle.
 MAX_TERMS = 1_000_000
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, id, len, tf) of docs (id, content) for the given terms (term), distinct ones: other words end before the shuffle."""
-    few = terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS
-    words = docs.select("id", sanitize_query(F.col("content")).alias("ws")).select("id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+@F.pandas_udf(StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(porter)
+
+
+def stemmed(terms: DataFrame) -> DataFrame:
+    """(term, stem) of distinct terms (term): each is stemmed once, not wherever it stands."""
+    return terms.select("term", _stems("term").alias("stem"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query, stem, n_terms): the distinct stems of each query (query, text). A token with - or ' asks for all its parts."""
+    words = queries.select("query", F.explode(index_words(F.array_join(sanitize_query(F.col("text")), " "))).alias("word")).select("query", ascii_lower(F.col("word")).alias("term")).distinct()
+    stems = words.join(stemmed(words.select("term").distinct()), "term").select("query", "stem").distinct()
+    return stems.withColumn("n_terms", F.count("*").over(Window.partitionBy("query")))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, docs, words): the terms of docs (id, content), stored; docs and words count, and sum up the lengths of, the documents that begin with a term (null: without words), so one pass gives terms and statistics."""
+    words = docs.select(index_words(F.col("content")).alias("ws")).select(F.size("ws").alias("len"), F.posexplode_outer("ws").alias("at", "word"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    counts = words.groupBy(ascii_lower(F.col("word")).alias("term")).agg(F.count(F.when(first, 1)).alias("docs"), F.coalesce(F.sum(F.when(first, F.col("len"))), F.lit(0)).alias("words"))
+    return stored(counts, "bm25-vocabulary")
+
+
+def postings(docs: DataFrame, terms: DataFrame, stems: DataFrame) -> DataFrame:
+    """(stem, id, len, tf) of docs (id, content) for the given stems (stem), distinct ones; terms (term): the vocabulary.
+
+    The vocabulary is cut down to the words of these stems; other words of the
+    documents end before the shuffle.
+    """
+    wanted = stored(stemmed(terms.filter("term is not null")).join(stems, "stem", "left_semi"), "bm25-words")
+    few = wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    words = docs.select("id", index_words(F.col("content")).alias("ws")).select("id", F.size("ws").alias("len"), F.explode("ws").alias("word"))
+    found = words.select("id", "len", ascii_lower(F.col("word")).alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
+    return found.groupBy("stem", "id", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, id, score, rank) of the n best documents that hold all distinct terms of a query, ties to the smaller id.
+    """(query, id, score, rank) of the n best documents that hold all distinct stems of a query, ties to the smaller id.
 
-    Only postings of query terms are scored; the document side is read once for
-    its statistics and once for its postings.
+    Two passes over the documents: terms and statistics, and the postings of query stems.
     """
-    q = queries.select("query", F.array_distinct(sanitize_query(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
-    terms = q.select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    stats = docs.select(F.size(sanitize_query(F.col("content"))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = postings(docs, terms.select("term").distinct())
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = terms.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    terms, known = stored(query_terms(queries), "bm25-terms"), vocabulary(docs)
+    stats = known.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"), (F.sum("words") / F.sum("docs")).alias("avg_len"))
+    wanted = stored(postings(docs, known.select("term"), terms.select("stem").distinct()), "bm25-postings")
+    df = wanted.groupBy("stem").agg(F.count("*").alias("df"))
+    hits = terms.join(df, "stem").join(wanted, "stem").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("query", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("k"), F.max("n_terms").alias("n_terms")).filter("k = n_terms")

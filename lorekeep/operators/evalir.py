@@ -39,6 +39,16 @@ def relevance_set(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataF
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("first") == 1, F.lit(False)).cast("double")), 6).alias("success_at_1"), F.round(F.avg(F.coalesce("k", F.lit(0)) / F.col("n_rel")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def label_relevance(results: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """The same, relevant being all others of the query's label in (id, label): members of a label are counted, not paired."""
+    size = labels.filter("label is not null").groupBy("label").agg(F.count("*").alias("_m"))
+    n = labels.join(size, "label").filter("_m > 1").select(F.col("id").alias("query"), F.col("label").alias("_own"), (F.col("_m") - 1).alias("n_rel"))
+    found = results.filter((F.col("rank") <= k) & (F.col("query") != F.col("id"))).join(labels.select("id", "label"), "id").join(n.select("query", "_own"), "query").filter("label = _own")
+    hits = found.groupBy("query").agg(F.min("rank").alias("first"), F.count("*").alias("k"))
+    rows = n.drop("_own").join(hits, "query", "left")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("first") == 1, F.lit(False)).cast("double")), 6).alias("success_at_1"), F.round(F.avg(F.coalesce("k", F.lit(0)) / F.col("n_rel")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
 def paired(off: DataFrame, on: DataFrame, k: int = 10) -> DataFrame:
     """One row of (query, gold_rank) pairs: hit@k of both, gains, losses, MRR@10 of both; null ranks are misses."""
     hit = lambda c: F.coalesce(F.col(c) <= k, F.lit(False))

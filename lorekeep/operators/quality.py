@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+from . import tiles
 from .components import connected_components
-from .vector import compare, cosine_topk, similar_pairs, unit
+from .vector import unit
 
 
 def near_dup_pairs(vectors: DataFrame, memories: DataFrame | None = None, threshold: float = 0.97, prefix: int = 300) -> DataFrame:
@@ -18,7 +20,7 @@ def near_dup_pairs(vectors: DataFrame, memories: DataFrame | None = None, thresh
     The prefix is an equi-key, so it goes first: vectors meet only within a prefix.
     """
     if memories is None:
-        return similar_pairs(vectors, threshold)
+        return tiles.similar(tiles.tiled(vectors), threshold, over=True)
     keyed = memories.select("id", F.sha2(F.substring("content", 1, prefix), 256).alias("p")).join(vectors, "id").select("id", "p", unit(F.col("vector")).alias("v"))
     dot = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id")))
@@ -37,7 +39,8 @@ def cluster_resolution(pairs: DataFrame, memories: DataFrame) -> DataFrame:
 def corroboration(vectors: DataFrame, memories: DataFrame, support_min: float = 0.60, dup_max: float = 0.97, cap: int = 5) -> DataFrame:
     """(id, support, score): other sessions among neighbours with support_min <= sim < dup_max; records without a session count as one each."""
     unit_of = memories.select("id", F.when(F.coalesce("session_id", F.lit("")) == "", F.concat(F.lit("id:"), F.col("id"))).otherwise(F.col("session_id")).alias("u"))
-    pairs = compare(vectors.select(F.col("id").alias("query"), "vector"), vectors, lambda q, v, s: (q[None, :] != v[:, None]) & (s >= support_min) & (s < dup_max))
+    half = tiles.similar(tiles.tiled(vectors), support_min, below=dup_max)
+    pairs = half.select(F.explode(F.array(F.struct(F.col("a").alias("query"), F.col("b").alias("id")), F.struct(F.col("b").alias("query"), F.col("a").alias("id")))).alias("p")).select("p.query", "p.id")
     own, other = unit_of.select(F.col("id").alias("query"), F.col("u").alias("own")), unit_of
     n = pairs.join(other, "id").join(own, "query").filter("u <> own").groupBy("query").agg(F.countDistinct("u").alias("support"))
     return vectors.select("id").join(n, F.col("id") == F.col("query"), "left").select("id", F.coalesce("support", F.lit(0)).alias("support"), F.round(F.least(F.coalesce("support", F.lit(0)), F.lit(cap)) / cap, 6).alias("score"))
@@ -47,9 +50,15 @@ def trust_weight(score: Column) -> Column:
     return F.greatest(F.lit(0.85), F.least(F.lit(1.15), 1 + F.lit(0.3) * (score - 0.5)))
 
 
+def nearest(vectors: DataFrame, k: int) -> DataFrame:
+    """(query, id, sim, rank): the k most similar others of every vector."""
+    t = tiles.tiled(vectors)
+    return tiles.topk(t, t, k, drop_self=True)
+
+
 def support(vectors: DataFrame, k: int = 10) -> DataFrame:
     """(id, support): mean similarity of the k nearest others."""
-    near = cosine_topk(vectors.select(F.col("id").alias("query"), "vector"), vectors, k, drop_self=True)
+    near = nearest(vectors, k)
     return near.groupBy(F.col("query").alias("id")).agg(F.round(F.avg(F.round("sim", 9)), 6).alias("support"))
 
 
@@ -81,7 +90,7 @@ def fragility(vectors: DataFrame, sigma: float = 0.05, k: int = 10, trials: int
     """(id, fragility): 1 - mean Jaccard of the k nearest others before and after noise on the vector.
 
     The noise of a record depends on seed and id alone, so results don't depend
-    on the partitioning. Noisy copies are ordinary queries of the blocked kernel.
+    on the partitioning. Noisy copies are a table of their own, whose tiles meet those of the vectors.
     """
 
     def noisy(batches):
@@ -97,11 +106,12 @@ def fragility(vectors: DataFrame, sigma: float = 0.05, k: int = 10, trials: int
                     key.append(int(i) * trials + t)
             flat = np.concatenate(out) if out else np.zeros(0)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, x.shape[1] if len(x) else 1, dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), lists], ["query", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), lists], ["id", "vector"])
 
-    base = cosine_topk(vectors.select(F.col("id").alias("query"), "vector"), vectors, k, drop_self=True).groupBy(F.col("query").alias("id")).agg(F.collect_set(F.col("id")).alias("before"))
-    queries = vectors.select("id", "vector").mapInArrow(noisy, "query long, vector array<double>")
-    after = cosine_topk(queries, vectors, k + 1).filter(F.col("id") != F.floor(F.col("query") / trials))
+    own = tiles.tiled(vectors)
+    base = tiles.topk(own, own, k, drop_self=True).groupBy(F.col("query").alias("id")).agg(F.collect_set(F.col("id")).alias("before"))
+    queries = tiles.tiled(vectors.select("id", "vector").mapInArrow(noisy, "id long, vector array<double>"), at=own.pivots)
+    after = tiles.topk(queries, own, k + 1).filter(F.col("id") != F.floor(F.col("query") / trials))
     after = after.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("r") <= k)
     sets = after.groupBy("query").agg(F.collect_set("id").alias("after")).withColumn("id", F.floor(F.col("query") / trials))
     jac = F.size(F.array_intersect("before", "after")) / F.size(F.array_union("before", "after"))
@@ -111,35 +121,84 @@ def fragility(vectors: DataFrame, sigma: float = 0.05, k: int = 10, trials: int
 def jaccard_neighbors(vectors: DataFrame, other: DataFrame, k: int = 10) -> DataFrame:
     """(id, jaccard) of the k nearest others of each id in two vector tables."""
     def sets(v: DataFrame, name: str) -> DataFrame:
-        return cosine_topk(v.select(F.col("id").alias("query"), "vector"), v, k, drop_self=True).groupBy("query").agg(F.collect_set("id").alias(name))
+        return nearest(v, k).groupBy("query").agg(F.collect_set("id").alias(name))
 
     rows = sets(vectors, "x").join(sets(other, "y"), "query")
     return rows.select(F.col("query").alias("id"), F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
 
 
-def prune_sweep(ranks: DataFrame, scores: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, killed, p_at_1, mrr): gold rows (query, gold, id, sim) after dropping ids whose score reaches a threshold; a killed gold is a miss."""
-    t = ranks.select("query", "gold", "id", "sim", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).join(scores.select("id", F.col("fragility")), "id")
-    alive = t.filter(F.col("fragility") < F.col("threshold"))
-    gold_sim = F.max(F.when(F.col("id") == F.col("gold"), F.col("sim"))).over(Window.partitionBy("threshold", "query"))
-    per = alive.withColumn("g", gold_sim).groupBy("threshold", "query").agg(F.max("g").alias("g"), F.sum(F.when(F.col("sim") > F.col("g"), 1).otherwise(0)).alias("above"))
-    all_q = t.select("threshold", "query").distinct()
-    rr = F.when(F.col("g").isNotNull(), 1 / (F.col("above") + 1)).otherwise(0.0)
-    return all_q.join(per, ["threshold", "query"], "left").groupBy("threshold").agg(
-        F.sum(F.when(F.col("g").isNull(), 1).otherwise(0)).alias("killed"), F.round(F.avg(F.when(rr == 1, 1.0).otherwise(0.0)), 6).alias("p_at_1"), F.round(F.avg(rr), 6).alias("mrr")
-    )
+def prune_sweep(vectors: DataFrame, gold: DataFrame, scores: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, killed, p_at_1, mrr): ranks of golds (query, gold) after dropping ids whose fragility reaches a threshold; a killed gold is a miss.
+
+    Every vector has a level, the number of thresholds that drop it, and better
+    ones are counted by level once for all thresholds.
+    """
+    cuts = sorted(thresholds)
+    level = sum((F.when(F.col("fragility") >= t, 1).otherwise(0) for t in cuts), F.lit(0))
+    levels = scores.select("id", level.cast("double").alias("level"))
+    targets = gold_targets(vectors, gold).join(levels.select(F.col("id").alias("gold"), F.col("level").alias("gold_level")), "gold")
+    rows = vectors.join(levels, "id").join(targets.select(F.col("query").alias("id"), "target"), "id", "left").withColumn("target", F.coalesce("target", F.lit(float("nan"))))
+    t = tiles.tiled(rows, ("level", "target"))
+    above = tiles.better(t, t, "target", part="level")
+    at = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("threshold"), F.lit(i).alias("i")) for i, c in enumerate(cuts)])).alias("at")
+    per = targets.select("query", "gold_level", at).select("query", "gold_level", "at.threshold", "at.i")
+    met = per.join(above, (per["query"] == above["query"]) & (F.col("part") <= F.col("i")), "left").groupBy(per["query"], "gold_level", "threshold", "i").agg(F.coalesce(F.sum("above"), F.lit(0)).alias("above"))
+    alive = F.col("gold_level") <= F.col("i")
+    rr = F.when(alive, 1 / (F.col("above") + 1)).otherwise(0.0)
+    return met.groupBy("threshold").agg(F.sum(F.when(alive, 0).otherwise(1)).alias("killed"), F.round(F.avg(F.when(rr == 1, 1.0).otherwise(0.0)), 6).alias("p_at_1"), F.round(F.avg(rr), 6).alias("mrr"))
+
+
+def gold_targets(vectors: DataFrame, gold: DataFrame, places: int | None = None) -> DataFrame:
+    """(query, gold, target): the similarity of each gold, by joins on both ids; golds without a vector have no row."""
+    q = vectors.select(F.col("id").alias("query"), F.col("vector").alias("x"))
+    g = vectors.select(F.col("id").alias("gold"), F.col("vector").alias("y"))
+    sim = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, z: t + z)
+    return gold.select("query", "gold").join(q, "query").join(g, "gold").filter(F.size("x") == F.size("y")).select("query", "gold", (F.round(sim, places) if places else sim).alias("target"))
+
+
+def gold_ranks(vectors: DataFrame, gold: DataFrame, places: int | None = None, weights: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """(query, gold_rank, n_tied) of golds (query, gold) among all vectors but the query's own.
+
+    A gold's similarity is known first, so the others are only counted: what
+    moves are tiles and a count for each query, not a row for each pair.  weights
+    (id, weight) multiply similarities (rounded to `places` after that); scopes
+    (id, scope) leave vectors of the query's scope only, and golds of another
+    scope have no rank.
+    """
+    targets, rows, extra = gold_targets(vectors, gold), vectors, ["target"]
+    if weights is not None:
+        targets = targets.join(weights.select(F.col("id").alias("gold"), "weight"), "gold").withColumn("target", F.col("target") * F.col("weight"))
+        rows, extra = rows.join(weights.select("id", "weight"), "id"), [*extra, "weight"]
+    if places:
+        targets = targets.withColumn("target", F.round("target", places))
+    if scopes is not None:
+        numbers = stored(scopes.select("scope").distinct().filter("scope is not null").select("scope", F.monotonically_increasing_id().cast("double").alias("number")), "scopes")
+        of = scopes.join(numbers, "scope").select("id", F.col("number").alias("scope"))
+        targets = targets.join(of.select(F.col("id").alias("query"), F.col("scope").alias("own")), "query").join(of.select(F.col("id").alias("gold"), "scope"), "gold").filter("own = scope").drop("own", "scope")
+        rows, extra = rows.join(of, "id"), [*extra, "scope"]
+    rows = rows.join(targets.select(F.col("query").alias("id"), "target"), "id", "left").withColumn("target", F.coalesce("target", F.lit(float("nan"))))
+    t = tiles.tiled(rows, tuple(extra))
+    found = tiles.better(t, t, "target", weight="weight" if weights is not None else None, scope="scope" if scopes is not None else None, places=places)
+    ranked = targets.select("query").join(found.select("query", "above", "tied"), "query", "left")
+    return ranked.select("query", (F.coalesce("above", F.lit(0)) + 1).alias("gold_rank"), F.greatest(F.lit(0), F.coalesce("tied", F.lit(0)) - 1).alias("n_tied"))
 
 
 def save_guard(incoming: DataFrame, vectors: DataFrame, memories: DataFrame, max_distance: float = 0.03) -> DataFrame:
     """(id, duplicate_of): the single nearest record, if closer than max_distance and of the same project and type."""
-    near = cosine_topk(incoming.select(F.col("id").alias("query"), "vector"), vectors, 1, drop_self=True)
+    stock = tiles.tiled(vectors)
+    near = tiles.topk(tiles.tiled(incoming, at=stock.pivots), stock, 1, drop_self=True)
     a = memories.select(F.col("id").alias("query"), F.col("project").alias("p"), F.col("type").alias("t"))
     rows = near.join(a, "query").join(memories.select("id", "project", "type"), "id")
     return rows.filter((1 - F.col("sim") < max_distance) & (F.col("p") == F.col("project")) & (F.col("t") == F.col("type"))).select(F.col("query").alias("id"), F.col("id").alias("duplicate_of"))
 
 
 def index_validation(exact: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
-    """One row: recall@k, top-1 agreement of found against exact (query, id, rank)."""
+    """One row: queries, recall@k and top-1 agreement of found against exact (query, id, rank), and the shares of both whose first row is the query itself."""
     e, f = exact.filter(F.col("rank") <= k), found.filter(F.col("rank") <= k)
     hit = e.select("query", "id", F.col("rank").alias("re")).join(f.select("query", "id", F.col("rank").alias("rf")), ["query", "id"], "left")
-    return hit.agg(F.round(F.avg(F.col("rf").isNotNull().cast("double")), 6).alias("recall"), F.round(F.sum(((F.col("re") == 1) & F.coalesce(F.col("rf") == 1, F.lit(False))).cast("double")) / F.sum((F.col("re") == 1).cast("double")), 6).alias("top1"))
+    first, own = F.col("re") == 1, F.col("query") == F.col("id")
+    one = F.sum(first.cast("double"))
+    return hit.agg(
+        F.sum(first.cast("long")).alias("n"), F.round(F.avg(F.col("rf").isNotNull().cast("double")), 6).alias("recall"), F.round(F.sum((first & F.coalesce(F.col("rf") == 1, F.lit(False))).cast("double")) / one, 6).alias("top1"),
+        F.round(F.sum((own & F.coalesce(F.col("rf") == 1, F.lit(False))).cast("double")) / one, 6).alias("self_found"), F.round(F.sum((own & first).cast("double")) / one, 6).alias("self_exact"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TYPE_BOOST, classify_intent, recency_weight, salience_weight
+from ..sources.shared import stored
 from .bm25 import bm25_topk
 from .vector import cosine_topk
 
@@ -20,10 +21,10 @@ def rank_norm(rank: Column, n: Column) -> Column:
     return F.when(n <= 1, 1.0).otherwise(1 - (rank - 1) / (n - 1))
 
 
-def candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, n_cos: int, n_bm25: int) -> DataFrame:
+def candidates(queries: DataFrame, texts: DataFrame, vectors: DataFrame, n_cos: int, n_bm25: int) -> DataFrame:
     """(query, id, cos, cos_rank, bm25, bm25_rank) of both arms, absent scores 0; ranks before any filter."""
     cos = cosine_topk(queries.filter("vector is not null"), vectors, n_cos).select("query", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "sim")).alias("cos"), F.col("rank").alias("cos_rank"))
-    bm = bm25_topk(queries, memories.select("id", "content"), n_bm25).select("query", "id", F.col("rank").alias("bm25_rank"))
+    bm = bm25_topk(queries, texts.select("id", "content"), n_bm25).select("query", "id", F.col("rank").alias("bm25_rank"))
     n = F.count("*").over(Window.partitionBy("query"))
     bm = bm.withColumn("bm25", rank_norm(F.col("bm25_rank"), n))
     return cos.join(bm, ["query", "id"], "full_outer").fillna(0.0, ["cos", "bm25"])
@@ -31,7 +32,7 @@ def candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, n_co
 
 def hybrid_search(
     queries: DataFrame, memories: DataFrame, vectors: DataFrame, n: int, now: Column, alpha: float = ALPHA, type_: str | None = None, project: str | None = None,
-    exclude_superseded: bool = True, edges: DataFrame | None = None,
+    exclude_superseded: bool = True, edges: DataFrame | None = None, texts: DataFrame | None = None,
 ) -> DataFrame:
     """(query, id, distance, score, rank): cosine and BM25 candidates fused, weighted by recency and salience.
 
@@ -39,9 +40,10 @@ def hybrid_search(
     filter, else 30 n; 5 n by BM25). Without a type filter at most 40 % of n,
     one at least, may have the same type, so fewer than n rows are possible.
     With edges, graph neighbours of the best rows are added before the cut.
+    texts (id, content): where BM25 reads texts, if not from memories.
     """
     alpha = min(1.0, max(0.0, alpha))
-    cand = candidates(queries, memories, vectors, n * (10 if type_ else 30), n * 5)
+    cand = candidates(queries, texts if texts is not None else memories, vectors, n * (10 if type_ else 30), n * 5)
     m = memories.select("id", "type", "project", "ts", "salience", "superseded_by")
     rows = cand.join(m, "id")
     if type_:
@@ -56,6 +58,7 @@ def hybrid_search(
     scored = rows.select("query", "id", "type", distance.alias("distance"), F.round(score, 9).alias("score"), F.coalesce("cos_rank", F.lit(1 << 30)).alias("o1"), F.coalesce("bm25_rank", F.lit(1 << 30)).alias("o2"))
     order = [F.desc("score"), F.col("o1"), F.col("o2"), F.col("id")]
     if edges is not None:
+        scored = stored(scored, "scored")  # queries times candidates, read three times
         scored = graph_expand(scored.select("query", "id", "type", "distance", "score", "o1", "o2"), edges, memories, n, type_, project)
     if not type_:
         scored = diversity_cap(scored, n, order)

@@ -1,4 +1,7 @@
-"""Exact similarity of unit vectors in blocks: queries are broadcast a bounded pass at a time, vectors stream past."""
+"""Exact similarity of a set of queries with all vectors: queries are broadcast a bounded pass at a time, vectors stream past.
+
+Tables that meet themselves or another corpus are compared in operators/tiles.py.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
+
 #: Queries broadcast at once, and vectors and queries multiplied at once.
 PASS, VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048, 512
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -99,20 +104,10 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, drop_self: bool
     return compare(queries, vectors, select).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, above: float, at_most: float | None = None) -> DataFrame:
-    """(a, b, sim) with a < b and above < sim (<= at_most)."""
-
-    def select(qid, vid, sims):
-        ok = (qid[None, :] < vid[:, None]) & (sims > above)
-        return ok & (sims <= at_most) if at_most is not None else ok
-
-    pairs = compare(vectors.select(F.col("id").alias("query"), "vector"), vectors, select)
-    return pairs.select(F.col("query").alias("a"), F.col("id").alias("b"), "sim")
-
-
 def mean_centered(vectors: DataFrame) -> DataFrame:
     """Vectors less the corpus mean, scaled to length 1 again."""
     mean = vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     row = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))  # one value a dimension
+    row = stored(row, "mean")
     shifted = vectors.crossJoin(F.broadcast(row)).select("id", F.zip_with("vector", "mean", lambda x, m: x.cast("double") - m).alias("vector"))
     return shifted.select("id", unit(F.col("vector")).alias("vector"))

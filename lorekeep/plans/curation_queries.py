@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, titles
-from ..operators import evalir, graph, records
+from ..operators import evalir, graph, quality, records, tiles
 from ..operators.bm25 import bm25_topk
 from ..operators.vector import cosine_distance, cosine_topk, fit_dim, unit
 from ..sources.tables import FEEDBACK_SQL, MEMORIES_SQL, edges, feedback, memories, table, vectors
 from ..streaming import flows
 from .registry import query
-from .retrieval_queries import DOT, KNN, TOKENS, Q, V, _queries, _self
+from .retrieval_queries import DOT, KNN, Q, V, _queries, _texts, index_sql
 
 M = f"WITH {MEMORIES_SQL}"
 
@@ -45,7 +45,7 @@ def save_batch(spark, d):
 
 @query(f"{M}, {KNN}, n AS (SELECT query AS id, string_agg(id, ',' ORDER BY rank) AS near FROM knn WHERE rank <= 5 GROUP BY query) SELECT m.id, type, near, row_number() OVER (PARTITION BY type ORDER BY salience DESC, m.id) <= 10 AS in_index FROM memories m LEFT JOIN n ON n.id = m.id")
 def knowledge_notes(spark, d):
-    near = cosine_topk(_self(spark, d), vectors(spark, d), 5, drop_self=True).groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("ns"))
+    near = quality.nearest(vectors(spark, d), 5).groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("ns"))
     near = near.select("id", F.array_join(F.transform("ns", lambda s: s["id"].cast("string")), ",").alias("near"))
     w = Window.partitionBy("type").orderBy(F.desc("salience"), "id")
     return memories(spark, d).join(near, "id", "left").select("id", "type", "near", (F.row_number().over(w) <= 10).alias("in_index"))
@@ -53,7 +53,7 @@ def knowledge_notes(spark, d):
 
 @query(f"{M}, {KNN}, c AS (SELECT k.query, k.id, rank, lower(substr(m.content, 1, 20)) AS slug FROM knn k JOIN memories m ON m.id = k.id WHERE rank <= 24), f AS (SELECT *, row_number() OVER (PARTITION BY query, slug ORDER BY rank) AS w FROM c) SELECT query, id, pos FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank) AS pos FROM f WHERE w = 1) WHERE pos <= 3")
 def vault_links(spark, d):
-    c = cosine_topk(_self(spark, d), vectors(spark, d), 24, drop_self=True).join(memories(spark, d).select("id", F.lower(F.substring("content", 1, 20)).alias("slug")), "id")
+    c = quality.nearest(vectors(spark, d), 24).join(memories(spark, d).select("id", F.lower(F.substring("content", 1, 20)).alias("slug")), "id")
     first = c.withColumn("w", F.row_number().over(Window.partitionBy("query", "slug").orderBy("rank"))).filter("w = 1")
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter("pos <= 3").select("query", "id", "pos")
 
@@ -64,8 +64,7 @@ def hook_hits(spark, d):
     return hits.join(memories(spark, d), "id").select("query", "id", text.snippet(F.col("content"), 150).alias("snippet"))
 
 
-@query(f"""{M}, qs AS (SELECT item_id AS query, text FROM benchmark), tok AS (SELECT id, {TOKENS.format(c='content')} AS ws FROM memories WHERE type = 'fact' AND superseded_by IS NULL), st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_len FROM tok),
-post AS (SELECT term, id, any_value(n) AS n, count(*) AS tf FROM (SELECT id, len(ws) AS n, unnest(ws) AS term FROM tok) GROUP BY term, id), qt AS (SELECT query, unnest(list_distinct({TOKENS.format(c='text')})) AS term FROM qs), qn AS (SELECT query, count(*) AS k FROM qt GROUP BY query), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)
+@query(f"""{M}, qs AS (SELECT item_id AS query, text FROM benchmark), {index_sql("(SELECT id, content FROM memories WHERE type = 'fact' AND superseded_by IS NULL)", "qs")}
 SELECT query, id FROM (SELECT query, id, k, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM (SELECT query, id, count(*) AS c, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avg_len))), 9) AS s FROM qt JOIN dfs USING (term) JOIN post USING (term), st GROUP BY query, id) JOIN qn USING (query) WHERE c = k) WHERE rank <= 10""")
 def fact_bm25(spark, d):
     facts = memories(spark, d).filter("type = 'fact' and superseded_by is null").select("id", "content")
@@ -114,9 +113,10 @@ def dimension_rules(spark, d):
     return v.select("id", cosine_distance(c, F.slice(c, 1, 32)).alias("mismatched"), F.size(fit_dim(F.transform(c, lambda x: x.cast("double")), 32)).alias("cut"), F.size(fit_dim(F.transform(c, lambda x: x.cast("double")), 80)).alias("filled"))
 
 
-@query(f"{M}, {V} SELECT type, count(*) AS n, 1.0::DOUBLE AS top1, 'ok' AS verdict FROM v JOIN memories m USING (id) GROUP BY type")
+@query(f"{M}, {V}, s AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {DOT.format(a='a.vec', b='b.vec')} DESC, b.id) AS rank FROM v a, v b), g AS (SELECT type, count(*) AS n, round(avg((s.id = query)::INT), 6) AS top1 FROM s JOIN memories m ON m.id = query WHERE rank = 1 GROUP BY type) SELECT *, CASE WHEN top1 < 0.25 THEN 'error' WHEN top1 < 0.45 THEN 'warn' ELSE 'ok' END AS verdict FROM g")
 def quick_gate(spark, d):
-    top = cosine_topk(_self(spark, d), vectors(spark, d), 1).join(memories(spark, d).select(F.col("id").alias("query"), "type"), "query")
+    t = tiles.tiled(vectors(spark, d))
+    top = tiles.topk(t, t, 1).join(memories(spark, d).select(F.col("id").alias("query"), "type"), "query")
     share = F.round(F.avg((F.col("query") == F.col("id")).cast("double")), 6)
     g = top.groupBy("type").agg(F.count("*").alias("n"), share.alias("top1"))
     return g.withColumn("verdict", F.when(F.col("top1") < 0.25, "error").when(F.col("top1") < 0.45, "warn").otherwise("ok"))
@@ -144,7 +144,7 @@ def retitle_markdown(spark, d):
 
 @query(f"WITH {Q}, gold AS (SELECT query, id AS gold FROM bm WHERE rank <= 3), h AS (SELECT g.query, count(*) AS n, count(c.id) FILTER (WHERE c.rank <= 200) AS hit, min(c.rank) FILTER (WHERE c.rank <= 200) AS first FROM gold g LEFT JOIN cosine c ON c.query = g.query AND c.id = g.gold GROUP BY g.query) SELECT count(*) AS n, round(avg(coalesce(first = 1, false)::INT), 6) AS success_at_1, round(avg(hit / n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM h")
 def gold_recall(spark, d):
-    gold = bm25_topk(_queries(spark, d), memories(spark, d).select("id", "content"), 3).select("query", "id")
+    gold = bm25_topk(_queries(spark, d), _texts(spark, d), 3).select("query", "id")
     hits = cosine_topk(_queries(spark, d).filter("vector is not null"), vectors(spark, d), 200)
     return evalir.relevance_set(hits, gold, k=200)
 

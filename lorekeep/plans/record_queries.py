@@ -246,7 +246,7 @@ def bad_data_predicates(spark, d):
     return table(spark, d, "conversations").withColumn("c", c).filter(F.col("c").ilike("Ran command:%") | F.col("c").ilike("Edited %")).select("conv_id", "turn")
 
 
-@query(r"SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda t: octet_length(encode(t)) >= 2), ' ') AS tokens FROM benchmark")
+@query(r"SELECT item_id, array_to_string(list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}''-]+', ' ', 'g'), ' '), lambda t: octet_length(encode(t)) >= 2), ' ') AS tokens FROM benchmark")
 def query_sanitize(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.sanitize_query(F.col("text")), " ").alias("tokens"))
 

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evalir, facts, quality, search
+from ..functions.stem import porter_sql
+from ..operators import evalir, facts, quality, search, tiles
 from ..operators.bm25 import bm25_topk
 from ..operators.components import connected_components
+from ..operators.index import VectorIndex
 from ..operators.vector import cosine_topk, mean_centered
 from ..sources.tables import MEMORIES_SQL, edges, memories, table, vectors
 from ..streaming import flows
@@ -20,17 +22,28 @@ NOW = "2024-03-01 00:00:00"
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings WHERE embedding IS NOT NULL)"
-TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda t: octet_length(encode(t)) >= 2)"
+#: Words of the index, in lower case (ASCII only), and of a query: its tokens cut the same way.
+WORDS = r"list_filter(string_split_regex(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+TOKENS = r"list_filter(string_split(regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{N}}''-]+', ' ', 'g'), ' '), lambda t: octet_length(encode(t)) >= 2)"
 PAIRS = f"{V}, sims AS (SELECT a.id AS query, b.id, {DOT.format(a='a.vec', b='b.vec')} AS sim FROM v a JOIN v b ON a.id <> b.id)"
 KNN = f"{PAIRS}, knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM sims)"
 SUPPORT_SQL = f"{KNN}, sup AS (SELECT query AS id, round(avg(round(sim, 9)), 6) AS support FROM knn WHERE rank <= 10 GROUP BY query)"
+
+
+def index_sql(docs: str, queries: str) -> str:
+    """CTEs of the postings of stems (post), of query stems (qt) and their numbers (qn, dfs), and of statistics (st)."""
+    return f"""tok AS (SELECT id, {WORDS.format(c="coalesce(content, '')")} AS ws FROM {docs}), st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_len FROM tok),
+wd AS (SELECT id, len(ws) AS n, unnest(ws) AS term FROM tok), qwd AS (SELECT DISTINCT query, unnest({WORDS.format(c=f"array_to_string({TOKENS.format(c='text')}, ' ')")}) AS term FROM {queries}),
+every AS (SELECT term FROM wd UNION SELECT term FROM qwd), {porter_sql("every", "stems")},
+post AS (SELECT stem AS term, id, any_value(n) AS n, count(*) AS tf FROM wd JOIN stems USING (term) GROUP BY stem, id),
+qt AS (SELECT DISTINCT query, stem AS term FROM qwd JOIN stems USING (term)), qn AS (SELECT query, count(*) AS k FROM qt GROUP BY query),
+dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term)"""
+
+
 #: Queries: benchmark passages with the vector of the same number.
 Q = f"""{V}, q AS (SELECT item_id AS query, text, vec FROM benchmark LEFT JOIN v ON id = item_id),
 cosine AS (SELECT * FROM (SELECT query, v.id, {DOT.format(a='q.vec', b='v.vec')} AS sim, row_number() OVER (PARTITION BY query ORDER BY {DOT.format(a='q.vec', b='v.vec')} DESC, v.id) AS rank FROM q JOIN v ON q.vec IS NOT NULL)),
-tok AS (SELECT doc_id AS id, {TOKENS.format(c='text')} AS ws FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_len FROM tok),
-post AS (SELECT term, id, any_value(n) AS n, count(*) AS tf FROM (SELECT id, len(ws) AS n, unnest(ws) AS term FROM tok) GROUP BY term, id),
-qt AS (SELECT query, unnest(list_distinct({TOKENS.format(c='text')})) AS term FROM q), qn AS (SELECT query, count(*) AS k FROM qt GROUP BY query),
-dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
+{index_sql("(SELECT doc_id AS id, text AS content FROM documents)", "q")},
 bm AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (
   SELECT query, id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avg_len))), 9) AS score, count(*) AS c
   FROM qt JOIN dfs USING (term) JOIN post USING (term), st GROUP BY query, id) JOIN qn USING (query) WHERE c = k)"""
@@ -48,6 +61,11 @@ def _queries(spark, d):
     return b.join(vectors(spark, d).withColumnRenamed("id", "query"), "query", "left")
 
 
+def _texts(spark, d):
+    """Texts alone, without the joins of the record view."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def _now():
     return F.lit(NOW).cast("timestamp")
 
@@ -57,7 +75,7 @@ def _cos(spark, d, k):
 
 
 def _bm(spark, d, n):
-    return bm25_topk(_queries(spark, d), memories(spark, d).select("id", "content"), n)
+    return bm25_topk(_queries(spark, d), _texts(spark, d), n)
 
 
 def _self(spark, d):
@@ -89,16 +107,16 @@ def recency_salience_weights(spark, d):
 
 @query(f"WITH {HYBRID} {CUT.format(t='scored')}")
 def hybrid_search(spark, d):
-    return search.hybrid_search(_queries(spark, d), memories(spark, d), vectors(spark, d), 10, _now())
+    return search.hybrid_search(_queries(spark, d), memories(spark, d), vectors(spark, d), 10, _now(), texts=_texts(spark, d))
 
 
 @query(f"""WITH {HYBRID}, edges AS (SELECT DISTINCT l_orderkey AS memory, l_partkey AS entity FROM lineitem), seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, o1, o2, id) AS r FROM scored) WHERE r <= 5),
 near AS (SELECT query, y.memory AS id, round(max(score) * 0.85::DOUBLE, 9) AS score FROM seeds JOIN edges x ON x.memory = seeds.id JOIN edges y ON y.entity = x.entity GROUP BY 1, 2),
 new AS (SELECT * FROM (SELECT n.query, n.id, m.type, n.score, row_number() OVER (PARTITION BY n.query ORDER BY n.score DESC, n.id) AS r FROM near n JOIN memories m ON m.id = n.id LEFT JOIN scored s ON s.query = n.query AND s.id = n.id WHERE s.id IS NULL AND m.superseded_by IS NULL) WHERE r <= 10),
-every AS (SELECT query, id, type, distance, score, o1, o2 FROM scored UNION ALL SELECT query, id, type, 1.0, score, 1073741825, 1073741825 FROM new)
-{CUT.format(t='every')}""")
+whole AS (SELECT query, id, type, distance, score, o1, o2 FROM scored UNION ALL SELECT query, id, type, 1.0, score, 1073741825, 1073741825 FROM new)
+{CUT.format(t='whole')}""")
 def graph_expand(spark, d):
-    return search.hybrid_search(_queries(spark, d), memories(spark, d), vectors(spark, d), 10, _now(), edges=edges(spark, d))
+    return search.hybrid_search(_queries(spark, d), memories(spark, d), vectors(spark, d), 10, _now(), edges=edges(spark, d), texts=_texts(spark, d))
 
 
 @query(f"WITH {Q}, c AS (SELECT * FROM cosine WHERE rank <= 200), b AS (SELECT * FROM bm WHERE rank <= 200) SELECT coalesce(c.query, b.query) AS query, coalesce(c.id, b.id) AS id, round(1 / (60 + coalesce(c.rank, n_docs + 1))::DOUBLE + 1 / (60 + coalesce(b.rank, n_docs + 1))::DOUBLE, 9) AS rrf FROM c FULL JOIN b ON b.query = c.query AND b.id = c.id, st")
@@ -193,23 +211,16 @@ def support_histogram(spark, d):
 r AS (SELECT s.query, sum((s.before > x.before)::INT) + 1 AS rb, sum((s.after > x.after)::INT) + 1 AS ra FROM s JOIN g ON g.query = s.query JOIN s x ON x.query = s.query AND x.id = g.gold GROUP BY s.query)
 SELECT count(*) AS n, round(avg((rb <= 10)::INT), 6) AS before_at_10, round(avg((ra <= 10)::INT), 6) AS after_at_10, round(avg(1 / rb), 6) AS mrr_before, round(avg(1 / ra), 6) AS mrr_after FROM r""")
 def trust_reweight_lift(spark, d):
-    sims, gold = _all_sims(spark, d), _gold(spark, d)
-    weighted = sims.join(_corroboration(spark, d).select("id", "score"), "id").select("query", "id", F.round(F.col("s") * quality.trust_weight(F.col("score")), 9).alias("s"))
-    before = evalir.gold_ranks(sims.withColumn("s", F.round("s", 9)), gold).select("query", F.col("gold_rank").alias("rb"))
-    rows = before.join(evalir.gold_ranks(weighted, gold).select("query", F.col("gold_rank").alias("ra")), "query")
+    v, gold = vectors(spark, d), _gold(spark, d)
+    weights = _corroboration(spark, d).select("id", quality.trust_weight(F.col("score")).alias("weight"))
+    before = quality.gold_ranks(v, gold, places=9).select("query", F.col("gold_rank").alias("rb"))
+    rows = before.join(quality.gold_ranks(v, gold, places=9, weights=weights).select("query", F.col("gold_rank").alias("ra")), "query")
     return rows.agg(
         F.count("*").alias("n"), F.round(F.avg((F.col("rb") <= 10).cast("int")), 6).alias("before_at_10"), F.round(F.avg((F.col("ra") <= 10).cast("int")), 6).alias("after_at_10"),
         F.round(F.avg(1 / F.col("rb")), 6).alias("mrr_before"), F.round(F.avg(1 / F.col("ra")), 6).alias("mrr_after"),
     )
 
 
-def _all_sims(spark, d):
-    """Similarities of every vector to all others; the evaluation ranks whole lists."""
-    from ..operators.vector import compare
-
-    return compare(_self(spark, d), vectors(spark, d), lambda q, v, s: q[None, :] != v[:, None]).withColumnRenamed("sim", "s")
-
-
 def _gold(spark, d):
     """Each vector's gold is its neighbour in number."""
     q = F.col("query")
@@ -222,15 +233,14 @@ METRICS = "count(*) AS n, round(avg((gold_rank <= 1)::INT), 6) AS p_at_1, round(
 
 @query(f"WITH {RANKS.format(scope='')} SELECT type, {METRICS} FROM r JOIN memories m ON m.id = r.query GROUP BY type")
 def p_at_k_mrr(spark, d):
-    ranks = evalir.gold_ranks(_all_sims(spark, d), _gold(spark, d))
+    ranks = quality.gold_ranks(vectors(spark, d), _gold(spark, d))
     return evalir.metrics(ranks.join(memories(spark, d).select(F.col("id").alias("query"), "type"), "query"), ["type"])
 
 
 @query(f"WITH {RANKS.format(scope='JOIN memories ma ON ma.id = s.query JOIN memories mb ON mb.id = s.id AND mb.project = ma.project JOIN memories mg ON mg.id = g.gold AND mg.project = ma.project')} SELECT {METRICS} FROM r")
 def scoped_p_at_k(spark, d):
-    m = memories(spark, d).select("id", "project")
-    sims = _all_sims(spark, d).join(m, "id").join(m.select(F.col("id").alias("query"), F.col("project").alias("own")), "query").filter("project = own")
-    return evalir.metrics(evalir.gold_ranks(sims.select("query", "id", "s"), _gold(spark, d)))
+    scopes = memories(spark, d).select("id", F.col("project").alias("scope"))
+    return evalir.metrics(quality.gold_ranks(vectors(spark, d), _gold(spark, d), scopes=scopes))
 
 
 @query(f"""WITH {Q}, c AS (SELECT * FROM cosine WHERE rank <= 200), b AS (SELECT * FROM bm WHERE rank <= 200), f AS (SELECT a.a, coalesce(c.query, b.query) AS query, coalesce(c.id, b.id) AS id, round(a.a * coalesce((c.sim + 1) / 2, 0) + (1 - a.a) * CASE WHEN b.rank IS NULL THEN 0 ELSE 1 - (b.rank - 1)::DOUBLE / greatest(1, n_docs - 1) END, 9) AS s FROM c FULL JOIN b ON b.query = c.query AND b.id = c.id, st, (VALUES (0.0::DOUBLE), (0.3), (0.5), (0.7), (0.9), (1.0)) a(a)),
@@ -249,9 +259,8 @@ def alpha_sweep(spark, d):
 
 @query(f"WITH {KNN}, rel AS (SELECT a.vec_id AS query, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), n AS (SELECT query, count(*) AS n_rel FROM rel GROUP BY query), h AS (SELECT k.query, min(rank) AS first, count(*) AS k FROM knn k JOIN rel ON rel.query = k.query AND rel.id = k.id WHERE rank <= 10 GROUP BY k.query) SELECT count(*) AS n, round(avg(coalesce(first = 1, false)::INT), 6) AS success_at_1, round(avg(coalesce(k, 0) / n_rel), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM n LEFT JOIN h USING (query)")
 def relevance_set(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), "label")
-    rel = e.join(e.withColumnRenamed("query", "id"), "label").filter("query <> id").select("query", "id")
-    return evalir.relevance_set(cosine_topk(_self(spark, d), vectors(spark, d), 10, drop_self=True), rel)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return evalir.label_relevance(quality.nearest(vectors(spark, d), 10), labels)
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -271,12 +280,8 @@ AB = f"{CENTER}, gd AS (SELECT id AS query, CASE WHEN id % 2 = 0 THEN id + 1 ELS
 
 
 def _paired(spark, d):
-    from ..operators.vector import compare
-
-    c = mean_centered(vectors(spark, d))
-    on = compare(c.select(F.col("id").alias("query"), "vector"), c, lambda q, v, s: q[None, :] != v[:, None]).select("query", "id", F.round("sim", 9).alias("s"))
-    gold = _gold(spark, d)
-    return evalir.paired(evalir.gold_ranks(_all_sims(spark, d).withColumn("s", F.round("s", 9)), gold), evalir.gold_ranks(on, gold))
+    v, gold = vectors(spark, d), _gold(spark, d)
+    return evalir.paired(quality.gold_ranks(v, gold, places=9), quality.gold_ranks(mean_centered(v), gold, places=9))
 
 
 @query(f"WITH {AB} SELECT * FROM ab")
@@ -317,8 +322,8 @@ def jaccard_neighbors(spark, d):
 
 @query(f"WITH {SUPPORT_SQL}, th AS (SELECT unnest([0.22, 0.24, 0.26, 0.28]::DOUBLE[]) AS threshold), g AS (SELECT id AS query, CASE WHEN id % 2 = 0 THEN id + 1 ELSE id - 1 END AS gold FROM v), a AS (SELECT threshold, s.query, s.id, gold, sim FROM sims s JOIN g USING (query) JOIN sup ON sup.id = s.id, th WHERE support < threshold), r AS (SELECT a.threshold, a.query, sum((a.sim > x.sim)::INT) + 1 AS rank FROM a JOIN a x ON x.threshold = a.threshold AND x.query = a.query AND x.id = a.gold GROUP BY 1, 2), allq AS (SELECT DISTINCT threshold, query FROM sims, th) SELECT threshold, count(*) FILTER (WHERE rank IS NULL) AS killed, round(avg(coalesce(rank = 1, false)::INT), 6) AS p_at_1, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM allq LEFT JOIN r USING (threshold, query) GROUP BY threshold")
 def prune_simulation(spark, d):
-    ranks = _all_sims(spark, d).withColumnRenamed("s", "sim").join(_gold(spark, d), "query")
-    return quality.prune_sweep(ranks, quality.support(vectors(spark, d)).withColumnRenamed("support", "fragility"), [0.22, 0.24, 0.26, 0.28])
+    fragile = quality.support(vectors(spark, d)).withColumnRenamed("support", "fragility")
+    return quality.prune_sweep(vectors(spark, d), _gold(spark, d), fragile, [0.22, 0.24, 0.26, 0.28])
 
 
 @query(f"WITH {KNN}, {MEMORIES_SQL} SELECT k.query AS id, k.id AS duplicate_of FROM knn k JOIN memories a ON a.id = k.query JOIN memories b ON b.id = k.id WHERE rank = 1 AND 1 - sim < 0.7 AND a.project = b.project AND a.type = b.type")
@@ -328,10 +333,28 @@ def save_guard_candidates(spark, d):
 
 
 @query(f"WITH {KNN}, {CENTER[len(V) + 2:]}, ck AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {DOT.format(a='a.vec', b='b.vec')} DESC, b.id) AS rank FROM cv a JOIN cv b ON a.id <> b.id) SELECT round(avg((c.id IS NOT NULL)::INT), 6) AS recall, round(sum((k.rank = 1 AND coalesce(c.rank = 1, false))::INT) / sum((k.rank = 1)::INT), 6) AS top1 FROM knn k LEFT JOIN ck c ON c.query = k.query AND c.id = k.id AND c.rank <= 10 WHERE k.rank <= 10")
+def centered_recall(spark, d):
+    v = vectors(spark, d)
+    return quality.index_validation(quality.nearest(v, 10), quality.nearest(mean_centered(v), 10)).select("recall", "top1")
+
+
+def _index(spark, d):
+    made = VectorIndex.create(spark, 64)
+    made.insert(vectors(spark, d))
+    return made
+
+
+@query(f"WITH {Q} SELECT query, id, round(sim, 6) AS sim, rank FROM cosine WHERE rank <= 10")
+def index_search(spark, d):
+    found = _index(spark, d).search(_queries(spark, d).filter("vector is not null"), vectors(spark, d), 10)
+    return found.select("query", "id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"WITH {V}, s AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {DOT.format(a='a.vec', b='b.vec')} DESC, b.id) AS rank FROM v a, v b) SELECT count(*) AS n, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS top1, round(avg((query = id)::INT), 6) AS self_found, round(avg((query = id)::INT), 6) AS self_exact FROM s WHERE rank = 1")
 def index_validation(spark, d):
     v = vectors(spark, d)
-    c = mean_centered(v)
-    return quality.index_validation(cosine_topk(_self(spark, d), v, 10, drop_self=True), cosine_topk(c.select(F.col("id").alias("query"), "vector"), c, 10, drop_self=True))
+    own = tiles.tiled(v)
+    return quality.index_validation(tiles.topk(own, own, 10), _index(spark, d).search(_self(spark, d), v, 10))
 
 
 @query()

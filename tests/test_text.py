@@ -54,7 +54,9 @@ def test_types_intents_and_triviality(spark):
 
 
 def test_query_tokens(spark):
-    assert one(spark, text.sanitize_query(F.col("s")), s="Re-ranking OR don't é x 42!") == ["re", "ranking", "or", "don", "é", "42"]
+    assert one(spark, text.sanitize_query(F.col("s")), s="Re-ranking OR don't é x 42!") == ["Re-ranking", "OR", "don't", "é", "42"]
+    assert one(spark, text.index_words(F.col("s")), s="Re-ranking don't É—x a_b 42!") == ["Re", "ranking", "don", "t", "É—x", "a", "b", "42"]
+    assert one(spark, text.index_words(F.col("s")), s=None) == [] and one(spark, text.ascii_lower(F.col("s")), s="ÉA") == "Éa"
 
 
 def test_barrier(spark):
