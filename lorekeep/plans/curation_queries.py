@@ -137,9 +137,16 @@ def retitle_conversations(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", titles.conversation_title(c, F.lit("p"), "Tool session:").alias("title"))
 
 
-@query()
+_PLAIN = r"trim(regexp_replace(regexp_replace({c}, '[*_`]+|\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[i], '^\s+|\s+$', '', 'g') AS t FROM documents, range(1, 9) r(i)), b AS (SELECT *, regexp_replace(t, '^(?:[-*]|>)\s+', '') AS bare FROM l WHERE t IS NOT NULL),
+c AS (SELECT doc_id, i, {_PLAIN.format(c="regexp_extract(t, '^#{1,4}[[:space:]]+(.+)', 1)")} AS h, {_PLAIN.format(c="regexp_extract(t, '^>[[:space:]]*[*][*](.+?)[*][*]', 1)")} AS q, {_PLAIN.format(c="regexp_extract(bare, '^[*][*](.+?)[*][*][:[:space:]]+(.+)', 1)")} AS la,
+  {_PLAIN.format(c="string_split(regexp_extract(bare, '^[*][*](.+?)[*][*][:[:space:]]+(.+)', 2), '.')[1]")} AS rest, {_PLAIN.format(c="regexp_extract(bare, '^[*][*](.+?)[*][*]', 1)")} AS bo, CASE WHEN length(bare) >= 15 AND NOT contains('`<[|{{', substr(bare, 1, 1)) THEN {_PLAIN.format(c="regexp_extract(bare, '^([^.!?]*)', 1)")} END AS s, regexp_matches(bare, '^[*][*](.+?)[*][*][:[:space:]]+(.+)') AS labelled FROM b),
+d AS (SELECT doc_id, i, CASE WHEN length(h) >= 6 THEN h WHEN length(q) >= 6 THEN q WHEN length(bold) >= 8 THEN bold WHEN length(s) >= 10 THEN s END AS title FROM (SELECT *, CASE WHEN NOT labelled THEN bo WHEN length(rest) >= 5 THEN la || ': ' || rest ELSE la END AS bold FROM c)),
+f AS (SELECT doc_id, arg_min(title, i) AS title FROM d WHERE title IS NOT NULL GROUP BY doc_id) SELECT doc_id, CASE WHEN length(title) > 80 THEN substr(title, 1, 77) || '...' ELSE title END AS title FROM documents LEFT JOIN f USING (doc_id)""")
 def retitle_markdown(spark, d):
-    return table(spark, d, "documents").select("doc_id", titles.markdown_titles(F.col("text")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", titles.markdown_title(F.col("text")).alias("title"))
 
 
 @query(f"WITH {Q}, gold AS (SELECT query, id AS gold FROM bm WHERE rank <= 3), h AS (SELECT g.query, count(*) AS n, count(c.id) FILTER (WHERE c.rank <= 200) AS hit, min(c.rank) FILTER (WHERE c.rank <= 200) AS first FROM gold g LEFT JOIN cosine c ON c.query = g.query AND c.id = g.gold GROUP BY g.query) SELECT count(*) AS n, round(avg(coalesce(first = 1, false)::INT), 6) AS success_at_1, round(avg(hit / n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM h")

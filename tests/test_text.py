@@ -133,3 +133,17 @@ def test_backfill_leaves_known_vectors(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", None), (3, None, None)], "id long, content string, vector array<double>")
     got = {r["id"]: r["vector"] for r in backfill(df, HashEmbedder(2)).collect()}
     assert got[1] == [1.0, 0.0] and len(got[2]) == 2 and got[3] is None
+
+
+@pytest.mark.parametrize(
+    ("content", "title"),
+    [
+        ("# A fine heading\ntext", "A fine heading"), ("## abc\nShort. no\nA sentence that is long enough. And more", "A sentence that is long enough"), ("> **Quoted bold** more", "Quoted bold"),
+        ("- **Label**: first part. second", "Label: first part"), ("**Only a label**: abc. x", "Only a label"), ("**Bold alone here**", "Bold alone here"), ("`code line that is long`\n[link line that is long](x)", None),
+        ("- see [the _page_](http://x) for more! ok", "see the _page_ for more"), ("", None), (None, None), ("\n\n  # " + "x" * 90, "x" * 77 + "..."), ("\n".join(["-"] * 8 + ["# Too late to count"]), None), ("**ab**: cd\n***\n#### Level four", "Level four"),
+    ],
+)
+def test_markdown_titles(spark, content, title):
+    from lorekeep.functions import titles
+
+    assert one(spark, titles.markdown_title(F.col("s")), s=content) == title
