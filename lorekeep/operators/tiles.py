@@ -71,9 +71,10 @@ def most(n, m, apart, r, s):
 def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by vector length, one for two tiles and PIVOTS at most: each is the one of a bounded sample that is farthest from those before."""
     by: dict[int, list] = {}
-    many = min(PIVOTS, 1 + vectors.count() // (2 * TILE_ROWS))
     sample = vectors.select("id", "vector").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    for r in sample.collect():
+    rows = sample.collect()
+    many = min(PIVOTS, 1 + (vectors.count() if len(rows) == SAMPLE else len(rows)) // (2 * TILE_ROWS))
+    for r in rows:
         by.setdefault(len(r["vector"]), []).append(r["vector"])
     out = {}
     for dim, rows in by.items():

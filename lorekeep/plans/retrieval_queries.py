@@ -12,8 +12,10 @@ from ..operators.bm25 import bm25_topk
 from ..operators.components import connected_components
 from ..operators.index import VectorIndex
 from ..operators.vector import cosine_topk, mean_centered
+from ..sources.shared import fresh_path
 from ..sources.tables import MEMORIES_SQL, edges, memories, table, vectors
 from ..streaming import flows
+from ..streaming.saves import BATCH_ITEMS, RecordStore
 from .registry import query
 
 #: Thresholds that select pairs of the supplied vectors.
@@ -451,3 +453,28 @@ w AS (SELECT e.client, e.ts, e.id, max(s.begins) AS begins FROM e JOIN s ON s.cl
 def rate_limit_window(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id")).alias("client"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("id"))
     return flows.rate_limited(e, limit=2, window_s=86_400)
+
+
+#: Distances under which records of the supplied vectors count as repeated.
+REPEATED = 0.6
+#: Rows of odd ids are saved after those of even ids, each in the order of ids.
+SAVES = f"""RECURSIVE {V}, {MEMORIES_SQL}, i AS (SELECT id, id % 2 AS batch, id // 2 AS pos, project, type, vec FROM memories JOIN v USING (id)),
+p AS (SELECT a.id AS a, b.id AS b, {DOT.format(a='a.vec', b='b.vec')} AS sim, a.project = b.project AND a.type = b.type AS same FROM i a JOIN i b ON b.batch = a.batch AND b.pos < a.pos),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM p WHERE a % 2 = 0), d0 AS (SELECT a, b FROM n0 WHERE k = 1 AND sim > 1 - {REPEATED} AND same),
+q AS (SELECT a.id AS a, b.id AS b, {DOT.format(a='a.vec', b='b.vec')} AS sim, a.project = b.project AND a.type = b.type AS same FROM i a JOIN i b ON a.batch = 1 AND b.batch = 0 AND b.id NOT IN (SELECT a FROM d0)),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, own, b) AS k FROM (SELECT *, 0 AS own FROM q UNION ALL SELECT *, 1 FROM p WHERE a % 2 = 1)),
+d AS (SELECT a, b FROM d0 UNION ALL SELECT a, b FROM n1 WHERE k = 1 AND sim > 1 - {REPEATED} AND same),
+way(id, last) AS (SELECT id, id FROM i UNION ALL SELECT way.id, d.b FROM way JOIN d ON d.a = way.last)"""
+
+
+@query(f"WITH {SAVES} SELECT way.id, last AS record, way.id = last AS saved FROM way WHERE last NOT IN (SELECT a FROM d)")
+def save_with_guards(spark, d):
+    rows = memories(spark, d).join(vectors(spark, d), "id").withColumn("pos", F.floor(F.col("id") / 2))
+    store = RecordStore(spark, fresh_path(spark, "store"), max_distance=REPEATED)
+    out = None
+    for batch in (0, 1):
+        told = store.save(rows.filter(F.col("id") % 2 == batch), batch).select((F.col("pos") * 2 + batch).alias("id"), "saved", "id")
+        told = told.toDF("id", "saved", "record")
+        out = told if out is None else out.union(told)
+    number = F.col("record") % BATCH_ITEMS * 2 + F.floor(F.col("record") / BATCH_ITEMS)
+    return out.select("id", number.alias("record"), "saved")
