@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize_entity, snippet
+from ..sources.shared import stored
 
 
 def link_entities(entities: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,12 +44,32 @@ def neighbors(seeds: DataFrame, edges: DataFrame, active: DataFrame | None = Non
     return out.select("seed", "neighbor")
 
 
-def neighbor_degree(edges: DataFrame) -> DataFrame:
-    """(memory, n_edges, degree): entities of a record, and other records that share one."""
+#: Records of an entity beyond which it is a hub, whose records are not paired.
+HUB = 1_000
+
+
+def neighbor_degree(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(memory, n_edges, degree): entities of a record, and other records that share one.
+
+    Only entities of `hub` records at most pair them.  What a record meets by
+    hubs depends on the set of its hubs alone, so it is counted once for each
+    such set: the records whose own set shares a hub with it.  A partner by a
+    small entity is counted if no hub joins the two.
+    """
+    edges = edges.select("memory", "entity").distinct()
     own = edges.groupBy("memory").agg(F.count("*").alias("n_edges"))
-    pairs = edges.alias("x").join(edges.alias("y"), "entity").filter("x.memory <> y.memory").select(F.col("x.memory").alias("memory"), F.col("y.memory").alias("other"))
-    degree = pairs.groupBy("memory").agg(F.countDistinct("other").alias("degree"))
-    return own.join(degree, "memory", "left").select("memory", "n_edges", F.coalesce("degree", F.lit(0)).alias("degree"))
+    big = edges.groupBy("entity").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("entity")
+    small = edges.join(big, "entity", "left_anti")
+    hubs = stored(edges.join(big, "entity", "left_semi").groupBy("memory").agg(F.array_sort(F.collect_set("entity")).alias("hubs")), "hubs")
+    sets = hubs.groupBy("hubs").agg(F.count("*").alias("n"))
+    each = sets.select("hubs", "n", F.explode("hubs").alias("hub"))
+    met = each.select("hubs", "hub").join(each.select(F.col("hubs").alias("others"), "n", "hub"), "hub").select("hubs", "others", "n").distinct()
+    reach = met.groupBy("hubs").agg((F.sum("n") - 1).alias("by_hubs"))
+    pairs = small.alias("x").join(small.alias("y"), "entity").filter("x.memory <> y.memory").select(F.col("x.memory").alias("memory"), F.col("y.memory").alias("other")).distinct()
+    placed = pairs.join(hubs, "memory", "left").join(hubs.select(F.col("memory").alias("other"), F.col("hubs").alias("theirs")), "other", "left")
+    apart = placed.filter(~F.coalesce(F.arrays_overlap("hubs", "theirs"), F.lit(False))).groupBy("memory").agg(F.count("*").alias("apart"))
+    rows = own.join(hubs.join(reach, "hubs").select("memory", "by_hubs"), "memory", "left").join(apart, "memory", "left")
+    return rows.select("memory", "n_edges", (F.coalesce("by_hubs", F.lit(0)) + F.coalesce("apart", F.lit(0))).alias("degree"))
 
 
 def edgeless(memories: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -17,10 +17,17 @@ from .vector import unit
 def near_dup_pairs(vectors: DataFrame, memories: DataFrame | None = None, threshold: float = 0.97, prefix: int = 300) -> DataFrame:
     """(a, b, sim) above threshold; with memories also equal in the first characters.
 
+    Without memories, equal vectors are a class: pairs between classes are pairs
+    of their smallest ids, and each other member is paired with that of its own.
     The prefix is an equi-key, so it goes first: vectors meet only within a prefix.
     """
     if memories is None:
-        return tiles.similar(tiles.tiled(vectors), threshold, over=True)
+        rows = vectors.filter("id is not null and vector is not null")
+        classes = rows.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        t = tiles.tiled(classes.select(F.col("least").alias("id"), "vector"))
+        own = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        copies = rows.join(classes.filter("n > 1").drop("n"), "vector").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), own.alias("sim"))
+        return tiles.similar(t, threshold, over=True).union(copies.filter(F.col("sim") > threshold))
     keyed = memories.select("id", F.sha2(F.substring("content", 1, prefix), 256).alias("p")).join(vectors, "id").select("id", "p", unit(F.col("vector")).alias("v"))
     dot = F.aggregate(F.zip_with("x.v", "y.v", lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id")))

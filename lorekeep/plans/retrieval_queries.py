@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stem import porter_sql
-from ..operators import evalir, facts, quality, search, tiles
+from ..operators import evalir, facts, gold, quality, search, tiles
 from ..operators.bm25 import bm25_topk
 from ..operators.components import connected_components
 from ..operators.index import VectorIndex
@@ -169,7 +169,7 @@ def mean_center(spark, d):
     return c.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("vector")[0], 6).alias("first"))
 
 
-@query(f"WITH {PAIRS} SELECT query AS a, id AS b, round(sim, 6) AS sim FROM sims WHERE query < id AND sim > {NEAR}")
+@query(f"WITH {V}, c AS (SELECT min(id) AS id, vec FROM v GROUP BY vec), p AS (SELECT a.id AS a, b.id AS b, {DOT.format(a='a.vec', b='b.vec')} AS sim FROM c a JOIN c b ON a.id < b.id UNION ALL SELECT c.id, v.id, {DOT.format(a='v.vec', b='v.vec')} FROM c JOIN v ON v.vec = c.vec AND v.id <> c.id) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim > {NEAR}")
 def near_dup_pairs(spark, d):
     return quality.near_dup_pairs(vectors(spark, d), threshold=NEAR).select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -478,3 +478,20 @@ def save_with_guards(spark, d):
         out = told if out is None else out.union(told)
     number = F.col("record") % BATCH_ITEMS * 2 + F.floor(F.col("record") / BATCH_ITEMS)
     return out.select("id", number.alias("record"), "saved")
+
+
+def _question(texts: list[str]) -> list[str | None]:
+    """A client that stands in for a model: five words of its own before the text's fourth to sixth; none for texts that begin with a vowel."""
+    return [None if t[:1].lower() in "aeiou" else "describe general procedure behind topic " + " ".join(t.split(" ")[3:6]) for t in texts]
+
+
+@query(f"""WITH {MEMORIES_SQL}, e AS (SELECT l_orderkey AS id, count(DISTINCT l_partkey) AS n_edges FROM lineitem GROUP BY 1),
+c AS (SELECT id, type, project, content, n_edges, -ln((('0x' || substr(md5(id || ':42'), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / n_edges AS key FROM memories JOIN e USING (id) WHERE type IN ('solution', 'decision', 'fact') AND superseded_by IS NULL AND length(content) >= 200),
+q AS (SELECT *, 'describe general procedure behind topic ' || array_to_string(string_split(content, ' ')[4:6], ' ') AS question FROM c WHERE NOT contains('aeiou', lower(substr(content, 1, 1)))),
+o AS (SELECT *, {_words("question")} AS w, {_words("content")} AS cw FROM q), s AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(w, cw)) / len(w) ELSE 1 END AS share FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY key, id) AS turn FROM s WHERE share <= 0.45)
+SELECT id, type, project, n_edges, question, round(share, 4) AS vocab_overlap FROM k WHERE turn <= CASE type WHEN 'solution' THEN 40 WHEN 'decision' THEN 10 ELSE 100000 END""")
+def gold_sample(spark, d):
+    quotas = {"solution": 40, "decision": 10, "fact": 100_000}
+    candidates = gold.pool(memories(spark, d), edges(spark, d), list(quotas), weighted=True)
+    return gold.build(candidates, quotas, _question).rows
