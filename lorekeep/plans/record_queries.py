@@ -378,3 +378,11 @@ def mock_embeddings(spark, d):
     from ..functions.embed import HashEmbedder, embedded
 
     return embedded(memories(spark, d).select("id", "content"), HashEmbedder(16)).select("id", "vector")
+
+
+@query("""SELECT event_id, sha256('{"a": "\\u00e9", "props": {"k": ' || json_extract_string(props, '$.k') || '}, "user": ' || user_id || '}') AS key FROM events""")
+def spool_keys(spark, d):
+    from ..streaming.flows import spool_key
+
+    payload = F.concat(F.lit('{"user":'), "user_id", F.lit(',"props" : '), "props", F.lit(', "a":"é"}'))
+    return table(spark, d, "events").select("event_id", spool_key(payload).alias("key"))

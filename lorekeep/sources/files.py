@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip_ws
 
@@ -82,23 +83,41 @@ def key_value_bubbles(rows: DataFrame, least: int = 2) -> DataFrame:
     return g.filter(F.col("n") >= least).select("composer", "n", F.array_join(F.transform("ls", lambda s: s["line"]), "\n\n").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files, each with its number in its file, from 1.
+
+    Spark reads a file in blocks.  Lines of a block come in order, so their
+    running numbers less the block's smallest one count them; the lines of
+    earlier blocks are added.  What is grouped is a row a block, not the lines.
+    """
+    rows = spark.read.text(path, recursiveFileLookup=True)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("path", "block", (F.coalesce(earlier, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(starts, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def read_migration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines) of a JSONL import: numbers may be strings, of repeated ids the last line stays."""
+    """(good rows, bad lines) of a JSONL import: numbers may be strings, of repeated ids the last line (of the last path) stays; bad lines (path, number, line)."""
     schema = "id string, content string, metadata map<string, string>, embedding array<double>, _bad string"
-    rows = spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").withColumn("_n", F.monotonically_increasing_id()).cache()
-    ok = F.col("_bad").isNull() & F.col("id").isNotNull() & F.col("content").isNotNull()
-    last = rows.filter(ok).groupBy("id").agg(F.max_by(F.struct("content", "metadata", "embedding"), "_n").alias("r"))
-    good = last.select("id", "r.content", F.coalesce(F.try_to_number(F.col("r.metadata")["salience"], F.lit("9.999999")).cast("double"), F.lit(0.5)).alias("salience"), F.col("r.metadata")["project"].alias("project"), "r.embedding")
-    return good, rows.filter(~ok).select(F.coalesce("_bad", F.to_json(F.struct("id", "content"))).alias("line"))
+    lines = numbered_lines(spark, path).filter(strip_ws(F.col("value")) != "")
+    rows = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    ok = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.col("r.id").isNotNull() & F.col("r.content").isNotNull()
+    good = rows.filter(ok).groupBy("r.id").agg(F.max_by(F.struct("r.content", "r.metadata", "r.embedding"), F.struct("path", "line")).alias("r"))
+    good = good.select("id", "r.content", F.coalesce(F.try_to_number(F.col("r.metadata")["salience"], F.lit("9.999999")).cast("double"), F.lit(0.5)).alias("salience"), F.col("r.metadata")["project"].alias("project"), "r.embedding")
+    return good, rows.filter(~F.coalesce(ok, F.lit(False))).select("path", F.col("line").alias("number"), F.col("value").alias("line"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """(query, gold, k) of a gold JSONL: one id or a list; a line without a query or ids is an error."""
-    schema = "query string, gold_ids array<string>, gold_memory_id string, k int"
-    rows = spark.read.schema(schema).json(path)
-    gold = F.coalesce("gold_ids", F.when(F.col("gold_memory_id").isNotNull(), F.array("gold_memory_id")))
-    checked = F.when(F.col("query").isNull() | gold.isNull(), F.raise_error(F.lit("gold line without query or ids")).cast("array<string>")).otherwise(gold)
-    return rows.select("query", F.explode(checked).alias("gold"), F.coalesce("k", F.lit(10)).alias("k"))
+    """(query, gold, k) of a gold JSONL: one id or a list; a line that is no JSON, or has no query or ids, is an error that names the file and the line."""
+    schema = "query string, gold_ids array<string>, gold_memory_id string, k int, _bad string"
+    lines = numbered_lines(spark, path).filter(strip_ws(F.col("value")) != "")
+    rows = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    gold = F.coalesce("r.gold_ids", F.when(F.col("r.gold_memory_id").isNotNull(), F.array("r.gold_memory_id")))
+    wrong = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "no JSON").when(F.col("r.query").isNull() | gold.isNull(), "no query or ids")
+    told = F.raise_error(F.concat(F.col("path"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), wrong)).cast("array<string>")
+    return rows.select(F.col("r.query").alias("query"), F.explode(F.when(wrong.isNotNull(), told).otherwise(gold)).alias("gold"), F.coalesce("r.k", F.lit(10)).alias("k"))
 
 
 def export_jsonl(rows: DataFrame, path: str, since: str | None = None) -> None:

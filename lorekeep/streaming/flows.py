@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType
 
 from ..functions.text import ACTION_CONFIDENCE, is_error, is_test_pass, micros, skip_command, skip_file
 
@@ -49,9 +51,22 @@ def spool_pass(spool: DataFrame, sent_keys: DataFrame, now: Column) -> tuple[Dat
     return failed.filter(~dead), failed.filter(dead)
 
 
+@F.pandas_udf(StringType())
+def canonical_json(payload: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, one blank behind separators and ASCII escapes; null for what is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, ensure_ascii=True)
+        except ValueError:
+            return None
+
+    return payload.map(one)
+
+
 def spool_key(payload: Column) -> Column:
-    """SHA-256 of the payload as canonical JSON text."""
-    return F.sha2(payload, 256)
+    """SHA-256 of the payload as canonical JSON text, so the order of its keys and its blanks don't count."""
+    return F.sha2(canonical_json(payload), 256)
 
 
 def job_step(jobs: DataFrame, outcome: DataFrame, batch: int = 10) -> DataFrame:
@@ -188,19 +203,6 @@ def rate_limited(requests: DataFrame, limit: int = 120, window_s: float = 60.0)
     return requests.select("client", "ts", "id").groupBy("client").applyInPandas(run, "client string, ts timestamp_ntz, id long, allowed boolean")
 
 
-def every_nth(n: int, action: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that calls action whenever another n rows have come."""
-    state = {"rows": 0}
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        before = state["rows"] // n
-        state["rows"] += batch.count()
-        if state["rows"] // n > before:
-            action(batch, epoch)
-
-    return run
-
-
 def not_done(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Items of a checkpointed backfill that are still to do."""
     return items.join(done.select(key).distinct(), key, "left_anti")

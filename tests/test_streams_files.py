@@ -1,10 +1,12 @@
+import hashlib
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.sources import files
-from lorekeep.streaming import flows
+from lorekeep.streaming import cursors, flows
 
 ACTIONS = [
     ("s", 1, "Bash", "make", "Traceback in app.py"), ("s", 2, "Edit", "src/app.py", "ok"), ("s", 3, "Bash", "pytest test_x", "1 failed"), ("s", 4, "Bash", "pytest test_x", "3 passed"),
@@ -86,7 +88,69 @@ def test_sessions(spark, tmp_path):
 def test_migration_counts_bad_lines(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"id":"1","content":"a","metadata":{"salience":"0.7"}}\nnot json\n{"id":"1","content":"b","metadata":{"salience":0.2}}\n{"content":"x"}\n')
     good, bad = files.read_migration(spark, str(tmp_path / "m.jsonl"))
-    assert [(r["id"], r["content"], r["salience"]) for r in good.collect()] == [("1", "b", 0.2)] and bad.count() == 2
+    assert [(r["id"], r["content"], r["salience"]) for r in good.collect()] == [("1", "b", 0.2)]
+    assert sorted((r["number"], r["line"]) for r in bad.collect()) == [(2, "not json"), (4, '{"content":"x"}')]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    rows = [f"{i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join(rows))
+    (tmp_path / "in/b.txt").write_text("one\n\nthree\n")
+    (tmp_path / "in/c.txt").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = files.numbered_lines(spark, str(tmp_path / "in"))
+        got = {(r["path"].rsplit("/", 1)[-1], r["line"]): r["value"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {**{("a.txt", i + 1): v for i, v in enumerate(rows)}, ("b.txt", 1): "one", ("b.txt", 2): "", ("b.txt", 3): "three"}
+
+
+@pytest.mark.parametrize(("line", "what"), [("{", "no JSON"), ('{"query": "q"}', "no query or ids"), ('{"gold_ids": ["1"]}', "no query or ids")])
+def test_gold_errors_name_the_line(spark, tmp_path, line, what):
+    good = '{"query": "q", "gold_ids": ["1", "2"], "k": 5}\n\n{"query": "r", "gold_memory_id": "3"}\n'
+    (tmp_path / "g.jsonl").write_text(good)
+    assert sorted(tuple(r) for r in files.read_gold(spark, str(tmp_path / "g.jsonl")).collect()) == [("q", "1", 5), ("q", "2", 5), ("r", "3", 10)]
+    (tmp_path / "g.jsonl").write_text(good + line + "\n")
+    with pytest.raises(Exception, match=f"g.jsonl, line 4: {what}"):
+        files.read_gold(spark, str(tmp_path / "g.jsonl")).collect()
+
+
+def test_spool_keys_are_those_of_sorted_json(spark):
+    payloads = [{"b": [1, 2.50, 1e22, None, True], "a": {"z": "é\U0001f600\x7f\n\"/", "y": -0.0}}, {}, {"k": "a:b, c"}, {"n": 12345678901234567890}]
+    texts = [json.dumps(p, ensure_ascii=i % 2 == 0, separators=((",", ":") if i % 2 else (" ,  ", ":"))) for i, p in enumerate(payloads)] + ['{"a": {"y": -0.0, "z": "é\U0001f600\x7f\\n\\"/"}, "b": [1, 2.50, 1e22, null, true]}']
+    want = [hashlib.sha256(json.dumps(p, sort_keys=True, ensure_ascii=True).encode()).hexdigest() for p in [*payloads, payloads[0]]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "no json", None])], "i int, t string")
+    assert [r["k"] for r in df.select("i", flows.spool_key(F.col("t")).alias("k")).orderBy("i").collect()] == [*want, None, None]
+
+
+def test_cursor_goes_on_after_a_restart(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, t), (2, t), (3, t + timedelta(hours=1))], "event_id long, ts timestamp_ntz")
+    path = f"file://{tmp_path}/cursor"
+    first = cursors.Cursor(spark, path)
+    rows = first.behind(events.filter("event_id < 3")).limit(1)
+    assert [r["event_id"] for r in rows.collect()] == [1] and first.at() is None
+    first.commit(rows)
+    again = cursors.Cursor(spark, path)
+    left = again.behind(events)
+    assert [r["event_id"] for r in left.collect()] == [2, 3]
+    spark.range(1).write.parquet(f"{path}/step=1/_temporary/x")  # a step that broke off
+    assert again.at()["event_id"] == 1
+    again.commit(left)
+    again.commit(left.limit(0))
+    assert cursors.Cursor(spark, path).behind(events).count() == 0
+
+
+def test_every_nth_counts_across_restarts(spark, tmp_path):
+    calls = []
+    path = f"file://{tmp_path}/counts"
+    for epoch, rows in enumerate((3, 1, 2, 9, 0)):
+        cursors.every_nth(4, lambda b, e: calls.append((e, b.count())), path)(spark.range(rows), epoch)
+    cursors.every_nth(4, lambda b, e: calls.append((e, -1)), path)(spark.range(1), 1)  # Spark repeats a batch
+    assert calls == [(1, 1), (3, 9)]
 
 
 def test_vault_code_and_bubbles(spark, tmp_path):
