@@ -33,6 +33,7 @@ from ..sources.shared import stored
 
 #: Pivots, vectors they are drawn from (those of the smallest hashes of their ids), rows and bytes of a tile, rows of a block.
 PIVOTS, SAMPLE, TILE_ROWS, TILE_BYTES, BLOCK = 64, 512, 2_048, 4 << 20, 256
+GROWTH = 8
 #: Products closer than this to a threshold are summed again.
 NEAR = 1e-9
 SCHEMA = "tile long, cell int, dim int, n int, centre array<double>, radius double, longest double, reach double, ids binary, data binary, extra array<binary>"
@@ -261,16 +262,19 @@ def similar(a: Tiles, least: float, over: bool = False, at_most: float | None =
 def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False) -> DataFrame:
     """(query, id, sim, rank): the k most similar vectors in b of each one in a, ties to the smaller id; drop_self: other ids only.
 
-    Pairs of tiles come in rounds, each of about as many as all before.  What a
-    query has found gives the least similarity that can still count, so a round
-    adds some 2 k rows a query, and log2(tiles) rounds are enough.
+    Pairs of tiles come in rounds, each of GROWTH times as many as the one before.
+    What a query has found gives the least similarity that can still count, so a
+    round adds some GROWTH * k rows a query, and their number is the logarithm of
+    that of the tiles.
     """
     spark = a.rows.sparkSession
     n = b.rows.count()
-    rounds = 1 + max(0, math.ceil(math.log2(max(n, 1))))
+    rounds = 1 + math.ceil(math.log(max(n, 1), GROWTH))
     u = (F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) + 1) / float(1 << 20)
-    turn = F.when(F.col("x") == F.col("y"), 0).otherwise(F.greatest(F.lit(0), F.ceil(rounds - 1 + F.log2(u)))).cast("int")
+    turn = F.when(F.col("x") == F.col("y"), 0).otherwise(F.greatest(F.lit(0), F.ceil(rounds - 1 + F.log(float(GROWTH), u)))).cast("int")
     pairs = tile_pairs(a, b).withColumn("turn", turn)
+    if rounds > 1:
+        pairs = stored(pairs, "tile-pairs")
 
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
         low = t.extra.get("low", np.zeros(0))
