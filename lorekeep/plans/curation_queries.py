@@ -3,13 +3,17 @@
 # ruff: noqa: E501
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, titles
-from ..operators import evalir, graph, quality, records, tiles
+from ..functions.embed import HashEmbedder
+from ..operators import evalir, graph, model_passes, quality, records, tiles
 from ..operators.bm25 import bm25_topk
 from ..operators.vector import cosine_distance, cosine_topk, fit_dim, unit
+from ..sources.shared import fresh_path
 from ..sources.tables import FEEDBACK_SQL, MEMORIES_SQL, edges, feedback, memories, table, vectors
 from ..streaming import flows
 from .registry import query
@@ -194,3 +198,29 @@ def backfill_todo(spark, d):
 @query(f"{M} SELECT id, regexp_replace(title, '\\s+$', '') AS q FROM memories WHERE length(regexp_replace(title, '\\s+$', '')) >= 12")
 def query_formation(spark, d):
     return memories(spark, d).filter(F.length(text.strip_ws(F.col("title"))) >= 12).select("id", text.query_of(F.col("title"), F.col("content")).alias("q"))
+
+
+def _summaries(prompts: list[str]) -> list[str]:
+    """A client that stands in for a model: the transcript as summary, its lines as decisions."""
+    return ["Here it is: " + json.dumps({"summary": p, "decisions": p.split("\n"), "next_steps": None}) for p in prompts]
+
+
+@query("""WITH m AS (SELECT conv_id, coalesce(role, 'unknown') || ': ' || substr(coalesce(text, ''), 1, 600) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+t AS (SELECT conv_id AS id, string_agg(line, chr(10) ORDER BY k) AS t FROM m WHERE k <= 40 GROUP BY conv_id)
+SELECT id, substr(t, 1, 400) AS summary, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: x <> '')[1:3], lambda x: substr(x, 1, 160)), '|') AS decisions, 0 AS next_steps FROM t""")
+def session_summaries(spark, d):
+    messages = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), "role", "text")
+    items = model_passes.transcripts(messages).select(F.col("session").alias("id"), F.col("text").alias("prompt"))
+    told = model_passes.Pass(spark, fresh_path(spark, "summaries"), _summaries).run(items).select("id", model_passes.session_summary(F.col("answer")).alias("s"))
+    return told.select("id", "s.summary", F.array_join("s.decisions", "|").alias("decisions"), F.size("s.next_steps").alias("next_steps"))
+
+
+def _titles(prompts: list[str]) -> list[str]:
+    return [f' "{" ".join(p.split(" ")[:8])}" ' for p in prompts]
+
+
+@query(f"{M}, a AS (SELECT id, regexp_replace(regexp_replace('\"' || array_to_string(string_split(substr(content, 1, 2000), ' ')[1:8], ' ') || '\"', '^\\s+|\\s+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g') AS t FROM memories WHERE content IS NOT NULL) SELECT id, substr(t, 1, 100) AS title, 16 AS dim FROM a WHERE t <> ''")
+def retitle_reembed(spark, d):
+    rows = memories(spark, d).select("id", "content")
+    answers = model_passes.Pass(spark, fresh_path(spark, "titles"), _titles).run(rows.select("id", F.substring("content", 1, 2000).alias("prompt")))
+    return model_passes.retitled(rows, answers, HashEmbedder(16), dim=16).select("id", "title", F.size("vector").alias("dim"))
