@@ -19,7 +19,6 @@ that is null or not finite take no part.  Rows of one id are each a vector.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +32,11 @@ from ..sources.shared import stored
 
 #: Pivots, vectors they are drawn from (those of the smallest hashes of their ids), rows and bytes of a tile, rows of a block.
 PIVOTS, SAMPLE, TILE_ROWS, TILE_BYTES, BLOCK = 64, 512, 2_048, 4 << 20, 256
-GROWTH = 8
+#: Consecutive tiles that go to a task together, and pairs of tiles of a task.
+TEAM, TASK_PAIRS = 8, 4_096
 #: Products closer than this to a threshold are summed again.
 NEAR = 1e-9
-SCHEMA = "tile long, cell int, dim int, n int, centre array<double>, radius double, longest double, reach double, ids binary, data binary, extra array<binary>"
+SCHEMA = "tile long, team long, cell int, dim int, n int, centre array<double>, radius double, longest double, reach double, ids binary, data binary, extra array<binary>"
 
 
 def _batches(spark: SparkSession) -> None:
@@ -53,6 +53,7 @@ class Tile:
     x: np.ndarray
     extra: dict[str, np.ndarray]
     number: int
+    found: object = None
 
     def blocks(self) -> Iterator[tuple[slice, np.ndarray, float, float]]:
         """Rows, centre, radius and longest vector of each block."""
@@ -134,11 +135,11 @@ def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndar
             x = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
             c = x.mean(0)
             one = {
-                "tile": int(t.column("part")[0].as_py()) << 32 | number, "cell": int(key[1]), "dim": int(d), "n": len(x), "centre": c.tolist(), "radius": float(np.sqrt(((x - c) ** 2).sum(1).max())),
+                "tile": int(t.column("part")[0].as_py()) << 32 | number, "team": int(t.column("part")[0].as_py()) << 32 | number // TEAM, "cell": int(key[1]), "dim": int(d), "n": len(x), "centre": c.tolist(), "radius": float(np.sqrt(((x - c) ** 2).sum(1).max())),
                 "longest": float(np.sqrt((x * x).sum(1).max())), "reach": float(t.column("reach").to_numpy().max()), "ids": t.column("id").to_numpy().astype(np.int64).tobytes(),
                 "data": x.tobytes(), "extra": [t.column(e).to_numpy().astype(np.float64).tobytes() for e in extra],
             }
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one.values(), kinds, strict=True)], list(one))
 
         for batch in batches:
@@ -198,30 +199,45 @@ def share_compared(a: Tiles, least: float) -> DataFrame:
 Kernel = Callable[[Tile, Tile], Iterator[pa.RecordBatch]]
 
 
-def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, lows: DataFrame | None = None) -> DataFrame:
-    """kernel(tile of a, tile of b) of every pair; lows (tile, low): more doubles for the rows of a's tiles, as extra `low`."""
+def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, end: Callable[[Tile], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """kernel(tile of a, tile of b) of every pair, and end(tile of a) when a task has met all its partners of a tile; `found` of a tile is the kernel's own.
+
+    A task gets a team of consecutive tiles of a, and tiles of b one after
+    another, each with the members it is to be compared with.  So a tile of b is
+    sent once for a team, and one of a as often as its team's work is split.
+    """
+    spark = a.rows.sparkSession
     load = ["ids", "data", "dim", "extra"]
-    left = a.rows.select(F.col("tile").alias("x"), *load)
-    if lows is not None:
-        left = left.join(lows.withColumnRenamed("tile", "x"), "x", "left").withColumn("extra", F.concat("extra", F.array(F.coalesce("low", F.lit(b""))))).drop("low")
-    right = b.rows.select(F.col("tile").alias("y"), *load)
-    sent = pairs.join(left, "x").select("x", "y", F.lit(0).alias("side"), *load).union(pairs.join(right, "y").select("x", "y", F.lit(1), *load))
-    names = ((*a.extra, "low") if lows is not None else a.extra, b.extra)
+    with_team = stored(pairs.join(a.rows.select(F.col("tile").alias("x"), "team"), "x"), "tile-pairs")
+    n = with_team.agg(F.countDistinct("team").alias("teams"), F.count("*").alias("pairs")).first()
+    splits = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(n["teams"], 1)), -(-n["pairs"] // (TASK_PAIRS * max(n["teams"], 1))))
+    dealt = with_team.withColumn("split", F.pmod(F.xxhash64("y"), F.lit(splits)).cast("int"))
+    own = dealt.select("team", "split", "x").distinct().join(a.rows.select(F.col("tile").alias("x"), *load), "x")
+    met = dealt.groupBy("team", "split", "y").agg(F.collect_list("x").alias("xs")).join(b.rows.select(F.col("tile").alias("y"), *load), "y")  # a team's tiles
+    sent = own.select("team", "split", F.lit(0).alias("side"), F.col("x").alias("tile"), F.array().cast("array<long>").alias("xs"), *load).union(met.select("team", "split", F.lit(1), "y", "xs", *load))
+    names = (a.extra, b.extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None
+        now, team = None, {}
         for batch in batches:
             for r in batch.to_pylist():
+                if (r["team"], r["split"]) != now:
+                    for t in team.values():
+                        yield from end(t) if end else ()
+                    now, team = (r["team"], r["split"]), {}
                 x = np.frombuffer(r["data"]).reshape(-1, r["dim"])
                 more = {n: np.frombuffer(e) for n, e in zip(names[r["side"]], r["extra"], strict=True)}
-                t = Tile(np.frombuffer(r["ids"], np.int64), x, more, r["y"] if r["side"] else r["x"])
+                t = Tile(np.frombuffer(r["ids"], np.int64), x, more, r["tile"])
                 if r["side"] == 0:
-                    first = t
+                    team[r["tile"]] = t
                 else:
-                    yield from kernel(first, t)
+                    for x in r["xs"]:
+                        yield from kernel(team[x], t)
+        for t in team.values():
+            yield from end(t) if end else ()
 
-    _batches(a.rows.sparkSession)
-    return sent.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(run, schema)
+    _batches(spark)
+    return sent.repartition("team", "split").sortWithinPartitions("team", "split", "side").mapInArrow(run, schema)
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -262,64 +278,38 @@ def similar(a: Tiles, least: float, over: bool = False, at_most: float | None =
 def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False) -> DataFrame:
     """(query, id, sim, rank): the k most similar vectors in b of each one in a, ties to the smaller id; drop_self: other ids only.
 
-    Pairs of tiles come in rounds, each of GROWTH times as many as the one before.
-    What a query has found gives the least similarity that can still count, so a
-    round adds some GROWTH * k rows a query, and their number is the logarithm of
-    that of the tiles.
+    A task keeps the best k of each of its rows, and what they have found is the
+    least that counts in the next tile; k rows a query and task are shuffled.
     """
-    spark = a.rows.sparkSession
-    n = b.rows.count()
-    rounds = 1 + math.ceil(math.log(max(n, 1), GROWTH))
-    u = (F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) + 1) / float(1 << 20)
-    turn = F.when(F.col("x") == F.col("y"), 0).otherwise(F.greatest(F.lit(0), F.ceil(rounds - 1 + F.log(float(GROWTH), u)))).cast("int")
-    pairs = tile_pairs(a, b).withColumn("turn", turn)
-    if rounds > 1:
-        pairs = stored(pairs, "tile-pairs")
 
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
-        low = t.extra.get("low", np.zeros(0))
-        low = np.full(len(t.ids), -np.inf) if not len(low) else low
+        row, sim, ids = t.found or (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        low = np.full(len(t.ids), -np.inf)
+        last = np.flatnonzero(np.bincount(row, minlength=len(t.ids)) == k)
+        low[last] = sim[np.searchsorted(row, last, "right") - 1]
+        parts = [(row, sim, ids)]
         for i, _, _, _ in t.blocks():
             s = t.x[i] @ v.x.T
             if drop_self:
                 s[t.ids[i][:, None] == v.ids[None, :]] = -np.inf
-            if s.shape[1] > k:
-                floor = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], low[i])
-            else:
-                floor = low[i]
+            floor = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], low[i]) if s.shape[1] > k else low[i]
             p, q = np.nonzero((s >= floor[:, None] - NEAR) & (s > -np.inf))
-            p = p + i.start
-            if len(p):
-                yield _batch(["tile", "place", "query", "id", "sim"], np.full(len(p), t.number), p.astype(np.int32), t.ids[p], v.ids[q], exact(t.x[p], v.x[q]))
-
-    schema = "tile long, place int, query long, id long, sim double"
+            parts.append((p + i.start, exact(t.x[i][p], v.x[q]), v.ids[q]))
+        row, sim, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((ids, -sim, row))
+        row, sim, ids = row[by], sim[by], ids[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        t.found = (row[keep], sim[keep], ids[keep])
+        return iter(())
+
+    def end(t: Tile) -> Iterator[pa.RecordBatch]:
+        if t.found and len(t.found[0]):
+            row, sim, ids = t.found
+            yield _batch(["tile", "place", "query", "id", "sim"], np.full(len(row), t.number), row.astype(np.int32), t.ids[row], ids, sim)
+
+    found = meet(a, b, tile_pairs(a, b), kernel, "tile long, place int, query long, id long, sim double", end)
     order = Window.partitionBy("tile", "place").orderBy(F.desc("sim"), "id")
-    best, sizes = None, a.rows.select("tile", "n")
-    for r in range(rounds):
-        lows = None
-        if best is not None:
-            kth = best.filter(F.col("rank") == k).groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("place", "sim"))).alias("at"))  # a tile's rows at most
-            low = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(float("-inf"))))
-            lows = _doubles(kth.join(sizes, "tile").select("tile", low.alias("low")))
-        found = meet(a, b, pairs.filter(F.col("turn") == r).select("x", "y"), kernel, schema, lows=lows)
-        rows = found if best is None else found.union(best.drop("rank"))
-        best = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        if r < rounds - 1:
-            best = stored(best, "tile-topk")
-    if best is None:
-        return spark.createDataFrame([], "query long, id long, sim double, rank int")
-    return best.select("query", "id", "sim", "rank")
-
-
-def _doubles(rows: DataFrame) -> DataFrame:
-    """(tile, low): an array of doubles as the bytes of their matrix row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [np.array(v, np.float64).tobytes() for v in batch.column("low").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(low, pa.binary())], ["tile", "low"])
-
-    return rows.mapInArrow(run, "tile long, low binary")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "id", "sim", "rank")
 
 
 def better(a: Tiles, b: Tiles, target: str, weight: str | None = None, scope: str | None = None, part: str | None = None, places: int | None = None) -> DataFrame:
@@ -335,10 +325,10 @@ def better(a: Tiles, b: Tiles, target: str, weight: str | None = None, scope: st
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
         goal = t.extra[target]
         parts = v.extra[part].astype(np.int64) if part else np.zeros(len(v.ids), np.int64)
+        w = v.extra[weight] if weight else np.ones(len(v.ids))
+        t.found = t.found or {}
         for i, _, _, _ in t.blocks():
-            s = t.x[i] @ v.x.T
-            w = v.extra[weight] if weight else np.ones(len(v.ids))
-            diff = s * w[None, :] - goal[i][:, None]
+            diff = (t.x[i] @ v.x.T) * w[None, :] - goal[i][:, None]
             p, q = np.nonzero(np.abs(diff) < 1e-8)
             if len(p):
                 sim = exact(t.x[i][p], v.x[q]) * w[q]
@@ -348,11 +338,17 @@ def better(a: Tiles, b: Tiles, target: str, weight: str | None = None, scope: st
             if scope:
                 same = t.extra[scope][i][:, None] == v.extra[scope][None, :]
                 up, level = up & same, level & same
-            for g in np.unique(parts):
-                n, m = up[:, parts == g].sum(1), level[:, parts == g].sum(1)
-                some = np.flatnonzero((n > 0) | (m > 0))
-                if len(some):
-                    yield _batch(["query", "part", "above", "tied"], t.ids[i][some], np.full(len(some), g), n[some], m[some])
-
-    found = meet(a, b, tile_pairs(a, b), kernel, "query long, part long, above long, tied long")
+            for g in np.unique(parts).tolist():
+                n, m = t.found.setdefault(g, (np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids), np.int64)))
+                n[i] += up[:, parts == g].sum(1)
+                m[i] += level[:, parts == g].sum(1)
+        return iter(())
+
+    def end(t: Tile) -> Iterator[pa.RecordBatch]:
+        for g, (n, m) in (t.found or {}).items():
+            some = np.flatnonzero((n > 0) | (m > 0))
+            if len(some):
+                yield _batch(["query", "part", "above", "tied"], t.ids[some], np.full(len(some), g), n[some], m[some])
+
+    found = meet(a, b, tile_pairs(a, b), kernel, "query long, part long, above long, tied long", end)
     return found.groupBy("query", "part").agg(F.sum("above").alias("above"), F.sum("tied").alias("tied"))
