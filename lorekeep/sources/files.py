@@ -64,13 +64,33 @@ def read_vault(spark: SparkSession, path: str, skip: tuple[str, ...] = (".git",
 def read_code(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
     """(path, symbols, content) of source files, with `sym:` tags of functions and classes."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return rows.select(F.col("_metadata.file_path").alias("path"), symbols(F.col("value")).alias("symbols"), F.col("value").alias("content"))
+    where = F.col("_metadata.file_path")
+    return rows.select(where.alias("path"), symbols(F.col("value"), F.substring_index(where, ".", -1)).alias("symbols"), F.col("value").alias("content"))
 
 
-def symbols(code: Column) -> Column:
-    """Sorted distinct names of functions and classes, by patterns rather than a parser."""
-    names = F.regexp_extract_all(code, F.lit(r"(?m)^\s*(?:export\s+)?(?:pub\s+)?(?:async\s+)?(?:def|fn|function|class|struct|enum|trait|interface)\s+([A-Za-z_]\w*)"), 1)
-    return F.transform(F.array_sort(F.array_distinct(names)), lambda n: F.concat(F.lit("sym:"), n))
+_STRING = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"'
+_QUOTED = r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
+_BLOCK_COMMENT, _LINE_COMMENT = r"/\*(?s:.*?)\*/", r"//[^\n]*"
+#: For each language its file endings, what is no code (the first that begins ends first), and its declarations with a body, the name as group 1.
+LANGUAGES = [
+    (["py"], [r'"""(?s:.*?)"""', r"'''(?s:.*?)'''", _STRING, _QUOTED, r"#[^\n]*"], r"(?<![\w.])(?:def|class)\s+([\p{L}_][\p{L}\p{N}_]*)"),
+    (["rs"], [r'r(#*)"(?s:.*?)"\1', _STRING, r"'(?:\\(?:u\{[^}]*\}|.)|[^'\\\n])'", _LINE_COMMENT, _BLOCK_COMMENT], r"(?<!\w)fn\s+(?:r#)?([\p{L}_]\w*)(?=(?:\[[^\]]*+\]|[^;{\[])*+\{)"),
+    (["ts", "mts", "cts", "tsx"], [_STRING, _QUOTED, r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`", _LINE_COMMENT, _BLOCK_COMMENT], r"(?:^|[;{}\n])\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([\p{L}_][\w$]*)(?=(?:\[[^\]]*+\]|[^;{\[])*+\{)"),
+]
+
+
+def symbols(code: Column, ending: Column) -> Column:
+    """Sorted distinct names that a file declares: functions, in Python classes too; none for other languages.
+
+    Strings and comments go first, in one pass from left to right, so a quote in
+    a comment or a keyword in a string is neither.  Declarations without a body
+    (of traits, overloads) and functions that are part of an expression don't count.
+    """
+    found = F.array().cast("array<string>")
+    for endings, other, names in LANGUAGES:
+        plain = F.regexp_replace(code, "|".join(other), " ")
+        found = F.when(ending.isin(endings), F.regexp_extract_all(plain, F.lit(f"(?m){names}"), F.lit(1))).otherwise(found)
+    return F.transform(F.array_sort(F.array_distinct(found)), lambda n: F.concat(F.lit("sym:"), n))
 
 
 def key_value_bubbles(rows: DataFrame, least: int = 2) -> DataFrame:

@@ -163,3 +163,17 @@ def test_vault_code_and_bubbles(spark, tmp_path):
     assert files.read_code(spark, str(tmp_path / "v")).first()["symbols"] == ["sym:Q", "sym:main", "sym:run"]
     kv = spark.createDataFrame([("bubbleId:c1:1", '{"type":1,"text":"q"}'), ("bubbleId:c1:2", '{"type":2,"text":"a"}'), ("bubbleId:c2:1", '{"type":1,"text":"q"}'), ("other", "{}")], "key string, value string")
     assert [tuple(r) for r in files.key_value_bubbles(kv).collect()] == [("c1", 2, "User: q\n\nAssistant: a")]
+
+
+@pytest.mark.parametrize(
+    ("ending", "code", "names"),
+    [
+        ("py", 'class Q:\n    """def doc(): it\'s"""\n    async def run(self): return "def no(): pass"  # def nor(this)\n\nx = \'\'\'class Z:\n\'\'\'\ndef été(a="\\"", b=1): pass\nself.def_x = 1\n', ["Q", "run", "été"]),
+        ("rs", "pub fn hello<T>(a: [u8; 4]) -> T where T: X {} trait A { fn only(&self); fn full(&self) { let f: fn(u8) = g; } }\n/* fn no() {} */ // fn nor() {}\nlet s = r#\"fn raw() { \" }\"#; let c = '\"'; fn last<'a>(x: &'a str) {}", ["full", "hello", "last"]),
+        ("ts", "export default async function main() {}\nfunction over(a: string): void;\nfunction over(a: any) { }\nconst f = function inner() {};\n`function t() {`; 'function u() {'; // function v() {}\n  function $x() {", ["main", "over"]),
+        ("tsx", "function View() { return <p>don\u2019t</p> }", ["View"]), ("txt", "def a(): pass", []), ("py", "", []), ("py", '"' + "a" * 100_000 + '"\ndef z(): pass', ["z"]),
+    ],
+)
+def test_symbols_of_code(spark, ending, code, names):
+    got = spark.createDataFrame([(code, ending)], "c string, e string").select(files.symbols(F.col("c"), F.col("e")).alias("s")).first()["s"]
+    assert got == [f"sym:{n}" for n in names]
