@@ -58,13 +58,18 @@ def postings(docs: DataFrame, terms: DataFrame, stems: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int, k1: float = K1, b: float = B) -> DataFrame:
     """(query, id, score, rank) of the n best documents that hold all distinct stems of a query, ties to the smaller id.
 
-    Two passes over the documents: terms and statistics, and the postings of query stems.
+    Two passes over the documents: terms and statistics, and the postings of query
+    stems.  What can hold all stems of a query holds its rarest one, so only these
+    documents are scored.
     """
     terms, known = stored(query_terms(queries), "bm25-terms"), vocabulary(docs)
     stats = known.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"), (F.sum("words") / F.sum("docs")).alias("avg_len"))
     wanted = stored(postings(docs, known.select("term"), terms.select("stem").distinct()), "bm25-postings")
     df = wanted.groupBy("stem").agg(F.count("*").alias("df"))
-    hits = terms.join(df, "stem").join(wanted, "stem").crossJoin(F.broadcast(stats))  # one row of statistics
+    known_df = stored(terms.join(df, "stem"), "bm25-df")
+    rarest = known_df.groupBy("query").agg(F.min(F.struct("df", "stem")).alias("r")).select("query", "r.stem")
+    cand = rarest.join(wanted.select("stem", "id"), "stem").select("query", "id")
+    hits = cand.join(known_df, "query").join(wanted, ["stem", "id"]).crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = hits.groupBy("query", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("k"), F.max("n_terms").alias("n_terms")).filter("k = n_terms")
