@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, titles
 from ..functions.embed import HashEmbedder
-from ..operators import evalir, graph, model_passes, quality, records, tiles
+from ..operators import evalir, graph, model_passes, notes, quality, records, tiles
 from ..operators.bm25 import bm25_topk
 from ..operators.vector import cosine_distance, cosine_topk, fit_dim, unit
 from ..sources.shared import fresh_path
@@ -224,3 +224,38 @@ def retitle_reembed(spark, d):
     rows = memories(spark, d).select("id", "content")
     answers = model_passes.Pass(spark, fresh_path(spark, "titles"), _titles).run(rows.select("id", F.substring("content", 1, 2000).alias("prompt")))
     return model_passes.retitled(rows, answers, HashEmbedder(16), dim=16).select("id", "title", F.size("vector").alias("dim"))
+
+
+NOTES = r"""nb AS (SELECT id, CASE WHEN trim(b) = '' THEN 'untitled' ELSE b END AS base FROM (SELECT id, substr(trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g'), '^([^\r\n]*)', 1), '[\\/:*?"<>|#^\[\]]', '', 'g'), '\s+', ' ', 'g')), 1, 60) AS b FROM memories)),
+nk AS (SELECT id, base, row_number() OVER (PARTITION BY lower(base) ORDER BY id) AS k FROM nb), nn AS (SELECT id, k, CASE WHEN k = 1 THEN base ELSE base || ' ' || k END AS name FROM nk),
+names AS (SELECT id, CASE WHEN k > 1 AND lower(name) IN (SELECT lower(name) FROM nn WHERE k = 1) THEN name || ' ' || id ELSE name END AS name FROM nn)"""
+
+
+def _notes(spark, d):
+    rows = memories(spark, d).withColumns({"source": F.col("session_id"), "importance": F.col("salience"), "tags": F.concat_ws(" , ", "type", F.when(F.col("id") % 3 == 0, F.col("project")))})
+    names = notes.note_names(rows)
+    return rows, names, notes.links_of(quality.nearest(vectors(spark, d), 5), rows, names)
+
+
+@query(f"""{M}, {KNN}, {NOTES}, l AS (SELECT query AS id, string_agg('- [[' || m.type || '/' || names.name || ']]', chr(10) ORDER BY rank) AS links FROM knn k JOIN memories m ON m.id = k.id JOIN names ON names.id = k.id WHERE rank <= 5 GROUP BY query)
+SELECT m.id, m.type || '/' || name || '.md' AS path, md5('---' || chr(10) || 'id: ' || m.id || chr(10) || 'type: ' || m.type || chr(10) || 'project: ' || project || chr(10) || 'source: ' || session_id || chr(10) || 'importance: ' || salience || chr(10) || 'timestamp: ' || ts || chr(10) || 'tags:' || chr(10) || '  - ' || m.type || CASE WHEN m.id % 3 = 0 THEN chr(10) || '  - ' || project ELSE '' END || chr(10) || '---' || chr(10) || chr(10)
+  || regexp_replace(coalesce(content, ''), '^\\s+|\\s+$', '', 'g') || chr(10) || CASE WHEN links IS NOT NULL THEN chr(10) || '## Related' || chr(10) || links || chr(10) ELSE '' END) AS digest FROM memories m JOIN names USING (id) LEFT JOIN l ON l.id = m.id""")
+def note_texts(spark, d):
+    return notes.notes(*_notes(spark, d)).select("id", "path", F.md5("text").alias("digest"))
+
+
+@query(f"""{M}, {NOTES}, r AS (SELECT type, name, row_number() OVER (PARTITION BY type ORDER BY salience DESC, id) AS k, count(*) OVER (PARTITION BY type) AS n FROM memories JOIN names USING (id))
+SELECT type, '## ' || array_to_string(list_transform(string_split(type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ' (' || any_value(n) || ')' || chr(10) || chr(10) || string_agg('- [[' || type || '/' || name || ']]', chr(10) ORDER BY k) FILTER (WHERE k <= 10) || CASE WHEN any_value(n) > 10 THEN chr(10) || '- *(+' || (any_value(n) - 10) || ' more in `' || type || '/`)*' ELSE '' END AS text FROM r GROUP BY type""")
+def note_index(spark, d):
+    rows, names, _ = _notes(spark, d)
+    return notes.index(rows, names)
+
+
+@query(f"""{M}, {KNN}, l AS (SELECT query AS id, '<!-- links -->' || chr(10) || '## Related' || chr(10) || string_agg('- [[' || id || ']]', chr(10) ORDER BY rank) || chr(10) || '<!-- /links -->' AS block FROM knn WHERE rank <= 3 GROUP BY query)
+SELECT m.id, md5(CASE WHEN m.id % 2 = 0 THEN 'a' || block || 'b' || content ELSE regexp_replace(content, '\\n+$', '') || CASE WHEN ends_with(content, chr(10) || chr(10)) THEN chr(10) ELSE chr(10) || chr(10) || chr(10) END || block || chr(10) END) AS digest, true AS settled FROM memories m JOIN l ON l.id = m.id""")
+def managed_blocks(spark, d):
+    near = quality.nearest(vectors(spark, d), 3).groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("link")))).alias("ls"))
+    rows = memories(spark, d).join(near.select("id", F.col("ls.link").alias("links")), "id")
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit(f"a{notes.OPEN} old {notes.CLOSE}b"), "content")).otherwise(F.col("content"))
+    once = notes.with_block(text, F.col("links"))
+    return rows.select("id", once.alias("t"), "links").select("id", F.md5("t").alias("digest"), (notes.with_block(F.col("t"), F.col("links")) == F.col("t")).alias("settled"))
