@@ -36,7 +36,7 @@ PIVOTS, SAMPLE, TILE_ROWS, TILE_BYTES, BLOCK = 64, 512, 2_048, 4 << 20, 256
 TEAM, TASK_PAIRS = 8, 4_096
 #: Products closer than this to a threshold are summed again.
 NEAR = 1e-9
-SCHEMA = "tile long, team long, cell int, dim int, n int, centre array<double>, radius double, longest double, reach double, ids binary, data binary, extra array<binary>"
+SCHEMA = "tile long, cell int, dim int, n int, centre array<double>, radius double, longest double, reach double, ids binary, data binary, extra array<binary>"
 
 
 def _batches(spark: SparkSession) -> None:
@@ -135,11 +135,11 @@ def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndar
             x = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
             c = x.mean(0)
             one = {
-                "tile": int(t.column("part")[0].as_py()) << 32 | number, "team": int(t.column("part")[0].as_py()) << 32 | number // TEAM, "cell": int(key[1]), "dim": int(d), "n": len(x), "centre": c.tolist(), "radius": float(np.sqrt(((x - c) ** 2).sum(1).max())),
+                "tile": int(t.column("part")[0].as_py()) << 32 | number, "cell": int(key[1]), "dim": int(d), "n": len(x), "centre": c.tolist(), "radius": float(np.sqrt(((x - c) ** 2).sum(1).max())),
                 "longest": float(np.sqrt((x * x).sum(1).max())), "reach": float(t.column("reach").to_numpy().max()), "ids": t.column("id").to_numpy().astype(np.int64).tobytes(),
                 "data": x.tobytes(), "extra": [t.column(e).to_numpy().astype(np.float64).tobytes() for e in extra],
             }
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one.values(), kinds, strict=True)], list(one))
 
         for batch in batches:
@@ -199,6 +199,14 @@ def share_compared(a: Tiles, least: float) -> DataFrame:
 Kernel = Callable[[Tile, Tile], Iterator[pa.RecordBatch]]
 
 
+def teams(a: Tiles) -> DataFrame:
+    """(x, team): tiles in their order, as many in a team as fill TEAM whole ones; small tiles, as many partitions make them, are more."""
+    order = Window.orderBy("dim", "cell", "tile")  # a row a tile
+    whole = F.least(F.lit(TILE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+    share = F.col("n") / whole
+    return a.rows.select(F.col("tile").alias("x"), F.floor((F.sum(share).over(order) - share) / TEAM).alias("team"))
+
+
 def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, end: Callable[[Tile], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """kernel(tile of a, tile of b) of every pair, and end(tile of a) when a task has met all its partners of a tile; `found` of a tile is the kernel's own.
 
@@ -208,7 +216,7 @@ def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, end:
     """
     spark = a.rows.sparkSession
     load = ["ids", "data", "dim", "extra"]
-    with_team = stored(pairs.join(a.rows.select(F.col("tile").alias("x"), "team"), "x"), "tile-pairs")
+    with_team = stored(pairs.join(teams(a), "x"), "tile-pairs")
     n = with_team.agg(F.countDistinct("team").alias("teams"), F.count("*").alias("pairs")).first()
     splits = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(n["teams"], 1)), -(-n["pairs"] // (TASK_PAIRS * max(n["teams"], 1))))
     dealt = with_team.withColumn("split", F.pmod(F.xxhash64("y"), F.lit(splits)).cast("int"))
