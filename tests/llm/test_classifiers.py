@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm import labelled, langid, quality, textbuf, toxicity
@@ -172,3 +173,92 @@ def test_more_languages_than_a_matrix_holds(spark, tables, monkeypatch):
     assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["lang_pred"]) for r in want]
     assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want])
     assert sorted(map(str, langid.keep(docs, model).collect())) == kept
+
+
+def test_toxicity_learns_from_rows_beyond_any_sample(spark):
+    ids = spark.range(12_000).select(F.col("id").alias("doc_id"), F.crc32(F.col("id").cast("string").cast("binary")).alias("crc"))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id"))
+    own = ids.filter("crc % 4 <> 2").withColumn("late", place > 8_000)
+    words = F.concat_ws(" ", *(F.concat(F.lit("w"), F.col("doc_id") % m) for m in (50, 37, 11)))
+    toxic = F.col("doc_id") % 4 == 0
+    rows = own.select("doc_id", F.when(F.col("late"), "xx").otherwise("en").alias("lang"), F.concat_ws(" ", words, F.when(toxic, F.when(F.col("late"), "vile").otherwise("awful"))).alias("text"), toxic.cast("int").alias("toxic")).cache()
+    assert rows.filter("lang = 'xx'").count() > 500
+    net = toxicity.train(rows, rows.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "w1 vile w2", "xx"), (2, "w1 w2 w3", "xx"), (3, "w1 awful w2", "en")], "doc_id long, text string, lang string")
+    assert [r["predicted"] for r in toxicity.score(asked, net).orderBy("doc_id").collect()] == [1, 0, 1]
+    assert set(net.thresholds) == {"en", "xx"}
+    rows.unpersist()
+
+
+def test_toxicity_counts_every_training_row(tables):
+    docs, labels, _ = tables
+    rows = toxicity.training_rows(docs, labels, "toxic", 4, 2)
+    total, held = toxicity.class_counts(rows)
+    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic")
+    want = [(r["doc_id"], r["text"], r["toxic"]) for r in docs.join(known, "doc_id").collect() if crc32_text(r["doc_id"]) % 4 != 2]
+    assert total.tolist() == [sum(t == k for _, _, t in want) for k in (0, 1)]
+    bucket = toxicity.word_ids(next(textbuf.slices(pa.array(["vile"]))))[0][0]
+    assert held[:, bucket].tolist() == [sum(t == k and "vile" in x.lower().replace("!", "").split() for _, x, t in want) for k in (0, 1)]
+
+
+def test_toxicity_of_many_shards_is_the_same_for_any_partitions(tables, monkeypatch):
+    docs, labels, rows = tables
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    assert toxicity.training_rows(docs, labels, "toxic", 4, 2).select("shard").distinct().count() == 5
+    scores = []
+    for parts in (1, 7):
+        out = toxicity.score(docs, toxicity.train(docs.repartition(parts), labels)).filter("doc_id is not null").orderBy("doc_id", "score").collect()
+        scores.append([r["score"] for r in out])
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+    truth = {r[0]: r[4] for r in rows}
+    own = [(r["predicted"], truth[r["doc_id"]]) for r in out if r["held_out"] and r["doc_id"] in truth]
+    assert sum(a == b for a, b in own) >= 0.9 * len(own)
+
+
+def test_toxicity_gradient_against_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    learner = toxicity.Learner(toxicity.ConvNet.start(rng))
+    net = learner.net
+    for t in net.tables:
+        t[1:60] = rng.normal(size=(59, toxicity.DIM))
+    counts, y = np.array([4, 0, 30, 1]), np.array([1, 0, 0, 1], np.float32)
+    (a, begin), (b, _) = (toxicity.padded(rng.integers(1, 60, counts.sum()).astype(np.int32), counts) for _ in range(2))
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 9)
+
+    def loss():
+        top = np.stack([r[begin[i] : begin[i + 1]].max(axis=0) for r in [net.responses(a, b)[1]] for i in range(4)])
+        z = np.maximum(top, 0).astype(float) @ net.out + net.out_bias
+        decay = sum((x.astype(float) ** 2).sum() for x in (*net.kernels.values(), net.out))
+        return float((np.log1p(np.exp(z)) - y * z).mean() + 0.5e-4 * decay)
+
+    dense, by, at = learner.gradient(a, b, begin, y)
+    v = learner.weights()
+    for i in rng.choice(len(v), 40, replace=False):
+        ends = []
+        for d in (1e-2, -1e-2):
+            w = v.copy()
+            w[i] += d
+            learner.set_weights(w)
+            ends.append(loss())
+        learner.set_weights(v)
+        assert dense[i] == pytest.approx((ends[0] - ends[1]) / 2e-2, abs=2e-3)
+    word = a[begin[2] + 1]
+    own = by[a[at] == word].sum(axis=0)
+    for k in range(toxicity.DIM):
+        net.tables[0][word, k] += 1e-2
+        up = loss()
+        net.tables[0][word, k] -= 2e-2
+        down = loss()
+        net.tables[0][word, k] += 1e-2
+        assert own[k] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+
+
+def test_filter_before_the_join_loses_no_labelled_row(spark, monkeypatch):
+    ids = spark.range(-500, 3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    known = ids.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("y"))
+    got = {r["doc_id"] for r in labelled.may_be_known(ids, known).collect()}
+    want = {r["doc_id"] for r in known.collect()}
+    assert want <= got and len(got) < 1.1 * len(want)
+    monkeypatch.setattr(labelled, "FILTER_BITS", 64)  # full: it leaves all
+    assert labelled.may_be_known(ids, known).count() == ids.count()
+    assert labelled.may_be_known(ids, known.filter("false")).count() == 0
