@@ -31,15 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..sources.shared import drop_stored, release, stored
 from . import textbuf
-from .session import bounded_batches, map_batches
+from .session import bounded_batches, map_batches, small_table
 
 #: Counters of the sketch, and places of the bit maps, as powers of 2; counters of one row when they are summed.
 SKETCH_BITS, MARK_BITS, CHUNK_BITS = 24, 22, 16
+#: Bytes of a slice: every word has hashes, places and a shingle.
+SLICE_BYTES = 1 << 18
 #: Tokens by which the prefixes of orders 2 and 3 are longer than needed; they must share as many more.
 EXTRA = 48
 #: Pivots of a list grow by this factor from round to round.
@@ -178,7 +179,7 @@ def _counted(docs: DataFrame, rule: Rule) -> np.ndarray:
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
-            for s in textbuf.slices(batch.column("text")):
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):
                 at, more = np.unique(buckets(np.concatenate(list(shingle_sets(s, rule.words)))).astype(np.uint32), return_counts=True)
                 counts[at] = np.minimum(counts[at] + more, 2**16 - 1)
         chunk, data = chunk_rows(counts)
@@ -216,7 +217,7 @@ def _rows(docs: DataFrame, rule: Rule, level_b) -> DataFrame:
         def run(batch: pa.RecordBatch):
             level = level_b.value
             has_id, done = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), 0
-            for s in textbuf.slices(batch.column("text")):  # a slice's rows leave before the next one's are made
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):  # a slice's rows leave before the next one's are made
                 doc_ns, doc_keys = [], []
                 keys, ns, maps = [], [], []
                 toks, orders, sizes = [], [], []
@@ -300,7 +301,7 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, rule: Rule) -> D
         def run(batch: pa.RecordBatch):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(marked[buckets(ids.view(np.uint64), MARK_BITS)]))
-            for s in textbuf.slices(batch.column("text")):
+            for s in textbuf.slices(batch.column("text"), SLICE_BYTES):
                 rows = []
                 for tokens in shingle_sets(s, rule.words):
                     if len(tokens) and (key := class_key(tokens)) not in seen:
@@ -397,7 +398,6 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     maps = stored(rows.filter("kind = 1").select("key", "n", *MAPS).dropDuplicates(["key"]), "maps")
     postings = rows.filter("kind = 2").select("token", "key", "order")
     classes = profiles.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def fit(a: Column, b: Column) -> Column:
         # of a similar pair the row of its first common token stays: all it shares stands from there on
@@ -415,7 +415,7 @@ def jaccard_join(docs: DataFrame, rule: Rule | None = None, all_links: bool = Tr
     sifted = stored(_sifted(pairs, maps, rule), "sifted")
     sets = _sets(docs, sifted.select(F.col("a").alias("key")).union(sifted.select("b")).distinct(), classes, rule)
     found = stored(_similar(sifted, sets, rule), "links")
-    links = found if found.take(1) else spark.createDataFrame([], schema)
+    links = found if found.take(1) else small_table(spark, [], "a long, b long")
     labels = None if all_links else connected_components(links)
     for table in (pairs, sifted, sets):
         drop_stored(table)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_stored, stored
 from . import textbuf
-from .session import fold, map_batches
+from .session import fold, map_batches, small_table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -32,7 +32,7 @@ MAX_ROWS_LANG = 3_000
 MAX_LANGS = 256
 UNDETERMINED = "und"
 #: Bytes of a slice: every character has several n-grams, each with its document.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 #: In scores, evidence and prior count as of so many independent n-grams at most, which keeps those of long texts from
 #: saturating at once. The prediction is that of the full sums.
 EVIDENCE = 50.0
@@ -146,7 +146,7 @@ def train(docs: DataFrame, modulus: int = 5, held_out: int = 0, max_rows_lang: i
     cuts = [(lang, j, top if n <= max_rows_lang else int(top * (max_rows_lang / n))) for j, (n, lang) in enumerate(sizes)]
     rank = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(29)), 2)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", modulus) != held_out))
-    small = spark.createDataFrame(cuts, "lang string, j int, cut long")
+    small = small_table(spark, cuts, "lang string, j int, cut long")
     sample = rows.join(F.broadcast(small), "lang").filter(rank <= F.col("cut")).select("j", "text")  # one row a language
 
     def run(batches):

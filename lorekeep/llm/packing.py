@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import stored
+from .session import small_table
 from .tokens import token_counts
 
 N_BUCKETS = 16
@@ -118,7 +119,7 @@ def pack_lengths(rows: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKE
     for b, (limit, cap) in enumerate(zip(limits.tolist(), capacity.tolist(), strict=True)):
         table.append((b, limit, cap, first))
         first += -(-per_bucket.get(b, 0) // cap)
-    facts = rows.sparkSession.createDataFrame(table, "bucket int, bucket_tokens long, capacity long, first long")
+    facts = small_table(rows.sparkSession, table, "bucket int, bucket_tokens long, capacity long, first long")
     at = F.col("place") + F.col("before")
     return (
         numbered.join(F.broadcast(before), ["bucket", "part"])  # buckets times parts rows
