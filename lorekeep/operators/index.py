@@ -6,8 +6,14 @@ levels that suit that curve.  A scale a vector makes the estimate of an inner
 product right on average.  Codes are a Parquet table in batches: an insert or a
 removal writes a batch of its own, the newest row of an id counts, and compact()
 writes what counts as one batch.  A search compares rotated queries with decoded
-vectors tile by tile, takes some times as many rows as asked for, and ranks these
-by their exact similarities, which it gets by a join with the vectors.
+vectors tile by tile.  Exact similarities of some times as many rows as asked for,
+those of the best estimates, tell what any other row has to reach; those whose
+code leaves room for that get their exact similarity too, so the result is exact.
+
+The scale makes a decoded vector differ from its own by something at right angles
+to it, of a length that is told by both lengths.  So for a query q and a vector x
+of similarity s, the estimate is off by at most that length times the length of
+the part of q at right angles to x, sqrt(|q|^2 - s^2 / |x|^2).
 
 Vectors are cut or filled up with zeros to the index's length.  Null vectors are
 not indexed; of equal ids in one insert the largest vector counts.  One writer at
@@ -24,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.shared import drop_path, fresh_path
 from . import tiles
 from .vector import fit_dim
 
 LEVELS = 16
-ROW = "id long, scale double, code binary"
+ROW = "id long, scale double, size double, code binary"
+#: Room for rounding in estimates, a share of the lengths of both vectors.
+ROUND = 1e-9
 
 
 @lru_cache
@@ -110,18 +117,20 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    scale, code = encode(_matrix(b.column("vector"), dim))
-                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scale), pa.array([c.tobytes() for c in code], pa.binary())], ["id", "scale", "code"])
+                    x = _matrix(b.column("vector"), dim)
+                    scale, code = encode(x)
+                    size = np.sqrt((x * x).sum(1))
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scale), pa.array(size), pa.array([c.tobytes() for c in code], pa.binary())], ["id", "scale", "size", "code"])
 
         self._append(rows.mapInArrow(run, ROW))
 
     def remove(self, ids: DataFrame) -> None:
-        self._append(ids.filter("id is not null").select(F.col("id").cast("long").alias("id")).distinct().selectExpr("id", "cast(null as double) as scale", "cast(null as binary) as code"))
+        self._append(ids.filter("id is not null").select(F.col("id").cast("long").alias("id")).distinct().selectExpr("id", "cast(null as double) as scale", "cast(null as double) as size", "cast(null as binary) as code"))
 
     def codes(self) -> DataFrame:
-        """(id, scale, code) of what is indexed."""
-        newest = self._batches().groupBy("id").agg(F.max(F.struct("batch", "scale", "code")).alias("row"))
-        return newest.select("id", "row.scale", "row.code").filter("code is not null")
+        """(id, scale, size, code) of what is indexed."""
+        newest = self._batches().groupBy("id").agg(F.max(F.struct("batch", "scale", "size", "code")).alias("row"))
+        return newest.select("id", "row.scale", "row.size", "row.code").filter("code is not null")
 
     def compact(self) -> None:
         """One batch in place of all; readers of the old ones have to begin again."""
@@ -131,31 +140,48 @@ class VectorIndex:
             drop_path(self.spark, f"{self.path}/batch={n}")
 
     def decoded(self) -> DataFrame:
+        """(id, vector in rotated space, size): size is the length of what was inserted."""
         dim = self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([b.column("id"), _lists(decode(b.column("scale").to_numpy(), code, dim))], ["id", "vector"])
+                    yield pa.RecordBatch.from_arrays([b.column("id"), _lists(decode(b.column("scale").to_numpy(), code, dim)), b.column("size")], ["id", "vector", "size"])
 
-        return self.codes().mapInArrow(run, "id long, vector array<double>")
+        return self.codes().mapInArrow(run, "id long, vector array<double>, size double")
 
     def search(self, queries: DataFrame, vectors: DataFrame, k: int, over: int = 4) -> DataFrame:
-        """(query, id, sim, rank): of the k * over rows with the best estimates the k most similar, by the exact inner products with vectors (id, vector); ties to the smaller id."""
+        """(query, id, sim, rank): the k most similar rows by the exact inner products with vectors (id, vector), those that were inserted; ties to the smaller id.
+
+        A row travels as its decoded vector followed by its own, a query as the rotated one followed by its own.
+        """
         dim = self.dim
         q = tiles.usable(queries.select(F.col("query").cast("long").alias("id"), fit_dim(F.col("vector").cast("array<double>"), dim).alias("vector")))
 
         def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([b.column("id"), _lists(_matrix(b.column("vector"), dim) @ rotation(dim).T)], ["id", "vector"])
-
-        stock = tiles.tiled(self.decoded())
-        near = tiles.topk(tiles.tiled(q.mapInArrow(turned, "id long, vector array<double>"), at=stock.pivots), stock, k * over).select("query", "id")
-        x = q.select(F.col("id").alias("query"), F.col("vector").alias("x"))
-        y = vectors.select("id", fit_dim(F.col("vector").cast("array<double>"), dim).alias("y"))
-        sim = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-        scored = near.join(x, "query").join(y, "id").select("query", "id", sim.alias("sim"))
-        order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                    x = _matrix(b.column("vector"), dim)
+                    yield pa.RecordBatch.from_arrays([b.column("id"), _lists(np.hstack([x @ rotation(dim).T, x]))], ["id", "vector"])
+
+        def pick(t: tiles.Tile, i: slice, v: tiles.Tile, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x, y, size = t.x[i][:, dim:], v.x[:, dim:], v.extra["size"]
+            est = t.x[i][:, :dim] @ v.x[:, :dim].T
+            full = np.sqrt((v.x[:, :dim] ** 2).sum(1))
+            off = np.sqrt(np.maximum(full * full - size * size, 0)) + ROUND * full  # how far decoded vectors are from their own
+            first = min(k * over, len(y))
+            if first >= k and (low == -np.inf).any():
+                some = np.argpartition(-est, first - 1, axis=1)[:, :first]
+                sims = tiles.exact(np.repeat(x, first, axis=0), y[some.ravel()]).reshape(some.shape)
+                low = np.maximum(low, np.partition(sims, first - k, axis=1)[:, first - k])
+            length, least = np.sqrt((x * x).sum(1))[:, None], low[:, None]
+            along = np.divide(np.maximum(least, 0), size, out=np.zeros(est.shape), where=size > 0)
+            aside = np.sqrt(np.maximum(length * length - along * along, 0)) + np.sqrt(ROUND) * length
+            p, r = np.nonzero(est >= least - off * aside - ROUND * length * full)
+            return p, r, tiles.exact(x[p], y[r])
+
+        own = vectors.select("id", fit_dim(F.col("vector").cast("array<double>"), dim).alias("own"))
+        rows = self.decoded().join(own, "id").select("id", F.concat("vector", "own").alias("vector"), "size")
+        stock = tiles.tiled(rows, ("size",))
+        return tiles.topk(tiles.tiled(q.mapInArrow(turned, "id long, vector array<double>"), at=stock.pivots), stock, k, pick=pick)

@@ -283,13 +283,26 @@ def similar(a: Tiles, least: float, over: bool = False, at_most: float | None =
     return meet(a, a, tile_pairs(a, a, least, half=True), kernel, "a long, b long, sim double")
 
 
-def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False) -> DataFrame:
+#: pick(tile of a, rows of it, tile of b, the least that counts for each row): rows (from 0), places in b and similarities, none of the best left out.
+Pick = Callable[[Tile, slice, Tile, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False, pick: Pick | None = None) -> DataFrame:
     """(query, id, sim, rank): the k most similar vectors in b of each one in a, ties to the smaller id; drop_self: other ids only.
 
     A task keeps the best k of each of its rows, and what they have found is the
     least that counts in the next tile; k rows a query and task are shuffled.
+    pick: another way to tell what may be among the best.
     """
 
+    def plain(t: Tile, i: slice, v: Tile, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = t.x[i] @ v.x.T
+        if drop_self:
+            s[t.ids[i][:, None] == v.ids[None, :]] = -np.inf
+        floor = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], low) if s.shape[1] > k else low
+        p, q = np.nonzero((s >= floor[:, None] - NEAR) & (s > -np.inf))
+        return p, q, exact(t.x[i][p], v.x[q])
+
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
         row, sim, ids = t.found or (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         low = np.full(len(t.ids), -np.inf)
@@ -297,12 +310,8 @@ def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False) -> DataFrame:
         low[last] = sim[np.searchsorted(row, last, "right") - 1]
         parts = [(row, sim, ids)]
         for i, _, _, _ in t.blocks():
-            s = t.x[i] @ v.x.T
-            if drop_self:
-                s[t.ids[i][:, None] == v.ids[None, :]] = -np.inf
-            floor = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], low[i]) if s.shape[1] > k else low[i]
-            p, q = np.nonzero((s >= floor[:, None] - NEAR) & (s > -np.inf))
-            parts.append((p + i.start, exact(t.x[i][p], v.x[q]), v.ids[q]))
+            p, q, found = (pick or plain)(t, i, v, low[i])
+            parts.append((p + i.start, found, v.ids[q]))
         row, sim, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
         by = np.lexsort((ids, -sim, row))
         row, sim, ids = row[by], sim[by], ids[by]

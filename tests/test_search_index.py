@@ -220,3 +220,22 @@ def test_index_cuts_and_fills(spark):
     index.insert(rows)
     got = {r["query"]: r["id"] for r in index.search(rows.withColumnRenamed("id", "query"), rows, 1).collect()}
     assert got == {1: 1, 2: 2, 3: 3}
+
+
+def test_index_search_is_exact(spark):
+    """Also where estimates put one of the best rows behind those that are looked at first."""
+    from lorekeep.operators.index import VectorIndex
+
+    x = np.random.default_rng(5).normal(size=(3_000, 64))
+    x[100:130] = x[7]  # equal ones: ties go to smaller ids
+    x[200:400] = x[8] + np.random.default_rng(6).normal(size=(200, 64)) * 0.01
+    x[9] = 0
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>")
+    index = VectorIndex.create(spark, 64)
+    index.insert(rows)
+    asked = rows.filter("id < 60").withColumnRenamed("id", "query")
+    got = {(r["query"], r["rank"]): r["id"] for r in index.search(asked, rows, 10, over=1).collect()}
+    s = np.zeros((60, len(x)))
+    for d in range(64):
+        s += x[:60, d, None] * x[None, :, d]
+    assert got == {(q, r + 1): int(i) for q in range(60) for r, i in enumerate(np.lexsort((np.arange(len(x)), -s[q]))[:10])}
