@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,32 +49,99 @@ def neighbors(seeds: DataFrame, edges: DataFrame, active: DataFrame | None = Non
     return out.select("seed", "neighbor")
 
 
-#: Records of an entity beyond which it is a hub, whose records are not paired.
-HUB = 1_000
+#: Records of an entity beyond which it is a hub, whose records are not paired, and entities of a record beyond which it is wide, and paired by itself.
+HUB, WIDE = 1_000, 64
+
 
+def _partners(groups: DataFrame, memory_type: str) -> DataFrame:
+    """(memory, n): for each row of groups (entity, memory, others) the other members of its entity that share none of others.
+
+    The members of an entity meet in a task; two that share something there are told by sorting what each of them has.
+    """
 
-def neighbor_degree(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    def count(rows: pa.Table) -> pa.RecordBatch:
+        entity = rows.column("entity").combine_chunks().dictionary_encode().indices.to_numpy()
+        others = rows.column("others").combine_chunks()
+        first = np.concatenate([[0], np.flatnonzero(np.diff(entity)) + 1])
+        size = np.diff(np.concatenate([first, [len(entity)]]))
+        group = np.repeat(np.arange(len(first)), size)
+        n = size[group] - 1
+        of = np.repeat(np.arange(len(entity)), others.value_lengths().to_numpy())
+        what = others.flatten().dictionary_encode().indices.to_numpy()
+        by = np.lexsort((of, what, group[of]))
+        of, what = of[by], what[by]
+        new = np.flatnonzero((np.diff(what) != 0) | (np.diff(group[of]) != 0)) + 1
+        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(of)]])
+        now, met = -1, None
+        for a, b in zip(*((e[ends - starts > 1]).tolist() for e in (starts, ends)), strict=True):
+            g = group[of[a]]
+            if g != now:
+                if met is not None:
+                    n[first[now] : first[now] + size[now]] -= met.sum(1)
+                now, met = g, np.zeros((size[g], size[g]), bool)
+            own = of[a:b] - first[g]
+            met[np.ix_(own, own)] = True
+            met[own, own] = False
+        if met is not None:
+            n[first[now] : first[now] + size[now]] -= met.sum(1)
+        return pa.RecordBatch.from_arrays([rows.column("memory").combine_chunks(), pa.array(n.astype(np.int64))], ["memory", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            last = pc.equal(held.column("entity"), held.column("entity")[-1])
+            cut = pc.index(last, True).as_py()  # the last entity may go on
+            if cut:
+                yield count(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield count(held)
+
+    return groups.repartition("entity").sortWithinPartitions("entity").mapInArrow(run, f"memory {memory_type}, n long")
+
+
+def neighbor_degree(edges: DataFrame, hub: int = HUB, wide: int = WIDE) -> DataFrame:
     """(memory, n_edges, degree): entities of a record, and other records that share one.
 
-    Only entities of `hub` records at most pair them.  What a record meets by
-    hubs depends on the set of its hubs alone, so it is counted once for each
-    such set: the records whose own set shares a hub with it.  A partner by a
-    small entity is counted if no hub joins the two.
+    The records of an entity of `hub` records at most meet in a task.  Each comes
+    with its smaller entities and its hubs, so that two records count where they
+    meet first and no hub joins them: what is shuffled is a list for each edge,
+    not a row for each pair.  What a record meets by hubs depends on the set of
+    its hubs alone, so it is counted once for each such set: the records whose own
+    set shares a hub with it.  Only records of more than `wide` entities, whose
+    lists would be long, are paired with the records that they meet.
     """
-    edges = edges.select("memory", "entity").distinct()
-    own = edges.groupBy("memory").agg(F.count("*").alias("n_edges"))
-    big = edges.groupBy("entity").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("entity")
-    small = edges.join(big, "entity", "left_anti")
-    hubs = stored(edges.join(big, "entity", "left_semi").groupBy("memory").agg(F.array_sort(F.collect_set("entity")).alias("hubs")), "hubs")
-    sets = hubs.groupBy("hubs").agg(F.count("*").alias("n"))
-    each = sets.select("hubs", "n", F.explode("hubs").alias("hub"))
-    met = each.select("hubs", "hub").join(each.select(F.col("hubs").alias("others"), "n", "hub"), "hub").select("hubs", "others", "n").distinct()
-    reach = met.groupBy("hubs").agg((F.sum("n") - 1).alias("by_hubs"))
-    pairs = small.alias("x").join(small.alias("y"), "entity").filter("x.memory <> y.memory").select(F.col("x.memory").alias("memory"), F.col("y.memory").alias("other")).distinct()
-    placed = pairs.join(hubs, "memory", "left").join(hubs.select(F.col("memory").alias("other"), F.col("hubs").alias("theirs")), "other", "left")
-    apart = placed.filter(~F.coalesce(F.arrays_overlap("hubs", "theirs"), F.lit(False))).groupBy("memory").agg(F.count("*").alias("apart"))
-    rows = own.join(hubs.join(reach, "hubs").select("memory", "by_hubs"), "memory", "left").join(apart, "memory", "left")
-    return rows.select("memory", "n_edges", (F.coalesce("by_hubs", F.lit(0)) + F.coalesce("apart", F.lit(0))).alias("degree"))
+    kind = edges.schema["memory"].dataType.simpleString()
+    records = stored(edges.filter("entity is not null").groupBy("memory").agg(F.array_sort(F.collect_set("entity")).alias("entities")), "records")
+    out = records.select("memory", F.size("entities").cast("long").alias("n_edges"), F.lit(0).cast("long").alias("n"))
+    some = records.filter("memory is not null")
+    big = stored(some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select("entity"), "big")
+    rows = some.withColumn("hubs", F.slice("entities", 1, 0))
+    if not big.isEmpty():
+        hubs = stored(some.select("memory", F.explode("entities").alias("entity")).join(big, "entity").groupBy("memory").agg(F.array_sort(F.collect_set("entity")).alias("hubs")), "hubs")
+        sets = hubs.groupBy("hubs").agg(F.count("*").alias("n"))
+        each = sets.select("hubs", "n", F.explode("hubs").alias("hub"))
+        met = each.select("hubs", "hub").join(each.select(F.col("hubs").alias("others"), "n", "hub"), "hub").select("hubs", "others", "n").distinct()
+        reach = met.groupBy("hubs").agg((F.sum("n") - 1).alias("n"))
+        out = out.union(hubs.join(reach, "hubs").select("memory", F.lit(0), "n"))
+        rows = some.join(hubs, "memory", "left").select("memory", "entities", F.coalesce("hubs", F.slice("entities", 1, 0)).alias("hubs"))
+    rows = rows.select("memory", F.array_except("entities", "hubs").alias("small"), "hubs", (F.size("entities") > wide).alias("wide"))
+    if not big.isEmpty():
+        rows = stored(rows, "records")
+    at = rows.filter("not wide").select("memory", "small", "hubs", F.posexplode("small").alias("i", "entity"))
+    groups = at.select("entity", "memory", F.concat(F.expr("slice(small, 1, i)"), "hubs").alias("others"))
+    out = out.union(_partners(groups, kind).select("memory", F.lit(0), "n"))
+    if not rows.filter("wide").isEmpty():
+        x = rows.filter("wide").select("memory", "hubs", F.explode("small").alias("entity"))
+        y = rows.select(F.col("memory").alias("other"), F.col("hubs").alias("theirs"), F.col("wide").alias("both"), F.explode("small").alias("entity"))
+        pairs = x.join(y, "entity").filter((F.col("memory") != F.col("other")) & ~F.arrays_overlap("hubs", "theirs")).select("memory", "other", "both").distinct()
+        ends = F.when(F.col("both"), F.array("memory")).otherwise(F.array("memory", "other"))
+        out = out.union(pairs.select(F.explode(ends).alias("memory"), F.lit(0), F.lit(1)))
+    return out.groupBy("memory").agg(F.sum("n_edges").alias("n_edges"), F.sum("n").alias("degree"))
 
 
 def edgeless(memories: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:

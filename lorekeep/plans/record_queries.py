@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import chunk, text
 from ..operators import graph, records
-from ..sources.tables import FEEDBACK_SQL, MEMORIES_SQL, edges, entities, feedback, memories, table
+from ..sources.tables import FEEDBACK_SQL, MEMORIES_SQL, edges, entities, feedback, memories, mentions, table
 from .registry import query
 
 EDGES = "edges AS (SELECT DISTINCT l_orderkey AS memory, l_partkey AS entity FROM lineitem), entities AS (SELECT p_partkey AS entity, p_name || ' ' || p_partkey AS name FROM part)"
@@ -95,7 +95,7 @@ def neighbors(spark, d):
 
 @query(f"WITH {EDGES} SELECT memory, count(DISTINCT x.entity) AS n_edges, count(DISTINCT CASE WHEN y.memory <> x.memory THEN y.memory END) AS degree FROM (SELECT memory, entity FROM edges) x JOIN (SELECT memory, entity FROM edges) y ON x.entity = y.entity GROUP BY x.memory".replace("SELECT memory, count(DISTINCT x", "SELECT x.memory, count(DISTINCT x"))
 def neighbor_degree(spark, d):
-    return graph.neighbor_degree(edges(spark, d))
+    return graph.neighbor_degree(mentions(spark, d))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus IN ('O', 'F')")

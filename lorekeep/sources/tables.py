@@ -48,9 +48,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(memory, entity), as often as orders mention parts."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("memory"), F.col("l_partkey").alias("entity"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (memory, entity) pairs: orders mention parts."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("memory"), F.col("l_partkey").alias("entity")).distinct()
+    """Distinct pairs of them."""
+    return mentions(spark, sf_dir).distinct()
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,20 @@ def test_degrees_by_hub_sets(spark, hub):
     assert {r["memory"]: (r["n_edges"], r["degree"]) for r in graph.neighbor_degree(df, hub).collect()} == want
 
 
+@pytest.mark.parametrize(("hub", "wide"), [(1000, 0), (4, 1), (6, 3), (1000, 5), (1000, 64)])
+def test_degrees_without_pairs(spark, hub, wide):
+    rng = random.Random(wide)
+    edges = {(f"m{m}", e) for m in range(80) for e in range(14) if rng.random() < 0.9 / (e + 1)} | {(None, 1), ("m1", None)}
+    got = graph.neighbor_degree(spark.createDataFrame([*edges, *list(edges)[:9]], "memory string, entity int"), hub, wide)
+    want = {}
+    for m in {m for m, e in edges if e is not None}:
+        own = {e for x, e in edges if x == m and e is not None}
+        want[m] = (len(own), len({x for x, e in edges if e in own and x not in (m, None)}) if m else 0)
+    assert {r["memory"]: (r["n_edges"], r["degree"]) for r in got.collect()} == want
+    if (hub, wide) == (1000, 64):
+        assert "Join" not in got._jdf.queryExecution().toString()  # no row for each pair
+
+
 def test_copies_are_paired_with_the_least_of_their_class(spark):
     rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [1.0, 0.0]), (4, [0.8, 0.6]), (1, [0.8, 0.6]), (7, [0.0, 1.0]), (8, None)]
     got = {(r["a"], r["b"]) for r in quality.near_dup_pairs(spark.createDataFrame(rows, "id long, vector array<double>"), threshold=0.7).collect()}
