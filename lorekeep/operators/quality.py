@@ -44,12 +44,19 @@ def cluster_resolution(pairs: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def corroboration(vectors: DataFrame, memories: DataFrame, support_min: float = 0.60, dup_max: float = 0.97, cap: int = 5) -> DataFrame:
-    """(id, support, score): other sessions among neighbours with support_min <= sim < dup_max; records without a session count as one each."""
+    """(id, support, score): other sessions among neighbours with support_min <= sim < dup_max; records without a session count as one each.
+
+    What comes out of the comparison is a count for each record: all vectors of a session are met in one task.
+    """
     unit_of = memories.select("id", F.when(F.coalesce("session_id", F.lit("")) == "", F.concat(F.lit("id:"), F.col("id"))).otherwise(F.col("session_id")).alias("u"))
-    half = tiles.similar(tiles.tiled(vectors), support_min, below=dup_max)
-    pairs = half.select(F.explode(F.array(F.struct(F.col("a").alias("query"), F.col("b").alias("id")), F.struct(F.col("b").alias("query"), F.col("a").alias("id")))).alias("p")).select("p.query", "p.id")
-    own, other = unit_of.select(F.col("id").alias("query"), F.col("u").alias("own")), unit_of
-    n = pairs.join(other, "id").join(own, "query").filter("u <> own").groupBy("query").agg(F.countDistinct("u").alias("support"))
+    rows = tiles.usable(vectors).select("id", "vector").join(unit_of, "id")
+    groups = -(-rows.count() * 4 // (3 * tiles.TILE_ROWS)) or 1  # of units, somewhat less than a tile each on average
+    units = rows.select("u").distinct().withColumn("group", F.pmod(F.xxhash64("u"), F.lit(groups)))
+    units = stored(units.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("u")) - 1), "units")
+    twice = rows.groupBy("id").agg((F.count("*") > 1).cast("double").alias("twice"))
+    rows = rows.join(units, "u").join(twice, "id").select("id", "vector", F.col("group").cast("double").alias("group"), F.col("place").cast("double").alias("place"), "twice")
+    own = tiles.tiled(rows, ("group", "place", "twice"))
+    n = tiles.groups_near(own, tiles.tiled(rows, ("group", "place"), at=own.pivots, group="group"), support_min, dup_max).withColumnRenamed("n", "support")
     return vectors.select("id").join(n, F.col("id") == F.col("query"), "left").select("id", F.coalesce("support", F.lit(0)).alias("support"), F.round(F.least(F.coalesce("support", F.lit(0)), F.lit(cap)) / cap, 6).alias("score"))
 
 

@@ -99,10 +99,11 @@ class Tiles:
     rows: DataFrame
     pivots: dict[int, np.ndarray]
     extra: tuple[str, ...] = ()
+    grouped: bool = False
 
 
-def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndarray] | None = None) -> Tiles:
-    """Tiles of vectors (id, vector, *extra), extra being doubles without nulls; at: pivots of another table."""
+def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndarray] | None = None, group: str | None = None) -> Tiles:
+    """Tiles of vectors (id, vector, *extra), extra being doubles without nulls; at: pivots of another table; group: one of extra, whole numbers that take the place of cells."""
     spark = vectors.sparkSession
     vectors = usable(vectors)
     at = at if at is not None else pivots(vectors)
@@ -124,6 +125,8 @@ def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndar
                 far = (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (x @ p.T)
                 cell[rows] = far.argmin(1)
                 reach[rows] = np.sqrt(((x - p[cell[rows]]) ** 2).sum(1))
+            if group:
+                reach, cell = cell + reach / (1 + reach), batch.column(group).to_numpy().astype(np.int32)  # near ones stay together within a group
             yield pa.RecordBatch.from_arrays([pa.array(dim.astype(np.int32)), pa.array(cell), pa.array(reach), *batch.columns], ["dim", "cell", "reach", *batch.schema.names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +166,14 @@ def tiled(vectors: DataFrame, extra: tuple[str, ...] = (), at: dict[int, np.ndar
     near = vectors.select("id", "vector", *[F.col(e).cast("double").alias(e) for e in extra]).withColumn("vector", F.col("vector").cast("array<double>"))
     near = near.select(F.col("id").cast("long").alias("id"), *near.columns[1:]).mapInArrow(placed, "dim int, cell int, reach double, id long, vector array<double>" + (f", {names}" if names else ""))
     runs = near.repartitionByRange("dim", "cell", "reach", "id").sortWithinPartitions("dim", "cell", "reach", "id").withColumn("part", F.spark_partition_id())
-    return Tiles(stored(runs.mapInArrow(cut, SCHEMA), "tiles"), at, tuple(extra))
+    return Tiles(stored(runs.mapInArrow(cut, SCHEMA), "tiles"), at, tuple(extra), bool(group))
 
 
 def tile_pairs(a: Tiles, b: Tiles, least: float | None = None, half: bool = False) -> DataFrame:
     """(x, y): tiles of a and b that may hold a pair of similarity least or more; half: x <= y, for a table with itself."""
     side = lambda t, n: t.rows.select(*[F.col(c).alias(f"{c}_{n}") for c in ("tile", "cell", "dim", "centre", "radius", "longest", "reach")])
     x, y, spark = side(a, "x"), side(b, "y"), a.rows.sparkSession
-    if least is None:
+    if least is None or a.grouped or b.grouped:
         met = x.join(y, F.col("dim_x") == F.col("dim_y"))
     else:
         size = lambda t: {(r["dim"], r["cell"]): (r["reach"], r["longest"]) for r in t.rows.groupBy("dim", "cell").agg(F.max("reach").alias("reach"), F.max("longest").alias("longest")).collect()}  # noqa: E731  PIVOTS rows for each length
@@ -182,6 +185,7 @@ def tile_pairs(a: Tiles, b: Tiles, least: float | None = None, half: bool = Fals
                     near.append((dim, i, j))
         cells = F.broadcast(spark.createDataFrame(near, "dim_x int, cell_x int, cell_y int"))  # PIVOTS^2 rows for each length
         met = x.join(cells, ["dim_x", "cell_x"]).join(y.withColumnRenamed("dim_y", "dim_x"), ["dim_x", "cell_y"])
+    if least is not None:
         apart = F.sqrt(F.aggregate(F.zip_with("centre_x", "centre_y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
         met = met.filter(most(F.col("longest_x"), F.col("longest_y"), apart, F.col("radius_x"), F.col("radius_y")) >= least)
     if half:
@@ -213,16 +217,20 @@ def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, end:
     A task gets a team of consecutive tiles of a, and tiles of b one after
     another, each with the members it is to be compared with.  So a tile of b is
     sent once for a team, and one of a as often as its team's work is split.
+    Tiles of b that are grouped come to a task group after group, each whole.
     """
     spark = a.rows.sparkSession
     load = ["ids", "data", "dim", "extra"]
     with_team = stored(pairs.join(teams(a), "x"), "tile-pairs")
     n = with_team.agg(F.countDistinct("team").alias("teams"), F.count("*").alias("pairs")).first()
     splits = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(n["teams"], 1)), -(-n["pairs"] // (TASK_PAIRS * max(n["teams"], 1))))
-    dealt = with_team.withColumn("split", F.pmod(F.xxhash64("y"), F.lit(splits)).cast("int"))
+    dealt = with_team.withColumn("turn", F.lit(0))
+    if b.grouped:
+        dealt = with_team.join(b.rows.select(F.col("tile").alias("y"), F.col("cell").alias("turn")), "y")
+    dealt = dealt.withColumn("split", F.pmod(F.xxhash64("turn" if b.grouped else "y"), F.lit(splits)).cast("int"))
     own = dealt.select("team", "split", "x").distinct().join(a.rows.select(F.col("tile").alias("x"), *load), "x")
-    met = dealt.groupBy("team", "split", "y").agg(F.collect_list("x").alias("xs")).join(b.rows.select(F.col("tile").alias("y"), *load), "y")  # a team's tiles
-    sent = own.select("team", "split", F.lit(0).alias("side"), F.col("x").alias("tile"), F.array().cast("array<long>").alias("xs"), *load).union(met.select("team", "split", F.lit(1), "y", "xs", *load))
+    met = dealt.groupBy("team", "split", "turn", "y").agg(F.collect_list("x").alias("xs")).join(b.rows.select(F.col("tile").alias("y"), *load), "y")  # a team's tiles
+    sent = own.select("team", "split", F.lit(0).alias("side"), F.lit(0).alias("turn"), F.col("x").alias("tile"), F.array().cast("array<long>").alias("xs"), *load).union(met.select("team", "split", F.lit(1), "turn", "y", "xs", *load))
     names = (a.extra, b.extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +253,7 @@ def meet(a: Tiles, b: Tiles, pairs: DataFrame, kernel: Kernel, schema: str, end:
             yield from end(t) if end else ()
 
     _batches(spark)
-    return sent.repartition("team", "split").sortWithinPartitions("team", "split", "side").mapInArrow(run, schema)
+    return sent.repartition("team", "split").sortWithinPartitions("team", "split", "side", "turn").mapInArrow(run, schema)
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -369,3 +377,63 @@ def better(a: Tiles, b: Tiles, target: str, weight: str | None = None, scope: st
 
     found = meet(a, b, tile_pairs(a, b), kernel, "query long, part long, above long, tied long", end)
     return found.groupBy("query", "part").agg(F.sum("above").alias("above"), F.sum("tied").alias("tied"))
+
+
+def groups_near(a: Tiles, b: Tiles, least: float, below: float) -> DataFrame:
+    """(query, n): of the units in b how many, other than the query's own, hold a vector of least <= similarity < below; queries of none have no row.
+
+    A unit is a place in a group (extras of both, whole numbers from 0; b is
+    tiled by group).  A task meets a group whole, so it counts the group's units
+    by itself.  Rows of a repeated id (extra of a: twice, 1 for those) name their
+    units instead, which are counted together.
+    """
+
+    def told(t: Tile) -> Iterator[pa.RecordBatch]:
+        now, seen, n = t.found
+        own = np.flatnonzero((t.extra["group"] == now) & (t.extra["place"] < seen.shape[1]))
+        seen[own, t.extra["place"][own].astype(np.int64)] = False
+        twice = t.extra["twice"] > 0
+        n += np.where(twice, 0, seen.sum(1))
+        p, q = np.nonzero(seen & twice[:, None])
+        if len(p):
+            yield _batch(["query", "group", "place", "n"], t.ids[p], np.full(len(p), now), q.astype(np.int64), np.zeros(len(p), np.int64))
+
+    def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
+        now, place = int(v.extra["group"][0]), v.extra["place"].astype(np.int64)
+        if t.found and t.found[0] != now:
+            yield from told(t)
+        if not t.found or t.found[0] != now:
+            t.found = (now, np.zeros((len(t.ids), 0), bool), t.found[2] if t.found else np.zeros(len(t.ids), np.int64))
+        now, seen, n = t.found
+        more = int(place.max()) + 1 - seen.shape[1]
+        if more > 0:
+            seen = np.hstack([seen, np.zeros((len(t.ids), more), bool)])
+        t.found = (now, seen, n)
+        near = list(v.blocks())
+        for i, c, r, long in t.blocks():
+            x = t.x[i].astype(np.float32)
+            for j, d, s, m in near:
+                if most(long, m, float(np.linalg.norm(c - d)), r, s) < least:
+                    continue
+                room = 2e-7 * x.shape[1] * long * m + NEAR  # of sums in single precision
+                sim = x @ v.x[j].astype(np.float32).T
+                p, q = np.nonzero((sim >= least - room) & (sim < below + room))
+                sim = sim[p, q].astype(np.float64)
+                p, q = p + i.start, q + j.start
+                close = np.flatnonzero((sim < least + room) | (sim >= below - room))
+                if len(close):
+                    sim[close] = exact(t.x[p[close]], v.x[q[close]])
+                ok = (sim >= least) & (sim < below) & (t.ids[p] != v.ids[q])
+                seen[p[ok], place[q[ok]]] = True
+
+    def end(t: Tile) -> Iterator[pa.RecordBatch]:
+        if t.found:
+            yield from told(t)
+            n = t.found[2]
+            some = np.flatnonzero(n)
+            if len(some):
+                yield _batch(["query", "group", "place", "n"], t.ids[some], np.full(len(some), -1), np.full(len(some), -1), n[some])
+
+    found = meet(a, b, tile_pairs(a, b, least), kernel, "query long, group long, place long, n long", end)
+    units = found.groupBy("query", "group", "place").agg(F.sum("n").alias("n"))
+    return units.groupBy("query").agg(F.sum(F.when(F.col("group") < 0, F.col("n")).otherwise(1)).alias("n"))

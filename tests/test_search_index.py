@@ -239,3 +239,26 @@ def test_index_search_is_exact(spark):
     for d in range(64):
         s += x[:60, d, None] * x[None, :, d]
     assert got == {(q, r + 1): int(i) for q in range(60) for r, i in enumerate(np.lexsort((np.arange(len(x)), -s[q]))[:10])}
+
+
+def test_corroboration_counts_sessions_without_pairs(spark, monkeypatch):
+    """One session holds more vectors than a tile, some ids are repeated, some records have no session or are none."""
+    def never(*args, **kwargs):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(tiles, "similar", never)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_400, 6))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids = [*range(3_390), *range(10)]
+    unit = {i: "" if i % 9 == 0 else None if i % 10 == 3 else "big" if i % 8 else f"s{i % 5}" for i in range(3_380)}
+    rows = spark.createDataFrame([*zip(ids, x.tolist(), strict=True), (4_000, None), (4_001, [1.0])], "id long, vector array<double>")
+    got = {(r["id"], r["support"], r["score"]) for r in quality.corroboration(rows, spark.createDataFrame([*unit.items(), (4_000, "s1")], "id long, session_id string"), 0.6, 0.97).collect()}
+    name = {i: u or f"id:{i}" for i, u in unit.items()}
+    names = np.array([name.get(i, "") for i in ids])
+    met = {i: set() for i in [*ids, 4_000, 4_001]}
+    for i, v in zip(ids, x, strict=True):
+        s = sum(x[:, d] * v[d] for d in range(6))
+        if i in name:
+            met[i] |= set(names[(s >= 0.6) & (s < 0.97) & (np.array(ids) != i)].tolist()) - {"", name[i]}
+    assert got == {(i, len(m), round(min(len(m), 5) / 5, 6)) for i, m in met.items()}
