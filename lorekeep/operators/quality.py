@@ -145,15 +145,17 @@ def prune_sweep(vectors: DataFrame, gold: DataFrame, scores: DataFrame, threshol
     """(threshold, killed, p_at_1, mrr): ranks of golds (query, gold) after dropping ids whose fragility reaches a threshold; a killed gold is a miss.
 
     Every vector has a level, the number of thresholds that drop it, and better
-    ones are counted by level once for all thresholds.
+    ones are counted by level once for all thresholds. Vectors and golds that all
+    thresholds drop take no part in that.
     """
     cuts = sorted(thresholds)
     level = sum((F.when(F.col("fragility") >= t, 1).otherwise(0) for t in cuts), F.lit(0))
-    levels = scores.select("id", level.cast("double").alias("level"))
+    levels = stored(scores.select("id", level.cast("double").alias("level")), "levels")
     targets = gold_targets(vectors, gold).join(levels.select(F.col("id").alias("gold"), F.col("level").alias("gold_level")), "gold")
-    rows = vectors.join(levels, "id").join(targets.select(F.col("query").alias("id"), "target"), "id", "left").withColumn("target", F.coalesce("target", F.lit(float("nan"))))
-    t = tiles.tiled(rows, ("level", "target"))
-    above = tiles.better(t, t, "target", part="level")
+    targets = stored(targets, "targets")
+    own = tiles.tiled(vectors.join(levels.filter(F.col("level") < len(cuts)), "id"), ("level",))
+    asked = vectors.join(targets.filter(F.col("gold_level") < len(cuts)).select(F.col("query").alias("id"), "target"), "id")
+    above = tiles.better(tiles.tiled(asked, ("target",), at=own.pivots), own, "target", part="level")
     at = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("threshold"), F.lit(i).alias("i")) for i, c in enumerate(cuts)])).alias("at")
     per = targets.select("query", "gold_level", at).select("query", "gold_level", "at.threshold", "at.i")
     met = per.join(above, (per["query"] == above["query"]) & (F.col("part") <= F.col("i")), "left").groupBy(per["query"], "gold_level", "threshold", "i").agg(F.coalesce(F.sum("above"), F.lit(0)).alias("above"))

@@ -54,6 +54,19 @@ class Tile:
     extra: dict[str, np.ndarray]
     number: int
     found: object = None
+    _single: np.ndarray | None = None
+    _longest: float | None = None
+
+    def single(self) -> np.ndarray:
+        """x in single precision, if that can hold it."""
+        if self._single is None:
+            self._single = single(self.x)
+        return self._single
+
+    def longest(self) -> float:
+        if self._longest is None:
+            self._longest = float(np.sqrt((self.x * self.x).sum(1).max(initial=0)))
+        return self._longest
 
     def blocks(self) -> Iterator[tuple[slice, np.ndarray, float, float]]:
         """Rows, centre, radius and longest vector of each block."""
@@ -70,6 +83,27 @@ def most(n, m, apart, r, s):
     return (n * n + m * m - gap * gap) / 2 + 1e-9
 
 
+def single(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float32) if len(x) and np.abs(x).max() < 1e15 else x
+
+
+def room(dim: int, n: float, m: float) -> float:
+    """How far inner products in single precision of vectors no longer than n and m may be from those summed in double precision."""
+    return 2e-7 * (dim + 2) * n * m + NEAR
+
+
+def found_at(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix with few true values."""
+    return np.divmod(np.flatnonzero(marked), marked.shape[1])
+
+
+def equal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of equal ids."""
+    some = np.flatnonzero(np.isin(b, a))
+    p, q = np.nonzero(a[:, None] == b[some][None, :])
+    return p, some[q]
+
+
 def pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by vector length, one for two tiles and PIVOTS at most: each is the one of a bounded sample that is farthest from those before."""
     by: dict[int, list] = {}
@@ -264,6 +298,11 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(x: np.ndarray) -> np.ndarray:
+    """Number of true values in each row."""
+    return np.bitwise_count(np.packbits(x, axis=1)).sum(1, dtype=np.int64)
+
+
 def _batch(names: list[str], *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
 
@@ -304,11 +343,16 @@ def topk(a: Tiles, b: Tiles, k: int, drop_self: bool = False, pick: Pick | None
     """
 
     def plain(t: Tile, i: slice, v: Tile, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = t.x[i] @ v.x.T
+        x, y = t.single()[i], v.single()
+        s, off = x @ y.T, room(x.shape[1], t.longest(), v.longest())
         if drop_self:
-            s[t.ids[i][:, None] == v.ids[None, :]] = -np.inf
-        floor = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], low) if s.shape[1] > k else low
-        p, q = np.nonzero((s >= floor[:, None] - NEAR) & (s > -np.inf))
+            s[equal(t.ids[i], v.ids)] = -np.inf
+        floor = low - off
+        if s.shape[1] > k and (low == -np.inf).any():
+            floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * off)
+        p, q = found_at(s >= floor.astype(s.dtype)[:, None] - s.dtype.type(off))
+        other = s[p, q] > -np.inf
+        p, q = p[other], q[other]
         return p, q, exact(t.x[i][p], v.x[q])
 
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
@@ -349,24 +393,36 @@ def better(a: Tiles, b: Tiles, target: str, weight: str | None = None, scope: st
 
     def kernel(t: Tile, v: Tile) -> Iterator[pa.RecordBatch]:
         goal = t.extra[target]
-        parts = v.extra[part].astype(np.int64) if part else np.zeros(len(v.ids), np.int64)
         w = v.extra[weight] if weight else np.ones(len(v.ids))
+        if v.found is None:  # places in the order of parts, vectors times weights, and what lies between the ends of parts
+            parts = v.extra[part].astype(np.int64) if part else np.zeros(len(v.ids), np.int64)
+            order = np.argsort(parts, kind="stable")
+            kinds, first = np.unique(parts[order], return_index=True)
+            v.found = (order, single(v.x[order] * w[order, None]), list(zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True)))
+        order, y, spans = v.found
         t.found = t.found or {}
         for i, _, _, _ in t.blocks():
-            diff = (t.x[i] @ v.x.T) * w[None, :] - goal[i][:, None]
-            p, q = np.nonzero(np.abs(diff) < 1e-8)
-            if len(p):
-                sim = exact(t.x[i][p], v.x[q]) * w[q]
-                diff[p, q] = (np.round(sim, places) if places else sim) - goal[i][p]
-            other = t.ids[i][:, None] != v.ids[None, :]
-            up, level = (diff > 0) & other, (diff == 0) & other
-            if scope:
-                same = t.extra[scope][i][:, None] == v.extra[scope][None, :]
-                up, level = up & same, level & same
-            for g in np.unique(parts).tolist():
+            x = t.single()[i]
+            s = x @ y.T
+            off = room(x.shape[1], t.longest(), v.longest() * float(np.abs(w).max(initial=0))) + (10.0**-places if places else 0) + 1e-8
+            low, high = ((goal[i] + d).astype(s.dtype) for d in (-off, off))
+            low, high = np.nextafter(low, -np.inf, dtype=s.dtype), np.nextafter(high, np.inf, dtype=s.dtype)
+            up = s > high[:, None]
+            p, q = found_at((s >= low[:, None]) ^ up)
+            sim = exact(t.x[i][p], v.x[order[q]]) * w[order[q]]
+            diff = (np.round(sim, places) if places else sim) - goal[i][p]
+            up[p, q] = diff > 0
+            level = np.zeros_like(up) if (diff == 0).any() else None
+            if level is not None:
+                level[p, q] = diff == 0
+            own = equal(t.ids[i], v.ids[order])
+            same = t.extra[scope][i][:, None] == v.extra[scope][order][None, :] if scope else None
+            for g, a, b in spans:
                 n, m = t.found.setdefault(g, (np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids), np.int64)))
-                n[i] += up[:, parts == g].sum(1)
-                m[i] += level[:, parts == g].sum(1)
+                for count, marked in ((n, up), (m, level)):
+                    if marked is not None:
+                        marked[own] = False
+                        count[i] += marks(marked[:, a:b] if same is None else marked[:, a:b] & same[:, a:b])
         return iter(())
 
     def end(t: Tile) -> Iterator[pa.RecordBatch]:
@@ -411,16 +467,16 @@ def groups_near(a: Tiles, b: Tiles, least: float, below: float) -> DataFrame:
         t.found = (now, seen, n)
         near = list(v.blocks())
         for i, c, r, long in t.blocks():
-            x = t.x[i].astype(np.float32)
+            x = t.single()[i]
             for j, d, s, m in near:
                 if most(long, m, float(np.linalg.norm(c - d)), r, s) < least:
                     continue
-                room = 2e-7 * x.shape[1] * long * m + NEAR  # of sums in single precision
-                sim = x @ v.x[j].astype(np.float32).T
-                p, q = np.nonzero((sim >= least - room) & (sim < below + room))
+                y = v.single()[j]
+                sim, off = x @ y.T, room(x.shape[1], long, m)
+                p, q = found_at((sim >= least - 2 * off) & (sim < below + 2 * off))
                 sim = sim[p, q].astype(np.float64)
                 p, q = p + i.start, q + j.start
-                close = np.flatnonzero((sim < least + room) | (sim >= below - room))
+                close = np.flatnonzero((sim < least + off) | (sim >= below - off))
                 if len(close):
                     sim[close] = exact(t.x[p[close]], v.x[q[close]])
                 ok = (sim >= least) & (sim < below) & (t.ids[p] != v.ids[q])

@@ -154,6 +154,21 @@ def test_prune_sweep_by_levels(spark, small):
         assert got[t] == (sum(f[g] >= t for _, g in gold), round(sum(r == 1 for r in rr) / 60, 6), round(sum(rr) / 60, 6))
 
 
+def test_prune_sweep_compares_what_is_left(spark, monkeypatch):
+    """Vectors that every threshold drops are not compared; ties in single precision are told apart."""
+    seen = []
+    better = tiles.better
+    monkeypatch.setattr(tiles, "better", lambda a, b, *args, **kwargs: seen.append((a.rows.agg(F.sum("n")).first()[0], b.rows.agg(F.sum("n")).first()[0])) or better(a, b, *args, **kwargs))
+    x = np.random.default_rng(4).normal(size=(90, 5))
+    x[10:40] = x[3] * (1 + np.arange(30)[:, None] * 1e-12)
+    f = [0.9 if i % 3 == 0 else 0.1 for i in range(90)]
+    gold = [(i, (i + 1) % 90) for i in range(90)]
+    got = quality.prune_sweep(_table(spark, x, odd=False), spark.createDataFrame(gold, "query long, gold long"), spark.createDataFrame(list(enumerate(f)), "id long, fragility double"), [0.5]).first()
+    s = np.array([[float(tiles.exact(x[[i]], x[[j]])[0]) for j in range(90)] for i in range(90)])
+    rr = [1 / (1 + sum(s[q, j] > s[q, g] for j in range(90) if j != q and f[j] < 0.5)) if f[g] < 0.5 else 0 for q, g in gold]
+    assert (got["killed"], got["mrr"]) == (30, round(sum(rr) / 90, 6)) and seen == [(60, 60)]
+
+
 def test_label_relevance_counts_members(spark):
     from lorekeep.operators import evalir
 
