@@ -277,3 +277,26 @@ def test_corroboration_counts_sessions_without_pairs(spark, monkeypatch):
         if i in name:
             met[i] |= set(names[(s >= 0.6) & (s < 0.97) & (np.array(ids) != i)].tolist()) - {"", name[i]}
     assert got == {(i, len(m), round(min(len(m), 5) / 5, 6)) for i, m in met.items()}
+
+
+def test_fragility_makes_noise_in_the_tasks(spark, monkeypatch):
+    """Vectors are tiled once, without their noisy copies."""
+    tiled, sizes = tiles.tiled, []
+    monkeypatch.setattr(tiles, "tiled", lambda *args, **kwargs: sizes.append(t := tiled(*args, **kwargs)) or t)
+    x = np.random.default_rng(3).normal(size=(70, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    got = {r["id"]: r["fragility"] for r in quality.fragility(spark.createDataFrame([*enumerate(x.tolist()), (500, [1.0]), (501, None)], "id long, vector array<double>"), 0.2, 5, 3).collect()}
+
+    def near(y, i):
+        s = x @ y
+        return set(sorted((j for j in range(70) if j != i), key=lambda j: (-s[j], j))[:5])
+
+    for i in range(70):
+        rng = np.random.default_rng([42, i])
+        share = []
+        for _ in range(3):
+            y = x[i] + rng.normal(0, 0.2, 8)
+            a, b = near(x[i], i), near(y / np.linalg.norm(y), i)
+            share.append(len(a & b) / len(a | b))
+        assert got.pop(i) == pytest.approx(1 - np.mean(share), abs=1e-6)
+    assert not got and [t.rows.agg(F.sum("n")).first()[0] for t in sizes] == [71]
